@@ -98,7 +98,7 @@ def iso_date(c: Column) -> Column:
         for pattern, (y, m, d) in orders:
             part = lambda g, p=pattern: F.regexp_extract(x, p, g)
             iso = F.concat(F.lpad(part(y), 4, "0"), F.lit("-"), F.lpad(part(m), 2, "0"), F.lit("-"), F.lpad(part(d), 2, "0"))
-            tries.append(F.when(x.rlike(pattern) & F.try_to_date(iso, F.lit("yyyy-MM-dd")).isNotNull() & (part(y) != "0000"), iso))
+            tries.append(F.when(x.rlike(pattern) & F.try_to_date(iso, "yyyy-MM-dd").isNotNull() & (part(y) != "0000"), iso))
         return F.coalesce(*tries)
 
     return let(collapse(c), parsed)
@@ -118,27 +118,32 @@ def valid_date(c: Column) -> Column:
     return iso_date(c).isNotNull()
 
 
-def _matches(seen: Column, wanted: str) -> Column:
-    """Equal, or one begins with the other and both have three characters or more."""
-    same = seen == wanted
-    if len(wanted) < 3:
-        return same
-    return same | ((F.length(seen) >= 3) & (seen.startswith(wanted) | F.lit(wanted).startswith(seen)))
+def _by_field(table: dict[str, tuple], field: Column, value: Callable[[object], Column]) -> Column:
+    """The entry of a small literal table; null for other fields."""
+    pairs = [x for k, v in table.items() for x in (F.lit(k), F.array(*[value(e) for e in v]))]
+    return F.try_element_at(F.create_map(*pairs), F.coalesce(field, F.lit("")))
+
+
+def _labels(field: Column) -> Column:
+    """The field's printed labels as arrays of words, those of more words first."""
+    longest_first = {k: tuple(sorted(v, key=lambda x: -len(x.split()))) for k, v in LABELS.items()}
+    return _by_field(longest_first, field, lambda label: F.array(*[F.lit(w) for w in label.split()]))
 
 
 def label_words(c: Column, field: Column) -> Column:
-    """How many words of the field's printed label the text begins with; 0 if it does not. Longer labels first."""
+    """How many words of the field's printed label the text begins with; 0 if it does not. Longer labels first.
+
+    Words match if they are equal, or if one begins with the other and both have three characters or more.
+    """
+
+    def same(seen: Column, wanted: Column) -> Column:
+        both = (F.length(seen) >= 3) & (F.length(wanted) >= 3)
+        return (seen == wanted) | (both & (F.startswith(seen, wanted) | F.startswith(wanted, seen)))
 
     def count(tokens: Column) -> Column:
-        out = F.lit(0)
-        for name, labels in LABELS.items():
-            hit = F.lit(0)
-            for label in sorted(labels, key=lambda v: len(v.split())):
-                parts = label.split()
-                every = reduce(lambda a, b: a & b, [_matches(F.get(tokens, F.lit(i)), w) for i, w in enumerate(parts)])
-                hit = F.when((F.size(tokens) >= len(parts)) & every, len(parts)).otherwise(hit)
-            out = F.when(field == name, hit).otherwise(out)
-        return out
+        fits = lambda label: (F.size(tokens) >= F.size(label)) & F.forall(F.zip_with(label, F.slice(tokens, F.lit(1), F.size(label)), lambda w, t: same(t, w)), lambda ok: ok)
+        hit = F.get(F.filter(_labels(field), fits), F.lit(0))
+        return F.when(hit.isNull(), 0).otherwise(F.size(hit))
 
     return let(F.filter(F.split(fold(c), " +"), lambda w: w != ""), count)
 
@@ -149,12 +154,8 @@ def label_like(c: Column, field: Column) -> Column:
     def judge(x: Column) -> Column:
         def with_fold(f: Column) -> Column:
             n = F.size(F.filter(F.split(f, " +"), lambda w: w != ""))
-            hits = F.lit(0)
-            for name, hints in HINTS.items():
-                hits = F.when(field == name, sum((f.contains(h).cast("int") for h in hints), F.lit(0))).otherwise(hits)
-            return (
-                ((label_words(x, field) > 0) & (n <= 10)) | (F.endswith(x, F.lit(":")) & (hits >= 1)) | ((hits >= 3) & (n <= 10)) | ((hits >= 2) & (n <= 6))
-            )
+            hits = F.size(F.filter(_by_field(HINTS, field, F.lit), lambda h: F.contains(f, h)))
+            return (hits >= 0) & (((label_words(x, field) > 0) & (n <= 10)) | (F.endswith(x, F.lit(":")) & (hits >= 1)) | ((hits >= 3) & (n <= 10)) | ((hits >= 2) & (n <= 6)))
 
         return F.when((x == "") | ~F.coalesce(field.isin(*HINTS), F.lit(False)), False).otherwise(let(fold(x), with_fold))
 
@@ -196,7 +197,7 @@ def label_value(c: Column, field: Column) -> Column:
 
     def run(x: Column) -> Column:
         left, right = _split_colon(x)
-        value = F.when(x.contains(":") & label_like(left, field), strip_label(right, field)).otherwise(strip_label(x, field))
+        value = strip_label(F.when(x.contains(":") & label_like(left, field), right).otherwise(x), field)
         return F.when((x == "") | ~F.coalesce(field.isin(*LINE_FIELDS), F.lit(False)), x).otherwise(value)
 
     return let(collapse(c), run)
@@ -275,8 +276,8 @@ def repetitive(c: Column, least: int = 6) -> Column:
     return F.coalesce(let(words(F.lower(c)), judge), F.lit(False))
 
 
-def suspicious(c: Column, field: Column) -> Column:
-    """Whether the cleaned value of a field can hardly be one."""
+def suspicious(c: Column, field: Column, cleaned: bool = False) -> Column:
+    """Whether the cleaned value of a field can hardly be one. ``cleaned``: ``c`` is such a value already."""
 
     def judge(x: Column) -> Column:
         n = F.size(F.split(x, " "))
@@ -284,10 +285,10 @@ def suspicious(c: Column, field: Column) -> Column:
         name = digit_heavy(x, 0.20) | repetitive(x, 4)
         return F.when(x == "", True).when(field.isin(*PLACES), place).when(field == "full_name", name).otherwise(False)
 
-    return let(cleanup(c, field), judge)
+    return let(text(c) if cleaned else cleanup(c, field), judge)
 
 
-def estimated_confidence(c: Column, field: Column) -> Column:
+def estimated_confidence(c: Column, field: Column, cleaned: bool = False) -> Column:
     """A confidence from the text alone, between 0 and 0.95."""
     cap = lambda v, top: F.least(v, F.lit(float(top)))
     off = lambda cond, by: F.when(cond, F.lit(-float(by))).otherwise(0.0)
@@ -308,10 +309,10 @@ def estimated_confidence(c: Column, field: Column) -> Column:
         whole = F.when(field == "id_number", number).when(field == "date_of_birth", date).otherwise(prose)
         return F.when(x == "", 0.0).otherwise(F.greatest(F.lit(0.0), cap(whole, 0.95)))
 
-    return let(cleanup(c, field), score)
+    return let(text(c) if cleaned else cleanup(c, field), score)
 
 
-def calibrated_confidence(c: Column, raw: Column, field: Column) -> Column:
+def calibrated_confidence(c: Column, raw: Column, field: Column, cleaned: bool = False) -> Column:
     """A recogniser's confidence (any type; what is no number counts as 0) corrected by what the text looks like."""
     r = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(raw.try_cast("double"), F.lit(0.0))))
 
@@ -320,11 +321,11 @@ def calibrated_confidence(c: Column, raw: Column, field: Column) -> Column:
         number = F.when(valid_id(x), F.greatest(r, F.lit(0.88))).when(d >= 10, F.least(r * 0.75, F.lit(0.84))).when(d >= 8, F.least(r * 0.55, F.lit(0.72))).otherwise(r * 0.25)
         date = F.when(valid_date(x), F.greatest(r, F.lit(0.8))).when(d >= 6, F.least(r * 0.65, F.lit(0.74))).otherwise(r * 0.30)
         damp = F.when(label_like(x, field), 0.5).otherwise(1.0)
-        doubt = F.when(field.isin(*PLACES) & suspicious(x, field), 0.45).when((field == "full_name") & suspicious(x, field), 0.60).otherwise(1.0)
-        prose = F.greatest(F.lit(0.0), F.least(F.lit(0.98), r * damp * doubt * 0.7 + estimated_confidence(x, field) * 0.3))
+        doubt = F.when(suspicious(x, field, True), F.when(field.isin(*PLACES), 0.45).when(field == "full_name", 0.60).otherwise(1.0)).otherwise(1.0)
+        prose = F.greatest(F.lit(0.0), F.least(F.lit(0.98), r * damp * doubt * 0.7 + estimated_confidence(x, field, True) * 0.3))
         return F.when(x == "", 0.0).when(field == "id_number", number).when(field == "date_of_birth", date).otherwise(prose)
 
-    return let(cleanup(c, field), score)
+    return let(text(c) if cleaned else cleanup(c, field), score)
 
 
 def bucket(conf: Column, accept: float = 0.9, review: float = 0.5) -> Column:
