@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from fieldloom.functions.folding import strip_accents
 
 TYPES = ("prose", "list", "table", "junk")
+MOST_COMMON = 5000  # words of the list of common words, at most
 TOP_WORDS = 400  # words with a row of their own in the table of neighbours
 
 # Line shapes.
@@ -50,13 +51,15 @@ def statistics(docs: DataFrame, common: DataFrame, key: str = "doc_id", text: st
     nor digit), punctuated_lines (share of lines that are not blank and end in punctuation), common_share (of words of
     letters, those of ``common``, accents and case set aside). A text without words has 0 for each share of words.
     """
-    words = common.select(F.lower(strip_accents(F.lower("word"))).alias("w")).filter("w is not null").distinct()
-    bag = words.groupBy().agg(F.collect_set("w").alias("bag"))  # one row; the table is fixed
+    # The word list is a fixed table of a few hundred rows; as literals it becomes a hash set in the plan.
+    bag = [r.w for r in common.select(F.lower(strip_accents(F.lower("word"))).alias("w")).filter("w is not null").distinct().limit(MOST_COMMON + 1).collect()]
+    if len(bag) > MOST_COMMON:
+        raise ValueError(f"more than {MOST_COMMON} common words")
     raw = F.regexp_replace(F.regexp_replace(F.col(text), r"\r\n?|[\u2028\u2029\x0b\x0c\x85]", "\n"), r"\p{Zs}", " ")
-    d = docs.select(key, raw.alias("t")).filter(F.col("t").rlike(r"[^\s\p{Z}]")).crossJoin(F.broadcast(bag))
+    d = docs.select(key, raw.alias("t")).filter(F.col("t").rlike(r"[^\s\p{Z}]"))
     d = d.withColumn("f", F.lower(strip_accents(F.lower("t"))))
     d = d.withColumn("lines", F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\s\p{Z}]")))
-    d = d.withColumn("toks", F.filter(F.split("f", r"[\s\p{Z}]+"), lambda x: x != ""))
+    d = d.withColumn("toks", F.filter(F.split("f", r"\s+"), lambda x: x != ""))
     d = d.withColumn("alpha", F.regexp_extract_all("f", F.lit(r"\p{L}+"), 0))
     solid = F.length(F.regexp_replace("t", r"[\s\p{Z}]", ""))
     n_lines, n_words, n_alpha = F.size("lines"), F.size("toks"), F.size("alpha")
@@ -67,13 +70,15 @@ def statistics(docs: DataFrame, common: DataFrame, key: str = "doc_id", text: st
     segments = F.filter(F.split(bare, r"[;|•\n,\t]|\s[/–—-]\s|:\s|[.!?](?:\s|$)"), lambda x: x.rlike(r"\S"))
     short = F.aggregate(F.filter(segments, lambda x: F.size(F.split(F.trim(x), r"\s+")) <= 4), F.lit(0), lambda a, x: a + F.length(x))
     letters = F.length(F.regexp_replace("t", r"[^\p{L}]", ""))
+    distinct = _share(F.size(F.array_distinct("toks")), n_words)
+    odd = F.col("t").rlike(r"[\u0080-\u00bf\u0152-\u0178\u02c6\u02dc\u2018-\u2122×÷\ufffd]")
     return d.select(
         key,
         n_words.alias("n_words"),
         _share(F.aggregate("toks", F.lit(0), lambda a, x: a + F.length(x)), n_words).alias("mean_word_length"),
         _share(F.length(F.regexp_replace("t", r"[\s\p{Z}\p{L}\p{N}\p{M}]", "")), solid).alias("symbol_ratio"),
         _share(F.size(F.filter("lines", lambda x: x.rlike(r"[.!?…:;,)\"'”»]\s*$"))), n_lines).alias("punctuated_lines"),
-        _share(F.size(F.filter("alpha", lambda w: F.array_contains("bag", w))), n_alpha).alias("common_share"),
+        _share(F.size(F.filter("alpha", lambda w: w.isin(bag) if bag else F.lit(False))), n_alpha).alias("common_share"),
         n_lines.alias("n_lines"),
         F.length("t").alias("n_chars"),
         of(LIST_LINE).alias("list_share"),
@@ -84,11 +89,12 @@ def statistics(docs: DataFrame, common: DataFrame, key: str = "doc_id", text: st
         _share(F.length(F.regexp_replace("t", r"[^\p{N}]", "")), solid).alias("digit_ratio"),
         _share(_count(F.col("f"), r"\p{L}\p{N}|\p{N}\p{L}"), n_words).alias("mixed_words"),
         _share(F.aggregate("alpha", F.lit(0), lambda a, x: a + F.length(x)), n_alpha).alias("mean_run"),
-        _share(F.size(F.array_distinct("toks")), n_words).alias("distinct_words"),
-        _share(F.length(F.regexp_replace("f", r"(.{1,6}?)\1{4,}", "")), F.length("f")).alias("unrepeated"),
-        _share(_count(F.col("t"), r"\p{L}[¡-¿×÷\u0080-\u009f]"), n_words).alias("odd_letters"),
+        distinct.alias("distinct_words"),
+        # only texts of few distinct or of very long words can mostly be repeats
+        F.when((distinct < 0.4) | (_share(F.length("f"), n_words) > 20), _share(F.length(F.regexp_replace("f", r"(.{1,6}?)\1{4,}", "")), F.length("f"))).otherwise(1.0).alias("unrepeated"),
+        F.when(odd, _share(_count(F.col("t"), r"\p{L}[¡-¿×÷\u0080-\u009f]"), n_words)).otherwise(0.0).alias("odd_letters"),
         # bytes of another encoding: a high Latin-1 letter and a mark or control that such bytes make
-        _share(_count(F.col("t"), r"[ÂÃÄÅÆáâãïð][\u0080-\u00bf\u0152-\u0178\u02c6\u02dc\u2013-\u2122]|á[º»]|\ufffd"), n_words).alias("garbled"),
+        F.when(odd, _share(_count(F.col("t"), r"[ÂÃÄÅÆáâãïð][\u0080-\u00bf\u0152-\u0178\u02c6\u02dc\u2013-\u2122]|á[º»]|\ufffd"), n_words)).otherwise(0.0).alias("garbled"),
         _share(_count(F.col("t"), r"(?<![\p{L}\p{N}])[^\s\p{Z}]{1,2}(?![\p{L}\p{N}])"), n_words).alias("tiny_words"),
         _share(letters, solid).alias("letter_ratio"),
         _share(_count(F.col("t"), r"[.!?…][\"'”)]?(?:\s|$)"), n_words).alias("sentence_ends"),
