@@ -31,7 +31,7 @@ MIN_CHARS = 20
 WINDOW = 6  # K + 1 windows of this length fit into every text of MIN_CHARS or more
 SKETCH_BITS = 18
 SHARD_TEXTS = 20_000  # evaluation texts of an automaton, at most
-SLICE_TEXTS = 20_000  # training texts of a slice, about
+SLICE_TEXTS = 5_000  # training texts of a slice, about
 _RATIO = 1.25  # lengths of one shard differ at most by this factor
 _DP_CHARS = 240  # longer texts are cut into K + 1 segments first
 
@@ -146,6 +146,9 @@ def similar_texts(train: DataFrame, held: DataFrame) -> DataFrame:
     b = b.join(F.broadcast(plan), "b").withColumn("slice", F.pmod(F.xxhash64("t"), "slices").cast("int"))
     b = b.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
     key = ["b", "shard", "slice"]
+    # Small rows, long work: as many tasks as the session has shuffle partitions, not as few as their bytes would ask for.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    a, b = a.select(*key, "e").repartition(tasks, *key), b.select(*key, "t").repartition(tasks, *key)
 
     def scan(patterns: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
         import ahocorasick
@@ -179,7 +182,7 @@ def similar_texts(train: DataFrame, held: DataFrame) -> DataFrame:
             right += [t] * len(seen)
         return pd.DataFrame({"text_e": left, "text_t": right}, dtype=object)
 
-    pairs = a.select(*key, "e").groupBy(*key).cogroup(b.select(*key, "t").groupBy(*key)).applyInPandas(scan, CANDIDATE)
+    pairs = a.groupBy(*key).cogroup(b.groupBy(*key)).applyInPandas(scan, CANDIDATE)
     most = F.floor(F.greatest(F.length("text_e"), F.length("text_t")) / 10).cast("int")
     return pairs.filter((F.col("text_e") == F.col("text_t")) | (F.levenshtein("text_e", "text_t") <= most))
 
