@@ -171,12 +171,12 @@ GATE = (
 )
 FUNCTIONS: dict[str, list[tuple[str, str]]] = {
     "list_lines": [("list", "list_share > 0.5"), ("prose", "list_share < 0.3 and short_share < 0.4 and separators < 0.3")],
-    "table_lines": [("table", "table_share > 0.5 and log_share < 0.5"), ("prose", "table_share < 0.3 and symbol_ratio < 0.12")],
+    "table_lines": [("table", "table_share > 0.5 and log_share < 0.5 and symbol_ratio < 0.75"), ("prose", "table_share < 0.3 and symbol_ratio < 0.12")],
     "log_lines": [("junk", "log_share > 0.5")],
     "common": [("prose", "common_share > 0.25"), ("junk", "common_share < 0.1 and table_share < 0.3 and list_share < 0.3 and short_share < 0.6")],
     "separators": [("list", "separators > 0.33 and table_share < 0.4 and short_share > 0.5 and mean_run > 2.3"), ("prose", "separators < 0.25")],
     "segments": [("list", "short_share > 0.6 and table_share < 0.4 and n_words > 4 and mean_run > 2.3"), ("prose", "short_share < 0.3")],
-    "symbols": [("junk", "symbol_ratio > 0.35 and table_share < 0.4"), ("table", "symbol_ratio > 0.06 and digit_ratio > 0.1 and table_share > 0.4"), ("prose", "symbol_ratio < 0.06 and digit_ratio < 0.06")],
+    "symbols": [("junk", "symbol_ratio > 0.75 or (symbol_ratio > 0.35 and table_share < 0.4)"), ("table", "symbol_ratio > 0.06 and digit_ratio > 0.1 and table_share > 0.4"), ("prose", "symbol_ratio < 0.06 and digit_ratio < 0.06")],
     "digits": [("table", "digit_ratio > 0.1 and table_share > 0.4"), ("junk", "mixed_words > 0.3 and table_share < 0.4 and list_share < 0.4"), ("prose", "digit_ratio < 0.04 and mixed_words < 0.08")],
     "repeats": [("junk", "unrepeated < 0.5 or (distinct_words < 0.15 and n_words > 20 and n_words < 120 and table_share < 0.4 and list_share < 0.4)")],
     "garbled": [("junk", "garbled > 0.25")],
