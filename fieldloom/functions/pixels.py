@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from fieldloom.functions.text import let
+
 
 def decode(content: bytes | None, raw_width: int | None = None) -> np.ndarray | None:
     """A picture as uint8 array (gray, or RGB); null for empty or broken content."""
@@ -236,7 +238,10 @@ def enhance_udf(raw_width: int):
 
 def grid_hash(grid: Column) -> Column:
     """64 bits of an array of 64 numbers against their median, first bit highest, native."""
-    s = F.array_sort(grid)
-    mid = (F.get(s, F.lit(31)) + F.get(s, F.lit(32))) / 2
-    bits = F.zip_with(grid, F.sequence(F.lit(0), F.lit(63)), lambda v, i: F.when(v > mid, F.expr("1L")).otherwise(F.expr("0L")))
-    return F.aggregate(bits, F.expr("0L"), lambda a, b: F.shiftleft(a, 1).bitwiseOR(b))
+    half = lambda s: (F.get(s, F.lit(31)) + F.get(s, F.lit(32))) / 2
+
+    def spell(mid: Column) -> Column:
+        bits = F.transform(grid, lambda v: F.when(v > mid, F.expr("1L")).otherwise(F.expr("0L")))
+        return F.aggregate(bits, F.expr("0L"), lambda a, b: F.shiftleft(a, 1).bitwiseOR(b))
+
+    return let(let(F.array_sort(grid), half), spell)

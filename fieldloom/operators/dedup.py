@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,24 +12,53 @@ from pyspark.sql.window import Window
 from fieldloom.runtime import discard, materialize
 
 
+def _bands(most: int, n: int, bits: int = 64) -> list[tuple[int, int, int]]:
+    """Bands of a hash as (low bit, width, radius): of two hashes within ``most`` bits one band differs in at most its radius."""
+    out = []
+    for i in range(n):
+        lo, hi = bits * i // n, bits * (i + 1) // n
+        out.append((lo, hi - lo, (most + 1) * (i + 1) // n - (most + 1) * i // n - 1))
+    return out
+
+
+def plan_bands(most: int, rows: int, bits: int = 64) -> list[tuple[int, int, int]]:
+    """The bands with the least expected work for so many hashes: probes that are shuffled and pairs that are compared.
+
+    Few wide bands are probed with all values within their radius; many narrow ones need one probe each. A probe
+    counts as eight comparisons. At most 4,096 probes a hash are considered, so plans stay small.
+    """
+    best = None
+    for n in range(1, most + 2):
+        bands = _bands(most, n, bits)
+        probes = [sum(comb(w, j) for j in range(r + 1)) for _, w, r in bands]
+        if sum(probes) > 4096:
+            continue
+        work = sum(8.0 * rows * p + rows * rows * p / 2.0**w for p, (_, w, _) in zip(probes, bands, strict=True))
+        if best is None or work < best[0]:
+            best = (work, bands)
+    return best[1]
+
+
 def similar_hashes(df: DataFrame, most: int, key: str = "id", value: str = "hash", bits: int = 64) -> DataFrame:
-    """Pairs (a < b) of keys whose hashes differ in at most ``most`` bits, with the distance; none is missed.
+    """Pairs (ha < hb) of distinct hashes that differ in at most ``most`` bits, with the distance; none is missed.
 
-    Of most + 1 bands one is equal in both, so pairs meet in an equi-join on (band, bits of it). Equal hashes are one
-    vertex of the join: it runs on distinct hashes, and keys join it at the end. A band's common values are split by
-    further bits as the join's own key skew handling allows; pairs are emitted by their first equal band only.
+    The bits are cut into bands of which one must be nearly equal in both, so pairs meet in an equi-join on (band,
+    value of it); one side is joined under every value within the band's radius. Equal hashes are one row of the join.
+    A pair that meets in several bands is given by the first.
     """
-    d = df.filter(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(value).alias("h"))
-    u = d.select("h").distinct()
-    n = most + 1
-    cuts = [(bits * i // n, bits * (i + 1) // n) for i in range(n)]
-    part = lambda h, i: F.shiftrightunsigned(h, cuts[i][0]).bitwiseAND(F.lit((1 << (cuts[i][1] - cuts[i][0])) - 1).cast("long"))
-    banded = u.select("h", F.posexplode(F.array(*[part(F.col("h"), i) for i in range(n)])).alias("band", "v"))
-    a, b = banded.select(F.col("h").alias("ha"), "band", "v"), banded.select(F.col("h").alias("hb"), "band", "v")
-    first = F.array_min(F.filter(F.array(*[F.when(part(F.col("ha"), i) == part(F.col("hb"), i), i) for i in range(n)]), lambda x: x.isNotNull()))
+    u = df.filter(F.col(value).isNotNull()).select(F.col(value).alias("h")).distinct()
+    bands = plan_bands(most, u.count(), bits)
+    part = lambda h, b: F.shiftrightunsigned(h, b[0]).bitwiseAND(F.lit((1 << b[1]) - 1).cast("long"))
+    masks = lambda b: [sum(1 << i for i in c) for j in range(b[2] + 1) for c in combinations(range(b[1]), j)]
+    plain = F.array(*[F.struct(F.lit(i).alias("band"), part(F.col("h"), b).alias("v")) for i, b in enumerate(bands)])
+    flips = df.sparkSession.createDataFrame([(i, m) for i, b in enumerate(bands) for m in masks(b)], "band int, m long")  # at most 4,096 rows
+    a = u.select(F.col("h").alias("ha"), F.explode(plain).alias("e")).select("ha", "e.band", "e.v")
+    b = u.select(F.col("h").alias("hb"), F.explode(plain).alias("e")).select("hb", "e.band", F.col("e.v").alias("w"))
+    b = b.join(F.broadcast(flips), "band").select("hb", "band", F.col("w").bitwiseXOR(F.col("m")).alias("v"))
+    near = lambda i, x: F.bit_count(part(F.col("ha"), x).bitwiseXOR(part(F.col("hb"), x))) <= x[2]
+    first = F.coalesce(*[F.when(near(i, x), i) for i, x in enumerate(bands)])
     dist = F.bit_count(F.col("ha").bitwiseXOR(F.col("hb")))
-    close = a.join(b, ["band", "v"]).filter(F.col("ha") < F.col("hb")).filter(dist <= most).filter(F.col("band") == first).select("ha", "hb", dist.alias("distance"))
-    return close
+    return a.join(b, ["band", "v"]).filter(F.col("ha") < F.col("hb")).filter(dist <= most).filter(F.col("band") == first).select("ha", "hb", dist.alias("distance"))
 
 
 def key_pairs(df: DataFrame, close: DataFrame, key: str = "id", value: str = "hash") -> DataFrame:

@@ -13,7 +13,7 @@ from fieldloom.functions import pixels as X
 from fieldloom.functions import text as T
 from fieldloom.operators import dedup, ensemble, evaluate, linepick, nested, quality, review, video
 from fieldloom.plans import adapters as A
-from fieldloom.runtime import table
+from fieldloom.runtime import materialize, table
 from fieldloom.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -546,7 +546,7 @@ def bit_hash(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _hashes(spark: SparkSession, d: str) -> DataFrame:
-    return A.grids(spark, d).select("id", X.grid_hash(F.col("grid")).alias("hash"))
+    return materialize(A.grids(spark, d).select("id", X.grid_hash(F.col("grid")).alias("hash")), "hashes")
 
 
 _PAIRS = f"{_HASH}, p AS (SELECT a.id AS a, b.id AS b, hamming(a.bits, b.bits) AS distance FROM b a JOIN b b ON a.id < b.id WHERE hamming(a.bits, b.bits) <= 20)"
