@@ -130,22 +130,29 @@ def _labels(field: Column) -> Column:
     return _by_field(longest_first, field, lambda label: F.array(*[F.lit(w) for w in label.split()]))
 
 
-def label_words(c: Column, field: Column) -> Column:
-    """How many words of the field's printed label the text begins with; 0 if it does not. Longer labels first.
+def _tokens(folded: Column) -> Column:
+    return F.filter(F.split(folded, " +"), lambda w: w != "")
 
-    Words match if they are equal, or if one begins with the other and both have three characters or more.
-    """
+
+def _label_size(tokens: Column, field: Column) -> Column:
+    """Words of the first of the field's labels that the words begin with; 0 if none."""
 
     def same(seen: Column, wanted: Column) -> Column:
         both = (F.length(seen) >= 3) & (F.length(wanted) >= 3)
         return (seen == wanted) | (both & (F.startswith(seen, wanted) | F.startswith(wanted, seen)))
 
-    def count(tokens: Column) -> Column:
-        fits = lambda label: (F.size(tokens) >= F.size(label)) & F.forall(F.zip_with(label, F.slice(tokens, F.lit(1), F.size(label)), lambda w, t: same(t, w)), lambda ok: ok)
-        hit = F.get(F.filter(_labels(field), fits), F.lit(0))
-        return F.when(hit.isNull(), 0).otherwise(F.size(hit))
+    fits = lambda label: (F.size(tokens) >= F.size(label)) & F.forall(F.zip_with(label, F.slice(tokens, F.lit(1), F.size(label)), lambda w, t: same(t, w)), lambda ok: ok)
+    hit = F.get(F.filter(_labels(field), fits), F.lit(0))
+    return F.when(hit.isNull(), 0).otherwise(F.size(hit))
+
 
-    return let(F.filter(F.split(fold(c), " +"), lambda w: w != ""), count)
+def label_words(c: Column, field: Column) -> Column:
+    """How many words of the field's printed label the text begins with; 0 if it does not. Longer labels first.
+
+    Words match if they are equal, or if one begins with the other and both have three characters or more.
+    """
+    known = F.coalesce(field.isin(*LABELS), F.lit(False))
+    return F.when(known, let(_tokens(fold(c)), lambda t: _label_size(t, field))).otherwise(0)
 
 
 def label_like(c: Column, field: Column) -> Column:
@@ -153,9 +160,9 @@ def label_like(c: Column, field: Column) -> Column:
 
     def judge(x: Column) -> Column:
         def with_fold(f: Column) -> Column:
-            n = F.size(F.filter(F.split(f, " +"), lambda w: w != ""))
             hits = F.size(F.filter(_by_field(HINTS, field, F.lit), lambda h: F.contains(f, h)))
-            return (hits >= 0) & (((label_words(x, field) > 0) & (n <= 10)) | (F.endswith(x, F.lit(":")) & (hits >= 1)) | ((hits >= 3) & (n <= 10)) | ((hits >= 2) & (n <= 6)))
+            rule = lambda t: ((F.size(t) <= 10) & ((_label_size(t, field) > 0) | (hits >= 3))) | (F.endswith(x, F.lit(":")) & (hits >= 1)) | ((F.size(t) <= 6) & (hits >= 2))
+            return let(_tokens(f), rule)
 
         return F.when((x == "") | ~F.coalesce(field.isin(*HINTS), F.lit(False)), False).otherwise(let(fold(x), with_fold))
 
@@ -177,7 +184,7 @@ def strip_label(c: Column, field: Column, rounds: int = 4) -> Column:
     """The text without printed labels before its value, at most ``rounds`` of them.
 
     A part before a colon goes if it looks like a label and something follows; otherwise the words of a leading label.
-    A step that changes nothing is a fixed point, so all rounds can be applied.
+    Rounds end with the first that changes nothing.
     """
 
     def step(x: Column) -> Column:
@@ -186,8 +193,10 @@ def strip_label(c: Column, field: Column, rounds: int = 4) -> Column:
         return F.when(x.contains(":") & label_like(left, field) & (right != ""), right).otherwise(by_words)
 
     def run(x: Column) -> Column:
-        done = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), x, lambda a, _: step(a))
-        return F.when((x == "") | ~F.coalesce(field.isin(*LABELS), F.lit(False)), x).otherwise(F.trim(done))
+        state = lambda v, go: F.struct(v.alias("x"), go.alias("go"))
+        move = lambda s: F.when(s.go, let(step(s.x), lambda v: state(v, v != s.x))).otherwise(s)
+        done = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), state(x, F.lit(True)), lambda s, _: move(s))
+        return F.when((x == "") | ~F.coalesce(field.isin(*LABELS), F.lit(False)), x).otherwise(F.trim(done.x))
 
     return let(collapse(c), run)
 
