@@ -13,6 +13,7 @@ from fieldloom.functions import pixels as X
 from fieldloom.functions import text as T
 from fieldloom.operators import dedup, ensemble, evaluate, linepick, nested, quality, review, video
 from fieldloom.plans import adapters as A
+from fieldloom.plans.label_sql import CONFIDENCE_CTES, LABEL_CTES
 from fieldloom.runtime import materialize, table
 from fieldloom.sources import files
 
@@ -836,9 +837,14 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
     p = nested.parse(table(spark, d, "reviewed_raw"), "raw_id", "payload")
     rec = p.filter("kind = 'record'").select("record_id", T.canonical_field(F.coalesce("field_name", "class")).alias("field_name"))
     seg = p.filter("kind = 'segment'").select("record_id", "reading_no", "seg_no", "text", "score", G.bounds(F.col("box")).alias("b"))
-    return seg.join(rec, "record_id").select(
+    lines = seg.join(rec, "record_id").select(
         (F.col("record_id") * 16 + F.col("reading_no")).alias("crop_id"), "field_name", F.col("seg_no").alias("idx"), "text", F.col("score").alias("confidence"), "b.x1", "b.y1", "b.x2", "b.y2"
     )
+    # printed labels: in front of the first segment of odd crops, on a line of their own above it in even ones
+    label = F.when(F.col("field_name") == "full_name", "Họ và tên:").when(F.col("field_name") == "place_of_origin", "Quê quán:").when(F.col("field_name") == "place_of_residence", "Nơi thường trú:")
+    first, odd = F.col("idx") == 1, F.col("crop_id") % 2 == 1
+    above = lines.filter(first & ~odd & label.isNotNull() & F.col("y1").isNotNull()).withColumns({"idx": F.lit(0), "text": label, "y2": F.col("y1") - 5, "y1": F.col("y1") - 25})
+    return lines.withColumn("text", F.when(first & odd & label.isNotNull(), F.concat_ws(" ", label, "text")).otherwise(F.col("text"))).unionByName(above)
 
 
 @query()
@@ -974,3 +980,142 @@ def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
     from fieldloom.streaming import reviews
 
     return reviews.sessions(table(spark, d, "events"))
+
+
+# ---- label and confidence rules on texts that count as cleaned
+
+
+def _ready(spark: SparkSession, d: str) -> DataFrame:
+    """row_id, f, t, c: readings with a label in front of some, white space collapsed."""
+    return _labelled(spark, d).withColumn("t", T.nfc(T.collapse(F.col("t"))))
+
+
+_READY = f"""
+    tx AS (
+      SELECT row_id, f, t, c, strftime({_ISO}, '%Y-%m-%d') AS iso FROM (
+        SELECT row_id, {_F} AS f, best_conf AS c,
+               nfc_normalize(trim(regexp_replace(['Họ và tên: ', 'Quê quán ', 'Nơi thường trú: ', 'Full name ', ''][(row_id % 5 + 1)::INT] || coalesce(best_text, ''), '[\\s\\p{{Z}}\\x1c-\\x1f\\x85]+', ' ', 'g'))) AS t FROM reviewed_sample))
+"""
+
+
+@query(f"WITH {_READY}, {LABEL_CTES} SELECT row_id, label_words, label_like FROM lb")
+def label_like(spark: SparkSession, d: str) -> DataFrame:
+    t, f = F.col("t"), F.col("f")
+    return _ready(spark, d).select("row_id", T.label_words(t, f).alias("label_words"), T.label_like(t, f).alias("label_like"))
+
+
+@query(f"WITH {_READY}, {LABEL_CTES}, {CONFIDENCE_CTES} SELECT row_id, suspicious, round(estimated + 1e-8, 5) AS estimated, round(calibrated + 1e-8, 5) AS calibrated FROM ca")
+def calibrate_conf(spark: SparkSession, d: str) -> DataFrame:
+    t, f = F.col("t"), F.col("f")
+    return A.rounded(_ready(spark, d).select("row_id", T.suspicious(t, f, True).alias("suspicious"), (T.estimated_confidence(t, f, True) + 1e-8).alias("estimated"), (T.calibrated_confidence(t, F.col("c"), f, True) + 1e-8).alias("calibrated")), 5)
+
+
+_SIDE = """
+    side_{k} AS (
+      WITH tx AS (SELECT row_id, {f} AS f, trim(regexp_replace(nfc_normalize(coalesce(text_{e}, '')), '[\\s\\p{{Z}}\\x1c-\\x1f\\x85]+', ' ', 'g')) AS t, conf_{e} AS c, NULL AS iso FROM reviewed_sample WHERE class IN ('name', 'origin', 'address')),
+      {label}, {conf} SELECT row_id, f, t AS form, coalesce(c, 0) AS s, suspicious AS bad FROM sp)
+"""
+_SIDES = ", ".join(_SIDE.format(k=k, e=e, f=_F, label=LABEL_CTES, conf=CONFIDENCE_CTES) for k, e in (("v", "vietocr"), ("p", "paddle")))
+
+
+@query(f"""
+    WITH {_SIDES},
+    j AS (SELECT a.row_id, a.f, a.form AS vt, b.form AS pt, a.s AS v, b.s AS p, a.bad AS vb, b.bad AS pb FROM side_v a JOIN side_p b ON a.row_id = b.row_id),
+    w AS (
+      SELECT *, CASE WHEN vt <> '' AND vt = pt THEN 'agree'
+        WHEN f = 'full_name' THEN CASE WHEN vt <> '' AND pt = '' THEN 'vietocr' WHEN pt <> '' AND vt = '' THEN 'paddleocr' WHEN pb AND NOT vb THEN 'vietocr' WHEN vb AND NOT pb THEN 'paddleocr'
+          WHEN v >= p - 0.08 THEN 'vietocr' WHEN length(vt) >= length(pt) AND v >= p - 0.12 THEN 'vietocr' WHEN p > v + 0.08 THEN 'paddleocr' ELSE 'vietocr' END
+        ELSE CASE WHEN pt <> '' AND vt = '' THEN 'paddleocr' WHEN vt <> '' AND pt = '' THEN 'vietocr' WHEN vb AND NOT pb THEN 'paddleocr' WHEN pb AND NOT vb THEN 'vietocr'
+          WHEN p >= v - 0.12 THEN 'paddleocr' WHEN v > p + 0.35 THEN 'vietocr' ELSE 'paddleocr' END END AS engine FROM j)
+    SELECT row_id, engine, CASE WHEN engine = 'agree' THEN false ELSE
+      (CASE engine WHEN 'vietocr' THEN v < 0.5 OR vt = '' OR vb ELSE p < 0.5 OR pt = '' OR pb END) OR (vt <> pt AND abs(v - p) < 0.08) END AS review FROM w
+""")
+def ensemble_text_fields(spark: SparkSession, d: str) -> DataFrame:
+    r = _sample(spark, d).filter(F.col("class").isin("name", "origin", "address")).withColumn("field_name", F.col("class"))
+    r = r.withColumns({c: T.collapse(T.nfc(F.col(c))) for c in ("text_vietocr", "text_paddle")})
+    e = ensemble.choose(ensemble.features(r, cleaned=True))
+    return e.select("row_id", F.col("e_engine").alias("engine"), F.col("e_review").alias("review"))
+
+
+# ---- further geometry, lines and files
+
+
+@query(f"WITH {_BOXES} SELECT annotation_id, round(x1 + 1e-7, 4) AS x1, round(y1 + 1e-7, 4) AS y1, round(x1 + (x2 - x1) + 1e-7, 4) AS x2, round(y1 + (y2 - y1) + 1e-7, 4) AS y2 FROM bx")
+def box_convert(spark: SparkSession, d: str) -> DataFrame:
+    b = F.col("b")
+    again = G.from_array(F.array(b.x1, b.y1, b.x2 - b.x1, b.y2 - b.y1), "xywh")
+    return A.rounded(_boxes(spark, d).select("annotation_id", again.alias("r")).select("annotation_id", *[(F.col(f"r.{c}") + 1e-7).alias(c) for c in ("x1", "y1", "x2", "y2")]), 4)
+
+
+@query(f"WITH {_BOXES} SELECT annotation_id, x1, y1, x2, y2 FROM bx")
+def polygon_aabb(spark: SparkSession, d: str) -> DataFrame:
+    ring = F.transform(G.corners(F.col("b")), lambda p: F.array(p.x, p.y))
+    return A.rounded(_boxes(spark, d).select("annotation_id", G.bounds(F.reverse(ring)).alias("r")).select("annotation_id", "r.*"))
+
+
+@query(f"WITH {_BOXES} SELECT annotation_id, round(855 / (x2 - x1), 6) AS sx, round(539 / (y2 - y1), 6) AS sy, round(-x1 * 855 / (x2 - x1), 4) AS tx FROM bx WHERE x2 > x1 AND y2 > y1")
+def homography_rect(spark: SparkSession, d: str) -> DataFrame:
+    m = _boxes(spark, d).filter("b.x2 > b.x1 and b.y2 > b.y1").withColumn("m", G.rect_matrix(F.col("b")))
+    return A.rounded(m.select("annotation_id", F.get("m", F.lit(0)).alias("sx"), F.get("m", F.lit(4)).alias("sy"), F.round(F.get("m", F.lit(2)), 4).alias("tx")))
+
+
+@query(f"""
+    WITH {_BOXES}, u AS (SELECT *, greatest(0, least(639, x1 / 1.5 - 6)) AS ux, greatest(0, least(639, y1 / 1.5 - 8)) AS uy FROM bx)
+    SELECT annotation_id, round(ux + 1e-7, 4) AS x, round(uy + 1e-7, 4) AS y FROM u
+""")
+def unmap_points(spark: SparkSession, d: str) -> DataFrame:
+    p = G.unmap_points(F.array(F.array(F.col("b.x1"), F.col("b.y1"))), F.lit(1.5), F.lit(6), F.lit(8), F.lit(640), F.lit(640))
+    return A.rounded(_boxes(spark, d).select("annotation_id", p[0].alias("p")).select("annotation_id", (F.col("p")[0] + 1e-7).alias("x"), (F.col("p")[1] + 1e-7).alias("y")), 4)
+
+
+@query("SELECT row_id, crop_path, class, ann_id, best_text, round(best_conf, 6) AS best_conf, needs_review FROM reviewed_sample")
+def sink_jsonl_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    import uuid
+
+    from fieldloom.runtime import shared_dir
+
+    cols = ["row_id", "crop_path", "class", "ann_id", "best_text", "best_conf", "needs_review"]
+    r = _sample(spark, d).select(*cols)
+    path = f"{shared_dir(spark)}/fieldloom/jsonl-{uuid.uuid4().hex}"
+    files.write_jsonl(r, path)
+    return A.rounded(files.read_jsonl(spark, path, r.schema))
+
+
+@query()
+def below_label(spark: SparkSession, d: str) -> DataFrame:
+    return A.rounded(linepick.below_label(linepick.ordered(_lines(spark, d))).select("crop_id", "value", "score", "pieces"))
+
+
+@query()
+def same_line(spark: SparkSession, d: str) -> DataFrame:
+    return A.rounded(linepick.same_line(linepick.ordered(_lines(spark, d))).select("crop_id", "value", "score", "x1"))
+
+
+@query()
+def ocr_hypotheses(spark: SparkSession, d: str) -> DataFrame:
+    s = _lines(spark, d).select("crop_id", "field_name", "idx", "text", F.col("confidence").alias("score"), ((F.col("y1") + F.col("y2")) / 2).alias("y"), F.col("x1").alias("x"))
+    return A.rounded(linepick.hypotheses(s).drop("ord"))
+
+
+@query()
+def subcrop_pick(spark: SparkSession, d: str) -> DataFrame:
+    z = lambda c: F.coalesce(c, F.lit(0.0))
+    pick = linepick.whole_or_part(T.canonical_field(F.col("class")), F.col("text_vietocr"), z("conf_vietocr"), F.col("text_paddle"), z("conf_paddle"), F.col("best_text"))
+    return _sample(spark, d).select("row_id", pick.alias("pick"))
+
+
+@query("""
+    SELECT image_id, count(*) AS deliveries, max(epoch(uploaded_at) - epoch(captured_at)) > 86400 AS late FROM images GROUP BY image_id
+""")
+def image_deliveries(spark: SparkSession, d: str) -> DataFrame:
+    late = F.max(F.col("uploaded_at").cast("timestamp").cast("double") - F.col("captured_at").cast("timestamp").cast("double")) > 86400
+    return table(spark, d, "images").groupBy("image_id").agg(F.count("*").alias("deliveries"), late.alias("late"))
+
+
+@query(f"WITH {A.SQL} SELECT 'images' AS metric, '' AS class, count(*)::DOUBLE AS value FROM images0 UNION ALL SELECT 'boxes', class, count(*)::DOUBLE FROM annotations GROUP BY class UNION ALL SELECT 'mean_boxes', '', round(avg(n), 6) FROM per")
+def dataset_stats(spark: SparkSession, d: str) -> DataFrame:
+    a, i = _ann(spark, d), _img(spark, d)
+    v = lambda c: c.cast("double").alias("value")
+    out = i.agg(v(F.count("*"))).select(F.lit("images").alias("metric"), F.lit("").alias("class"), "value")
+    out = out.unionByName(a.groupBy("class").agg(v(F.count("*"))).select(F.lit("boxes").alias("metric"), "class", "value"))
+    return A.rounded(out.unionByName(quality.per_image(i, a).agg(v(F.avg("n"))).select(F.lit("mean_boxes").alias("metric"), F.lit("").alias("class"), "value")))
