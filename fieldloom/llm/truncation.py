@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions.folding import strip_accents
+from fieldloom.runtime import materialize
 
 
 
@@ -119,7 +120,7 @@ def truncated(rows: DataFrame, params: dict | None = None, checked: bool = True)
     need = ["row_id", "ann_id", "best_source", "class", "field_name", "best_text", "text_paddle"]
     readings = spark.sql(_READINGS, rows=rows.select(*need))
     folded = readings.withColumn("folded", fold(F.col("text")))
-    texts = spark.sql(_DISTINCT, folded=folded)
+    texts = materialize(spark.sql(_DISTINCT, folded=folded), "texts")  # read by four branches
     keywords = spark.sql(_KEYWORDS, texts=texts, keyword_share=p["keyword_share"])
     marked = spark.sql(_MARKED, texts=texts, keywords=keywords)
     states = spark.sql(_STATES.replace("@first", "0"), marked=marked)
@@ -129,7 +130,7 @@ def truncated(rows: DataFrame, params: dict | None = None, checked: bool = True)
     flagged = verdict.filter((F.col("support") >= p["min_support"]) & (F.col("terminal_share") <= p["max_terminal_share"]))
     if checked:
         flagged = _without_common_endings(flagged, texts, p)
-    return readings.withColumn("folded", fold(F.col("text"))).join(flagged, ["cls", "folded"]).select(
+    return folded.join(flagged, ["cls", "folded"]).select(
         "row_id", "best_source", "field", "text", "terminal_share"
     )
 
