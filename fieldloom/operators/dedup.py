@@ -119,9 +119,15 @@ def size_histogram(clusters: DataFrame) -> DataFrame:
     return clusters.groupBy("size").agg(F.count("*").alias("clusters"), F.sum("size").alias("images"))
 
 
-def numbered(clusters: DataFrame) -> DataFrame:
-    """Clusters with cluster_id from 0 by falling size, then first member; ranks are within a size."""
-    per = clusters.groupBy("size").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rank = F.row_number().over(Window.partitionBy("size").orderBy("first", "base_name")) - 1
-    return clusters.withColumn("r", rank).join(per.select("size", before.alias("before")), "size").withColumn("cluster_id", F.col("r") + F.col("before")).drop("r", "before")
+def numbered(clusters: DataFrame, width: int = 1 << 20) -> DataFrame:
+    """Clusters with cluster_id from 0 by falling size, then first member.
+
+    Numbers are sums over cells (a size and a range of first members) and ranks within a cell, because most clusters
+    may have one size.
+    """
+    c = clusters.withColumn("cell", F.floor(F.col("first") / width))
+    per = c.groupBy("size", "cell").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy(F.desc("size"), "cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rank = F.row_number().over(Window.partitionBy("size", "cell").orderBy("first", "base_name")) - 1
+    per = per.select("size", "cell", before.alias("before"))
+    return c.withColumn("r", rank).join(per, ["size", "cell"]).withColumn("cluster_id", F.col("r") + F.col("before")).drop("r", "before", "cell")

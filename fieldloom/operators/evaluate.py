@@ -85,7 +85,7 @@ def patterns(s: DataFrame, n: int = 10) -> DataFrame:
     return per.withColumn("rank", F.row_number().over(Window.partitionBy("engine").orderBy(F.desc("n"), "pattern"))).filter(F.col("rank") <= n)
 
 
-def pr_curve(detections: DataFrame, truths: DataFrame, least_iou: float = 0.5) -> DataFrame:
+def pr_curve(detections: DataFrame, truths: DataFrame, least_iou: float = 0.5, cells: int = 128) -> DataFrame:
     """Precision and recall of detections in order of score, by class.
 
     detections: image_id, class, x, y, w, h, score; truths: image_id, class, seq, x, y, w, h. Each detection takes
@@ -101,6 +101,13 @@ def pr_curve(detections: DataFrame, truths: DataFrame, least_iou: float = 0.5) -
     right = best.groupBy("image_id", "class", "seq").agg(F.max_by("det", F.struct("score", (-F.col("det")).alias("s"))).alias("det")).select("image_id", "class", "det", F.lit(1).alias("tp"))
     total = truths.groupBy("class").agg(F.count("*").alias("total"))
     all_ = d.join(right, ["image_id", "class", "det"], "left").withColumn("tp", F.coalesce("tp", F.lit(0)))
-    w = Window.partitionBy("class").orderBy(F.desc("score"), "image_id", "det").rowsBetween(Window.unboundedPreceding, 0)
-    out = all_.select("class", "score", "image_id", "det", F.sum("tp").over(w).alias("tp"), F.count("*").over(w).alias("n"))
+    # Running counts over all of a class: sums over ranges of scores, then within a range, so no task orders a class.
+    cuts = d.groupBy("class").agg(F.percentile_approx("score", [i / cells for i in range(1, cells)]).alias("cuts"))
+    all_ = all_.join(cuts, "class").withColumn("cell", F.size(F.filter("cuts", lambda q: F.col("score") < q))).drop("cuts")
+    per = all_.groupBy("class", "cell").agg(F.sum("tp").alias("ctp"), F.count("*").alias("cn"))
+    past = Window.partitionBy("class").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select("class", "cell", F.coalesce(F.sum("ctp").over(past), F.lit(0)).alias("btp"), F.coalesce(F.sum("cn").over(past), F.lit(0)).alias("bn"))
+    w = Window.partitionBy("class", "cell").orderBy(F.desc("score"), "image_id", "det").rowsBetween(Window.unboundedPreceding, 0)
+    out = all_.select("class", "cell", "score", "image_id", "det", F.sum("tp").over(w).alias("itp"), F.count("*").over(w).alias("i")).join(per, ["class", "cell"])
+    out = out.withColumns({"tp": F.col("itp") + F.col("btp"), "n": F.col("i") + F.col("bn")})
     return out.join(total, "class").select("class", "image_id", "det", "score", (F.col("tp") / F.col("n")).alias("precision"), (F.col("tp") / F.col("total")).alias("recall"))

@@ -6,7 +6,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from fieldloom.functions import text as T
 
@@ -122,6 +121,9 @@ def budget(rows: DataFrame, splits: list[str], n: int, order: str) -> DataFrame:
 
 
 def latest_delivery(rows: DataFrame, key: str = "ann_id") -> DataFrame:
-    """One row for each key: the last delivered; rows without a key each by themselves."""
-    w = Window.partitionBy(F.coalesce(F.col(key), -F.col("row_id"))).orderBy(F.desc("row_id"))
-    return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    """One row for each key: the last delivered; rows without a key each by themselves.
+
+    The last row ids are an aggregate, combined before the shuffle, so a hot key is no group of its own in a task.
+    """
+    last = rows.groupBy(F.coalesce(F.col(key), -F.col("row_id")).alias("_k")).agg(F.max("row_id").alias("_last"))
+    return rows.join(last, F.col("row_id") == F.col("_last"), "left_semi")

@@ -78,7 +78,7 @@ def reindex(images: DataFrame, annotations: DataFrame, keep: DataFrame) -> tuple
     return imgs, number(anns, "id", "new_id").drop("id").withColumnRenamed("new_id", "id")
 
 
-def number(df: DataFrame, order: str, name: str, width: int = 1 << 16) -> DataFrame:
+def number(df: DataFrame, order: str, name: str, width: int = 1 << 20) -> DataFrame:
     """``df`` with consecutive numbers from 0 by a whole-number column, in two steps."""
     cell = F.floor(F.col(order) / width)
     d = df.withColumn("_cell", cell)
