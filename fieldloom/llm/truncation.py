@@ -1,8 +1,8 @@
 """Problem 1: values that lost their end, from word trigrams inside texts versus at ends.
 
 Every distinct reading is folded (case, accents and usual recogniser confusions set aside) and split into words.
-For each word trigram four states are counted per field class, from specific to general: three literal words; a
-context class and two words; two context classes and a word; classes only. A context class is the word itself if a
+For each word trigram five states are counted per field class, from specific to general: three literal words; a
+context class and two words; two context classes and a word; the word alone; classes only. A context class is the word itself if a
 large share of the class's readings has it (street and district markers, say) and ``*`` otherwise. A state also
 stands for each beginning of its last word, because a cut falls inside words: an occurrence of ``khue`` is an
 internal occurrence of ``k``, ``kh`` and ``khu`` and, at the end of a text, a terminal one of ``khue``. The final
@@ -34,7 +34,7 @@ def fold(c):
 
 PARAMS = {
     "keyword_share": 0.08,  # share of a class's readings that makes a word a context class of its own
-    "min_support": 12,  # occurrences that the most general state of a final trigram needs, else there is no verdict
+    "min_support": 12,  # occurrences that one of the two most general states of a final trigram needs, else there is no verdict
     "smoothing": 20.0,  # occurrences that a more general state's terminal share is worth in a more specific one
     "prior": 0.5,  # terminal share before anything is counted
     "max_terminal_share": 0.06,  # terminal occurrences among all, at most, for a flag
@@ -74,9 +74,10 @@ FROM {texts} t LEFT JOIN {keywords} k ON k.cls = t.cls
 _STATES = """
 SELECT cls, n, folded, is_last, e.lvl AS lvl, e.ctx AS ctx, e.w AS w FROM (
   SELECT cls, n, folded, i = k - 1 AS is_last, explode(array(
-    named_struct('lvl', 3, 'ctx', concat_ws(' ', w2, w1), 'w', w),
-    named_struct('lvl', 2, 'ctx', concat_ws(' ', c2, w1), 'w', w),
-    named_struct('lvl', 1, 'ctx', concat_ws(' ', c2, c1), 'w', w),
+    named_struct('lvl', 4, 'ctx', concat_ws(' ', w2, w1), 'w', w),
+    named_struct('lvl', 3, 'ctx', concat_ws(' ', c2, w1), 'w', w),
+    named_struct('lvl', 2, 'ctx', concat_ws(' ', c2, c1), 'w', w),
+    named_struct('lvl', 1, 'ctx', '', 'w', w),
     named_struct('lvl', 0, 'ctx', concat_ws(' ', c2, c1), 'w', CASE WHEN w LIKE '9%' THEN w ELSE '*' END))) AS e
   FROM (SELECT cls, n, folded, k, i, words[i] AS w,
                CASE WHEN i > 0 THEN words[i - 1] ELSE '^' END AS w1, CASE WHEN i > 1 THEN words[i - 2] ELSE '^' END AS w2,
@@ -99,14 +100,19 @@ FROM (SELECT cls, lvl, ctx, inside, ends, e.p AS p, e.whole AS whole FROM (
 GROUP BY cls, lvl, ctx, p
 """
 
-_VERDICT = """
-SELECT cls, folded, i0 + e0 AS support, (e3 + {m} * (e2 + {m} * (e1 + {m} * (e0 + {m} * {prior}) / (i0 + e0 + {m})) / (i1 + e1 + {m})) / (i2 + e2 + {m})) / (i3 + e3 + {m}) AS terminal_share
+# From the most general state to the most specific: each terminal share is smoothed with the one before it.
+_SHARE = "{prior}"
+for _k in range(5):
+    _SHARE = f"(e{_k} + {{m}} * {_SHARE}) / (i{_k} + e{_k} + {{m}})"
+
+_VERDICT = f"""
+SELECT cls, folded, greatest(i0 + e0, i1 + e1) AS support, {_SHARE} AS terminal_share
 FROM (
   SELECT f.cls, f.folded,
          @levels
-  FROM {finals} f JOIN {begin} b ON b.cls = f.cls AND b.lvl = f.lvl AND b.ctx = f.ctx AND b.w = f.w
+  FROM {{finals}} f JOIN {{begin}} b ON b.cls = f.cls AND b.lvl = f.lvl AND b.ctx = f.ctx AND b.w = f.w
   GROUP BY f.cls, f.folded)
-""".replace("@levels", ", ".join(f"cast(sum(CASE WHEN b.lvl = {k} THEN b.{c}{own} ELSE 0 END) AS double) AS {c[0]}{k}" for k in range(4) for c, own in (("inside", ""), ("ends", " - f.n"))))
+""".replace("@levels", ", ".join(f"cast(sum(CASE WHEN b.lvl = {k} THEN b.{c}{own} ELSE 0 END) AS double) AS {c[0]}{k}" for k in range(5) for c, own in (("inside", ""), ("ends", " - f.n"))))
 
 
 def truncated(rows: DataFrame, params: dict | None = None, checked: bool = True) -> DataFrame:
