@@ -5,8 +5,8 @@ never reaches Python. The others go through: deletion of ignorable characters, c
 plain spaces, and, for each word that still has a character beyond plain form, a search of its look-alike lattice:
 every such character may stay or become a look-alike plain character, and Viterbi takes the path with the best
 score, which adds the log-probabilities of neighbouring characters, counted over all plain words of the corpus, and
-of staying in one script. A word wholly in another script stays, because its own reading needs no switch of script
-and at least one of its letters has no plain look-alike, or because its plain reading is not a likely word.
+of staying in one script. A word wholly in another script stays if it, or another word of the value in that script,
+has a letter that no plain one looks like.
 """
 
 from __future__ import annotations
@@ -172,16 +172,20 @@ def plain_form(text: str, model: Model) -> str:
     t = ordered("".join(" " if c.isspace() else c for c in t if not ignorable(c)))
     if all(c in _PLAIN_SET for c in t):
         return t
-    return "".join(w if w == "" or w[0] == " " or all(c in _PLAIN_SET for c in w) else _word(w, model) for w in re.split("( +)", t))
+    words = re.split("( +)", t)
+    # scripts in which the value has a word with a letter that no plain one looks like: its other words in them stay too
+    other = {_wholly(w) for w in words if any(not alternatives(c) for c in _letters(w))} - {""}
+    return "".join(w if all(c in _PLAIN_SET for c in w) or _wholly(w) in other else viterbi(w, model) for w in words)
 
 
-def _word(w: str, model: Model) -> str:
-    letters = [c for c in clusters(w) if unicodedata.category(c[0]).startswith("L")]
-    foreign = {script(c) for c in letters}
-    if letters and "L" not in foreign and len(foreign) == 1 and not any(c.isdigit() for c in w):
-        if any(not alternatives(c) for c in letters):
-            return w  # wholly in another script: one of its letters has no plain look-alike
-    return viterbi(w, model)
+def _letters(w: str) -> list[str]:
+    return [c for c in clusters(w) if unicodedata.category(c[0]).startswith("L")]
+
+
+def _wholly(w: str) -> str:
+    """The script other than Latin in which all letters of a word are; '' if there is none, or if it has digits."""
+    scripts = {script(c) for c in _letters(w)}
+    return next(iter(scripts)) if len(scripts) == 1 and "L" not in scripts and not any(c.isdigit() for c in w) else ""
 
 
 PAIRS = "pair string, n long"
