@@ -38,7 +38,7 @@ _DP_CHARS = 240  # longer texts are cut into K + 1 segments first
 
 def bare(c: Column) -> Column:
     """Letters and digits in lower case without accents."""
-    return F.regexp_replace(F.lower(strip_accents(F.lower(c))), r"[^\p{L}\p{N}]", "")
+    return F.regexp_replace(F.lower(strip_accents(F.lower(c))), r"[^\p{L}\p{N}]+", "")
 
 
 def edits(n: int) -> int:

@@ -93,3 +93,27 @@ ORACLE: dict[str, str] = {
         SELECT g.group_id, k.row_id FROM k JOIN g ON g.key = k.key
     """,
 }
+
+
+def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    s = textquality.statistics(_documents(spark, d), table(spark, d, "common_words"))
+    shares = ["mean_word_length", "symbol_ratio", "punctuated_lines", "common_share"]
+    return s.select("doc_id", "n_words", *[F.round(F.col(c) + 1e-8, 6).alias(c) for c in shares])
+
+
+QUERIES["p8_statistics"] = p8_statistics
+ORACLE["p8_statistics"] = r"""
+    WITH d AS (SELECT doc_id, regexp_replace(regexp_replace(text, '\r\n?|[\x{2028}\x{2029}\x{0b}\x{0c}\x{85}]', chr(10), 'g'), '\p{Zs}', ' ', 'g') AS t FROM documents),
+    f AS (SELECT doc_id, t, strip_accents(replace(replace(lower(t), 'đ', 'd'), 'ð', 'd')) AS f FROM d WHERE regexp_matches(t, '[^\s\p{Z}]')),
+    b AS (SELECT list(DISTINCT strip_accents(replace(lower(word), 'đ', 'd'))) AS bag FROM common_words),
+    p AS (
+      SELECT doc_id, t, list_filter(string_split_regex(f, '\s+'), lambda x: x <> '') AS toks, regexp_extract_all(f, '\p{L}+') AS alpha,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\s\p{Z}]')) AS lines FROM f)
+    SELECT doc_id, len(toks)::INT AS n_words, round(list_sum(list_transform(toks, lambda x: length(x)))::DOUBLE / len(toks) + 1e-8, 6) AS mean_word_length,
+           round(length(regexp_replace(t, '[\s\p{Z}\p{L}\p{N}\p{M}]', '', 'g'))::DOUBLE / length(regexp_replace(t, '[\s\p{Z}]', '', 'g')) + 1e-8, 6) AS symbol_ratio,
+           round(len(list_filter(lines, lambda x: regexp_matches(x, '[.!?…:;,)"''”»]\s*$')))::DOUBLE / len(lines) + 1e-8, 6) AS punctuated_lines,
+           round(coalesce(len(list_filter(alpha, lambda x: list_contains(bag, x)))::DOUBLE / nullif(len(alpha), 0), 0) + 1e-8, 6) AS common_share
+    FROM p, b
+"""

@@ -61,7 +61,7 @@ def statistics(docs: DataFrame, common: DataFrame, key: str = "doc_id", text: st
     d = d.withColumn("lines", F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\s\p{Z}]")))
     d = d.withColumn("toks", F.filter(F.split("f", r"\s+"), lambda x: x != ""))
     d = d.withColumn("alpha", F.regexp_extract_all("f", F.lit(r"\p{L}+"), 0))
-    solid = F.length(F.regexp_replace("t", r"[\s\p{Z}]", ""))
+    solid = F.length(F.regexp_replace("t", r"[\s\p{Z}]+", ""))
     n_lines, n_words, n_alpha = F.size("lines"), F.size("toks"), F.size("alpha")
     chars = F.aggregate("lines", F.lit(0), lambda a, x: a + F.length(x))
     of = lambda p: _share(F.aggregate(F.filter("lines", lambda x: x.rlike(p)), F.lit(0), lambda a, x: a + F.length(x)), chars)
@@ -69,14 +69,14 @@ def statistics(docs: DataFrame, common: DataFrame, key: str = "doc_id", text: st
     bare = F.regexp_replace("f", rf"(?m)^\s*{BULLET}\s+", "")
     segments = F.filter(F.split(bare, r"[;|•\n,\t]|\s[/–—-]\s|:\s|[.!?](?:\s|$)"), lambda x: x.rlike(r"\S"))
     short = F.aggregate(F.filter(segments, lambda x: F.size(F.split(F.trim(x), r"\s+")) <= 4), F.lit(0), lambda a, x: a + F.length(x))
-    letters = F.length(F.regexp_replace("t", r"[^\p{L}]", ""))
+    letters = F.length(F.regexp_replace("t", r"[^\p{L}]+", ""))
     distinct = _share(F.size(F.array_distinct("toks")), n_words)
     odd = F.col("t").rlike(r"[\u0080-\u00bf\u0152-\u0178\u02c6\u02dc\u2018-\u2122×÷\ufffd]")
     return d.select(
         key,
         n_words.alias("n_words"),
         _share(F.aggregate("toks", F.lit(0), lambda a, x: a + F.length(x)), n_words).alias("mean_word_length"),
-        _share(F.length(F.regexp_replace("t", r"[\s\p{Z}\p{L}\p{N}\p{M}]", "")), solid).alias("symbol_ratio"),
+        _share(F.length(F.regexp_replace("t", r"[\s\p{Z}\p{L}\p{N}\p{M}]+", "")), solid).alias("symbol_ratio"),
         _share(F.size(F.filter("lines", lambda x: x.rlike(r"[.!?…:;,)\"'”»]\s*$"))), n_lines).alias("punctuated_lines"),
         _share(F.size(F.filter("alpha", lambda w: w.isin(bag) if bag else F.lit(False))), n_alpha).alias("common_share"),
         n_lines.alias("n_lines"),
@@ -86,7 +86,7 @@ def statistics(docs: DataFrame, common: DataFrame, key: str = "doc_id", text: st
         of(LOG_LINE).alias("log_share"),
         _share(seps, n_words).alias("separators"),
         _share(short, F.aggregate(segments, F.lit(0), lambda a, x: a + F.length(x))).alias("short_share"),
-        _share(F.length(F.regexp_replace("t", r"[^\p{N}]", "")), solid).alias("digit_ratio"),
+        _share(F.length(F.regexp_replace("t", r"[^\p{N}]+", "")), solid).alias("digit_ratio"),
         _share(_count(F.col("f"), r"\p{L}\p{N}|\p{N}\p{L}"), n_words).alias("mixed_words"),
         _share(F.aggregate("alpha", F.lit(0), lambda a, x: a + F.length(x)), n_alpha).alias("mean_run"),
         distinct.alias("distinct_words"),
