@@ -76,7 +76,7 @@ def canonical_field(c: Column) -> Column:
 
 
 def digits(c: Column) -> Column:
-    return F.regexp_replace(text(c), r"[^\p{Nd}]", "")
+    return F.regexp_replace(text(c), r"[^\p{Nd}]+", "")
 
 
 def words(c: Column) -> Column:
@@ -252,11 +252,11 @@ def cleanup(c: Column, field: Column) -> Column:
 
 
 def letters(c: Column) -> Column:
-    return F.length(F.regexp_replace(c, r"[^\p{L}]", ""))
+    return F.length(F.regexp_replace(c, r"[^\p{L}]+", ""))
 
 
 def digit_count(c: Column) -> Column:
-    return F.length(F.regexp_replace(c, r"[^\p{Nd}]", ""))
+    return F.length(F.regexp_replace(c, r"[^\p{Nd}]+", ""))
 
 
 def text_like(c: Column) -> Column:
@@ -266,7 +266,7 @@ def text_like(c: Column) -> Column:
 
 def digit_heavy(c: Column, share: float = 0.45) -> Column:
     """Digits among letters and digits reach ``share``."""
-    return F.coalesce(F.try_divide(digit_count(c), F.length(F.regexp_replace(c, r"[^\p{L}\p{N}]", ""))) >= share, F.lit(False))
+    return F.coalesce(F.try_divide(digit_count(c), F.length(F.regexp_replace(c, r"[^\p{L}\p{N}]+", ""))) >= share, F.lit(False))
 
 
 def digit_ratio(c: Column) -> Column:
@@ -306,7 +306,7 @@ def estimated_confidence(c: Column, field: Column, cleaned: bool = False) -> Col
         n, k = F.length(x).cast("double"), F.size(F.split(x, " "))
         number = F.lit(0.45) + cap(F.length(digits(x)) / 12.0, 1) * 0.25 + F.when(valid_id(x), 0.25).otherwise(0.0)
         date = F.lit(0.45) + cap(n / 10.0, 1) * 0.10 + F.when(valid_date(x), 0.25).otherwise(0.0)
-        marks = F.length(F.regexp_replace(x, r"[\p{L}\p{N}\s]", ""))
+        marks = F.length(F.regexp_replace(x, r"[\p{L}\p{N}\s]+", ""))
         prose = (
             F.lit(0.45) + cap(letters(x) / n, 1) * 0.25 + cap(k / 4.0, 1) * 0.10 + cap(n / 24.0, 1) * 0.10
             - cap(digit_count(x) / n * 0.20, 0.10) - cap(marks / n * 0.20, 0.10)

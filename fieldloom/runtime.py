@@ -72,3 +72,9 @@ def ship(spark: SparkSession) -> None:
             z.write(p, str(Path(here.name) / p.relative_to(here)))
     sc.addPyFile(str(target))
     _SHIPPED[sc.applicationId] = str(target)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that ``materialize`` wrote into the shared folder; frames over them can no longer be read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/fieldloom")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
