@@ -14,16 +14,12 @@ def test_materialize_and_discard(spark):
     runtime.discard(spark.range(1))  # nothing is behind it
 
 
-def test_the_session_names_the_folder(spark, tmp_path):
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}/shared")
-    try:
-        runtime.materialize(spark.range(4), "x").count()
-        assert list((tmp_path / "shared" / "fieldloom").iterdir())
-        runtime.clear(spark)
-        assert not (tmp_path / "shared" / "fieldloom").exists()
-    finally:
-        spark.conf.unset("spark.checkpoint.dir") if before is None else spark.conf.set("spark.checkpoint.dir", before)
+def test_tables_lie_in_the_shared_folder(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(runtime, "shared_dir", lambda s: f"file://{tmp_path}/shared")
+    runtime.materialize(spark.range(4), "x").count()
+    assert list((tmp_path / "shared" / "fieldloom").iterdir())
+    runtime.clear(spark)
+    assert not (tmp_path / "shared" / "fieldloom").exists()
 
 
 def test_ship_twice(spark):
