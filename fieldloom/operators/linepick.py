@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from fieldloom.functions import geometry as G
 from fieldloom.functions import text as T
+from fieldloom.runtime import materialize
 
 BOX = ("x1", "y1", "x2", "y2")
 # What a way of finding a value adds to its score.
@@ -105,7 +106,8 @@ def refine(lines: DataFrame, readings: DataFrame) -> DataFrame:
     Adds new_text, new_conf, replaced and the candidate's kind and box. A candidate replaces an empty reading, a label,
     a weak reading, or one that it clearly beats in score or length.
     """
-    top = candidates(ordered(lines.filter(F.col("field_name").isin(*T.LINE_FIELDS)))).filter("rank = 1")
+    lined = materialize(ordered(lines.filter(F.col("field_name").isin(*T.LINE_FIELDS))), "ordered")  # read by three branches
+    top = candidates(lined).filter("rank = 1")
     c = top.select("crop_id", "kind", "value", F.col("score").alias("c"), *BOX)
     r = readings.join(c, "crop_id", "left").withColumn("base", T.collapse(F.col("text"))).withColumn("b", F.coalesce("conf", F.lit(0.0)))
     f = F.col("field_name")

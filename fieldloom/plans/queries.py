@@ -834,7 +834,7 @@ def validate_fields(spark: SparkSession, d: str) -> DataFrame:
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
     """Segments with a box as lines: crop_id is the record and reading, field_name the record's."""
-    p = nested.parse(table(spark, d, "reviewed_raw"), "raw_id", "payload")
+    p = materialize(nested.parse(table(spark, d, "reviewed_raw"), "raw_id", "payload"), "parsed")
     rec = p.filter("kind = 'record'").select("record_id", T.canonical_field(F.coalesce("field_name", "class")).alias("field_name"))
     seg = p.filter("kind = 'segment'").select("record_id", "reading_no", "seg_no", "text", "score", G.bounds(F.col("box")).alias("b"))
     lines = seg.join(rec, "record_id").select(
@@ -844,7 +844,8 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
     label = F.when(F.col("field_name") == "full_name", "Họ và tên:").when(F.col("field_name") == "place_of_origin", "Quê quán:").when(F.col("field_name") == "place_of_residence", "Nơi thường trú:")
     first, odd = F.col("idx") == 1, F.col("crop_id") % 2 == 1
     above = lines.filter(first & ~odd & label.isNotNull() & F.col("y1").isNotNull()).withColumns({"idx": F.lit(0), "text": label, "y2": F.col("y1") - 5, "y1": F.col("y1") - 25})
-    return lines.withColumn("text", F.when(first & odd & label.isNotNull(), F.concat_ws(" ", label, "text")).otherwise(F.col("text"))).unionByName(above)
+    labelled = lines.withColumn("text", F.when(first & odd & label.isNotNull(), F.concat_ws(" ", label, "text")).otherwise(F.col("text"))).unionByName(above)
+    return materialize(labelled, "lines")  # payloads are parsed once, however often the lines are read
 
 
 @query()
@@ -859,7 +860,7 @@ def text_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def candidate_rank(spark: SparkSession, d: str) -> DataFrame:
-    return A.rounded(linepick.candidates(linepick.ordered(_lines(spark, d))).select("crop_id", "rank", "kind", "value", "score"))
+    return A.rounded(linepick.candidates(materialize(linepick.ordered(_lines(spark, d)), "ordered")).select("crop_id", "rank", "kind", "value", "score"))
 
 
 @query()
