@@ -342,8 +342,8 @@ def bucket(conf: Column, accept: float = 0.9, review: float = 0.5) -> Column:
 
 
 def metric_form(c: Column, spaces: bool = True, fold_case: bool = True) -> Column:
-    """A text as error rates compare it; options are chosen when the plan is made."""
-    x = text(c)
+    """A text as error rates compare it: composed; other options are chosen when the plan is made."""
+    x = text(nfc(c))
     x = collapse(x) if spaces else x
     return F.lower(x) if fold_case else x
 

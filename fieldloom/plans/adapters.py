@@ -79,6 +79,11 @@ def readings(spark: SparkSession, d: str) -> DataFrame:
     return r.select("row_id", "crop_path", F.col("class").alias("field_name"), "ann_id", text("ground_truth_text"), text("text_vietocr"), text("text_paddle"), text("best_text"))
 
 
+def real_readings(spark: SparkSession, d: str) -> DataFrame:
+    """Reviewed rows with texts as they are stored, in the columns of ``readings``."""
+    return table(spark, d, "reviewed_sample").select("row_id", "crop_path", F.col("class").alias("field_name"), "ann_id", "ground_truth_text", "text_vietocr", "text_paddle", "best_text")
+
+
 READINGS_SQL = f"""
     readings AS (
       SELECT row_id, crop_path, class AS field_name, ann_id, {sql_ascii('ground_truth_text')} AS t, {sql_ascii('text_vietocr')} AS v, {sql_ascii('text_paddle')} AS p, {sql_ascii('best_text')} AS b FROM reviewed_sample),

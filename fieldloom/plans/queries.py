@@ -121,6 +121,62 @@ def top_patterns(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.patterns(_scored(spark, d))
 
 
+# ---- evaluation of the texts as they are stored: accents and all other characters count; DuckDB counts bytes, so no SQL
+
+
+def _real_scored(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.scored(A.real_readings(spark, d))
+
+
+def _real_forms(spark: SparkSession, d: str) -> DataFrame:
+    """row_id, engine, t, g: the forms that error rates compare, for rows with truth."""
+    r = A.real_readings(spark, d)
+    r = r.select("row_id", T.metric_form(F.col("ground_truth_text")).alias("t"), *[T.metric_form(F.col(v)).alias(k) for k, v in evaluate.ENGINES.items()]).filter("t <> ''")
+    return r.select("row_id", "t", F.explode(F.create_map(*[x for k in evaluate.ENGINES for x in (F.lit(k), F.col(k))])).alias("engine", "g"))
+
+
+@query()
+def eval_summary_text(spark: SparkSession, d: str) -> DataFrame:
+    return A.rounded(evaluate.summary(_real_scored(spark, d)))
+
+
+@query()
+def char_distance_text(spark: SparkSession, d: str) -> DataFrame:
+    t, g = F.col("t"), F.col("g")
+    return A.rounded(_real_forms(spark, d).select("engine", "row_id", T.char_distance(t, g).cast("long").alias("chars"), T.cer(t, g).alias("cer")))
+
+
+@query()
+def eval_errors_text(spark: SparkSession, d: str) -> DataFrame:
+    return A.rounded(evaluate.errors(_real_scored(spark, d)).drop("ground_truth_text", "prediction_text"))
+
+
+@query()
+def top_errors_text(spark: SparkSession, d: str) -> DataFrame:
+    return A.rounded(evaluate.top_errors(_real_scored(spark, d)).select("engine", "rank", "truth", "guess", "cer"))
+
+
+@query()
+def fuzzy_le2_text(spark: SparkSession, d: str) -> DataFrame:
+    return A.rounded(evaluate.fuzzy(_real_scored(spark, d)))
+
+
+@query()
+def record_exact_text(spark: SparkSession, d: str) -> DataFrame:
+    s = evaluate.scored(A.real_readings(spark, d).withColumn("crop_path", F.col("ann_id").cast("string"))).withColumn("ann_id", F.col("crop_path").cast("long"))
+    return evaluate.record_exact(s, "ann_id")
+
+
+@query()
+def ned_text(spark: SparkSession, d: str) -> DataFrame:
+    return A.rounded(_real_forms(spark, d).select("row_id", "engine", T.normalized_distance(F.col("t"), F.col("g")).alias("ned")))
+
+
+@query()
+def top_patterns_text(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.patterns(_real_scored(spark, d))
+
+
 @query("""
     WITH t AS (SELECT row_id, trim(replace(crop_path, '\\', '/')) AS k_path, coalesce(nullif(field_name, ''), class) AS k_field, ground_truth_text FROM reviewed_sample),
     p AS (SELECT trim(replace(crop_path, '\\', '/')) AS k_path, coalesce(nullif(field_name, ''), '') AS k_field, arg_max(annotation_id, annotation_id) AS annotation_id FROM crop_manifest GROUP BY 1, 2)
