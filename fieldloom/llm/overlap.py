@@ -21,7 +21,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from fieldloom.functions.folding import strip_accents
 from fieldloom.llm import lookalike
@@ -32,6 +31,7 @@ WINDOW = 6  # K + 1 windows of this length fit into every text of MIN_CHARS or m
 SKETCH_BITS = 18
 SHARD_TEXTS = 20_000  # evaluation texts of an automaton, at most
 SLICE_TEXTS = 5_000  # training texts of a slice, about
+SHARD_WINDOWS = 100_000  # windows of an automaton of coverage, about
 _RATIO = 1.25  # lengths of one shard differ at most by this factor
 _DP_CHARS = 240  # longer texts are cut into K + 1 segments first
 
@@ -53,11 +53,8 @@ def file_name(c: Column) -> Column:
     return F.regexp_extract(c, r"([^/\\]+)[/\\]*$", 1)
 
 
-def records(rows: DataFrame, model: lookalike.Model | None = None) -> DataFrame:
-    """Rows with a split: row_id, side ('train' or the evaluation split, valid as val), best_source, file, bare text.
-
-    Files and texts that cannot overlap (null, empty or too short) are null.
-    """
+def _bare_rows(rows: DataFrame, model: lookalike.Model | None = None) -> DataFrame:
+    """Rows with a split: row_id, side ('train' or the evaluation split, valid as val), best_source, file, t (bare text of any length)."""
     model = model or lookalike.fit(rows, ["ground_truth_text"])
     side = F.when(F.col("split") == "valid", "val").otherwise(F.col("split"))
     text = bare(lookalike.plain_column(F.col("ground_truth_text"), model))
@@ -65,10 +62,17 @@ def records(rows: DataFrame, model: lookalike.Model | None = None) -> DataFrame:
     return (
         rows.filter(F.col("split").isin("train", "val", "valid", "test"))
         .select("row_id", side.alias("side"), "best_source", F.when(file != "", file).alias("file"), text.alias("t"))
-        .select("row_id", "side", "best_source", "file", F.when(F.length("t") >= MIN_CHARS, F.col("t")).alias("text"))
     )
 
 
+def records(rows: DataFrame, model: lookalike.Model | None = None) -> DataFrame:
+    """Rows with a split: row_id, side, best_source, file, bare text.
+
+    Files and texts that cannot overlap (null, empty or too short) are null.
+    """
+    return _bare_rows(rows, model).select("row_id", "side", "best_source", "file", F.when(F.length("t") >= MIN_CHARS, F.col("t")).alias("text"))
+
+
 def _codes(text: str) -> np.ndarray:
     x = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
     h = np.zeros(len(x) - WINDOW + 1, np.uint64)
@@ -235,29 +239,66 @@ def report(rows: DataFrame) -> DataFrame:
     )
 
 
-def coverage(rows: DataFrame) -> DataFrame:
-    """How much of each evaluation text stands in training texts: text, chars, covered.
+def matched_windows(train: DataFrame, held: DataFrame, size: int) -> DataFrame:
+    """Distinct windows (column w) of ``size`` characters that stand in a text of ``train`` and in one of ``held``.
 
-    The matched intervals of WINDOW or more characters, over all training texts that overlap it, merged. Texts
-    without a partner are left out.
+    The windows of the evaluation texts are the patterns of automata, each of a bounded number of patterns; every
+    training text passes through all of them, in slices of a bounded size.
     """
-    rec = records(rows).filter("text is not null")
-    pairs = similar_texts(_distinct(rec.filter("side = 'train'")), _distinct(rec.filter("side <> 'train'")))
+    spark = train.sparkSession
+    starts = F.sequence(F.lit(1), F.length("text") - size + 1)
+    a = held.filter(F.length("text") >= size).select(F.explode(F.transform(starts, lambda i: F.substring(F.col("text"), i, F.lit(size)))).alias("w")).distinct()
+    a = materialize(a, "windows")
+    b = train.filter(F.length("text") >= size).select(F.col("text").alias("t"))
+    # two counts, whatever the size of the tables
+    shards, slices = max(1, -(-a.count() // SHARD_WINDOWS)), max(1, -(-b.count() // SLICE_TEXTS))
+    key = ["shard", "slice"]
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    a = a.withColumn("shard", F.pmod(F.xxhash64("w"), F.lit(shards)).cast("int")).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    b = b.withColumn("slice", F.pmod(F.xxhash64("t"), F.lit(slices)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    a, b = a.select(*key, "w").repartition(tasks, *key), b.select(*key, "t").repartition(tasks, *key)
 
-    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from difflib import SequenceMatcher
+    def scan(patterns: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
+        import ahocorasick
 
-        for pdf in batches:
-            out = [
-                (e, m.a, m.a + m.size)
-                for e, t in zip(pdf["text_e"], pdf["text_t"], strict=True)
-                for m in SequenceMatcher(None, e, t, autojunk=False).get_matching_blocks()
-                if m.size >= WINDOW
-            ]
-            yield pd.DataFrame(out, columns=["text", "a", "b"])
-
-    hits = pairs.mapInPandas(match, "text string, a int, b int").distinct()
-    w = Window.partitionBy("text").orderBy("a", "b")
-    before = F.coalesce(F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    new = F.greatest(F.lit(0), F.col("b") - F.greatest(F.col("a"), F.col("before")))
-    return hits.withColumn("before", before).groupBy("text").agg(F.sum(new).cast("int").alias("covered")).select("text", F.length("text").alias("chars"), "covered")
+        if not len(patterns) or not len(texts):
+            return pd.DataFrame({"w": []}, dtype=object)
+        auto = ahocorasick.Automaton()
+        for w in patterns["w"]:
+            auto.add_word(w, w)
+        auto.make_automaton()
+        seen = {w for t in texts["t"] for _, w in auto.iter(t)}
+        return pd.DataFrame({"w": list(seen)}, dtype=object)
+
+    return a.groupBy(*key).cogroup(b.groupBy(*key)).applyInPandas(scan, "w string").distinct()
+
+
+def intervals(rows: DataFrame, size: int = WINDOW, model: lookalike.Model | None = None) -> DataFrame:
+    """Stretches of evaluation texts that stand in training texts: row_id, chars, a, b (from a up to b, b left out).
+
+    A run of ``size`` or more characters that an evaluation text shares with a training text is the union of its
+    windows of ``size``, so the windows that stand in any training text, merged where they overlap or touch, are
+    all such runs, merged. No pair has to be alike as a whole: a text that stands in parts of several training
+    texts, or inside a longer one, has its stretches too. Texts of ``size`` or more bare characters take part, on
+    both sides; a repeated text gives its stretches for each of its rows.
+    """
+    rec = materialize(_bare_rows(rows, model).filter(F.length("t") >= size).select("row_id", "side", F.col("t").alias("text")), "bare")
+    train, held = (materialize(rec.filter(c).select("text").distinct(), "distinct") for c in ("side = 'train'", "side <> 'train'"))
+    hit = matched_windows(train, held, size)
+    starts = F.transform(F.sequence(F.lit(1), F.length("text") - size + 1), lambda i: F.struct((i - 1).alias("a"), F.substring(F.col("text"), i, F.lit(size)).alias("w")))
+    at = held.select("text", F.explode(starts).alias("s")).select("text", "s.a", "s.w").join(hit, "w")
+    per = at.groupBy("text").agg(F.sort_array(F.collect_list("a")).alias("at"))  # as many as the text has characters
+    # a stretch begins where the start before is more than ``size`` back and ends after the last start before the next
+    far = lambda x, i: (i == 0) | (x - F.col("at")[F.greatest(i - 1, F.lit(0))] > size)
+    last = lambda x, i: (i == F.size("at") - 1) | (F.col("at")[F.least(i + 1, F.size("at") - 1)] - x > size)
+    spans = per.select("text", F.explode(F.arrays_zip(F.filter("at", far).alias("a"), F.transform(F.filter("at", last), lambda x: x + size).alias("b"))).alias("s"))
+    return rec.filter("side <> 'train'").select("row_id", "text").join(spans, "text").select("row_id", F.length("text").alias("chars"), "s.a", "s.b")
+
+
+def coverage(rows: DataFrame) -> DataFrame:
+    """How much of each evaluation record's text stands in training texts: row_id, chars, covered.
+
+    ``covered`` counts the characters in runs of WINDOW or more shared with any training text. Records without
+    such a run are left out.
+    """
+    return intervals(rows).groupBy("row_id", "chars").agg(F.sum(F.col("b") - F.col("a")).cast("int").alias("covered"))

@@ -94,3 +94,34 @@ def test_bare_form(spark):
     df = spark.createDataFrame([("Số 1, ĐƯỜNG-x",), ("",), (None,)], "t string")
     assert [r[0] for r in df.select(overlap.bare(F.col("t"))).collect()] == ["so1duongx", "", None]
     assert lookalike.LETTERS
+
+
+def covered_by_brute(rows, size):
+    bare = lambda t: "".join(c for c in (t or "").lower() if c.isalnum())
+    train, out = [bare(t) for _, s, _, t, _ in rows if s == "train"], {}
+    for i, s, _, t, _ in rows:
+        e = bare(t)
+        if s in ("val", "valid", "test"):
+            at = {k for j in range(len(e) - size + 1) if any(e[j : j + size] in x for x in train) for k in range(j, j + size)}
+            if at:
+                out[i] = (len(e), len(at))
+    return out
+
+
+def test_coverage_equals_brute_force_over_all_training_texts(spark, monkeypatch):
+    rng = random.Random(4)
+    long = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=90))
+    rows = make(rng, 60) + [(800, "train", None, long, "s"), (801, "train", None, "qwertyuiop", "s")]
+    # within a longer text; in parts of two texts; twice; too far from any text as a whole; nothing shared
+    rows += [(810, "val", None, long[30:55], "s"), (811, "test", None, long[:22] + "0123456789" + "qwertyuiop" + "98765432101234", "s"), (812, "val", None, long[30:55], "s"), (813, "test", None, "7" * 30, "s")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = covered_by_brute(rows, overlap.WINDOW)
+    assert want[810] == want[812] == (25, 25) and want[811] == (56, 32) and 813 not in want
+    assert {r.row_id: (r.chars, r.covered) for r in overlap.coverage(df).collect()} == want
+    monkeypatch.setattr(overlap, "SHARD_WINDOWS", 40)
+    monkeypatch.setattr(overlap, "SLICE_TEXTS", 9)
+    got = {}
+    for r in overlap.intervals(df, overlap.MIN_CHARS).collect():
+        n, c = got.get(r.row_id, (r.chars, 0))
+        got[r.row_id] = (n, c + r.b - r.a)
+    assert got == covered_by_brute(rows, overlap.MIN_CHARS)
