@@ -24,9 +24,11 @@ from fieldloom.runtime import materialize
 
 
 
-def fold(c):
-    """Lower case, accents off, confusable characters merged, marks and spaces reduced to one space."""
+def fold(c, numbers: bool = False):
+    """Lower case, accents off, confusable characters merged, marks and spaces reduced to one space; with ``numbers``, words of digits only are nines."""
     x = F.lower(strip_accents(c))
+    if numbers:
+        x = F.regexp_replace(x, r"(?:\G(?!^)|(?<![\p{L}\p{N}])(?=[0-9]+(?![\p{L}\p{N}])))[0-9]", "9")
     x = F.regexp_replace(x, "rn", "m")
     x = F.translate(x, "nbeq5801ij$|", "uhcgsholll" + "sl")
     return F.trim(F.regexp_replace(x, r"[^\p{L}\p{N}]+", " "))
@@ -48,12 +50,12 @@ FROM (SELECT row_id, best_source, class, field_name, coalesce(ann_id, -row_id) A
 WHERE text IS NOT NULL
 """
 
-# One row per distinct folded reading with its words; words of digits keep only their length.
+# One row per distinct folded reading with its words; words of digits keep only their length. They are told before digits fold to letters.
 _DISTINCT = """
 SELECT cls, folded, n, words, size(words) AS k FROM (
   SELECT cls, folded, n,
-         transform(split(folded, ' '), w -> CASE WHEN w RLIKE '^[0-9ols]*[0-9][0-9ols]*$' THEN repeat('9', length(w)) ELSE w END) AS words
-  FROM (SELECT cls, folded, count(*) AS n FROM (SELECT cls, folded, crop FROM {folded} WHERE folded <> '' GROUP BY cls, folded, crop)
+         transform(split(formed, ' '), w -> CASE WHEN w RLIKE '^[0-9ols]*[0-9][0-9ols]*$' THEN repeat('9', length(w)) ELSE w END) AS words
+  FROM (SELECT cls, folded, min(formed) AS formed, count(*) AS n FROM (SELECT cls, folded, crop, min(formed) AS formed FROM {folded} WHERE folded <> '' GROUP BY cls, folded, crop)
         GROUP BY cls, folded))
 """
 
@@ -90,11 +92,11 @@ SELECT cls, lvl, ctx, w, sum(CASE WHEN is_last THEN 0 ELSE n END) AS inside, sum
 FROM {states} GROUP BY cls, lvl, ctx, w
 """
 
-# Every beginning of a word is an internal occurrence, wherever the word itself stands.
+# Every beginning of a word is an internal occurrence, wherever the word itself stands; of a number, each lesser length.
 _BEGINNINGS = """
 SELECT cls, lvl, ctx, p AS w, sum(CASE WHEN whole THEN inside ELSE inside + ends END) AS inside, sum(CASE WHEN whole THEN ends ELSE 0 END) AS ends
 FROM (SELECT cls, lvl, ctx, inside, ends, e.p AS p, e.whole AS whole FROM (
-        SELECT *, explode(CASE WHEN w = '*' OR w LIKE '9%' THEN array(named_struct('p', w, 'whole', true))
+        SELECT *, explode(CASE WHEN w = '*' THEN array(named_struct('p', w, 'whole', true))
                                ELSE transform(sequence(1, length(w)), j -> named_struct('p', left(w, j), 'whole', j = length(w))) END) AS e
         FROM {counts}))
 GROUP BY cls, lvl, ctx, p
@@ -126,7 +128,7 @@ def truncated(rows: DataFrame, params: dict | None = None, checked: bool = True)
     need = ["row_id", "ann_id", "best_source", "class", "field_name", "best_text", "text_paddle"]
     readings = spark.sql(_READINGS, rows=rows.select(*need))
     folded = readings.withColumn("folded", fold(F.col("text")))
-    texts = materialize(spark.sql(_DISTINCT, folded=folded), "texts")  # read by four branches
+    texts = materialize(spark.sql(_DISTINCT, folded=folded.withColumn("formed", fold(F.col("text"), numbers=True))), "texts")  # read by four branches
     keywords = spark.sql(_KEYWORDS, texts=texts, keyword_share=p["keyword_share"])
     marked = spark.sql(_MARKED, texts=texts, keywords=keywords)
     states = spark.sql(_STATES.replace("@first", "0"), marked=marked)
@@ -142,7 +144,7 @@ def truncated(rows: DataFrame, params: dict | None = None, checked: bool = True)
 
 
 def _without_common_endings(flagged: DataFrame, texts: DataFrame, p: dict) -> DataFrame:
-    """Drop readings whose last two words are within a small distance of a common ending.
+    """Drop readings whose last two words are within a small distance of a common ending, unless they are nearer to it cut short.
 
     An ending is common if a share of the class's readings has it, so there are at most 1 / share of them a class.
     """
@@ -154,7 +156,9 @@ def _without_common_endings(flagged: DataFrame, texts: DataFrame, p: dict) -> Da
         .groupBy("cls").agg(F.collect_list("ending").alias("endings"))
     )
     tail = F.regexp_extract("folded", r"(\S+ \S+)$", 1)
-    near = F.exists("endings", lambda e: (e != "") & (F.levenshtein(tail, e) <= F.greatest(F.lit(1), F.floor(F.length(e) / 4))) & (F.length(tail) >= F.length(e) - 1))
+    # one character short is a lost letter within the ending, or the ending cut: whichever takes fewer edits
+    cut = lambda e: (F.length(tail) == F.length(e) - 1) & (F.levenshtein(tail, F.substring(e, F.lit(1), F.length(e) - 1)) < F.levenshtein(tail, e))
+    near = F.exists("endings", lambda e: (e != "") & (F.levenshtein(tail, e) <= F.greatest(F.lit(1), F.floor(F.length(e) / 4))) & (F.length(tail) >= F.length(e) - 1) & ~cut(e))
     return flagged.join(ends, "cls", "left").filter(~F.coalesce(near, F.lit(False))).drop("endings")
 
 

@@ -59,3 +59,26 @@ def test_report_counts_each_source(spark):
     data, planted = rows()
     rep = {(r.best_source, r.field): r.truncated for r in T.truncation_report(spark.createDataFrame(data, SCHEMA)).collect()}
     assert rep[(None, "best_text")] + rep[("vietocr", "best_text")] >= 0.9 * len(planted) and rep[("vietocr", "text_paddle")] <= 1
+
+
+def test_cuts_in_ids_dates_and_just_before_the_end(spark):
+    rng = random.Random(8)
+    digits = lambda k: "".join(rng.choices("0123456789", k=k))
+    whole = {"id": lambda: digits(12), "birth": lambda: f"{rng.randrange(2, 29):02}/{rng.randrange(2, 10):02}/19{digits(2)}", "address": lambda: address(rng)}
+    out, planted = [], set()
+    for c, (cls, make) in enumerate(whole.items()):
+        for i in range(1500):
+            key, t = 10_000 * c + i, make()
+            b = t
+            if i < (12 if cls == "address" else 24):  # fewer of one ending than make a common ending
+                b = t[: -(1 + i % {"id": 6, "birth": 3, "address": 1}[cls])]
+                planted.add(key)
+            out.append((key, key, "a", cls, None, b, t, 1, "x"))
+    got = {r.row_id for r in T.truncated(spark.createDataFrame(out, SCHEMA)).filter("field = 'best_text'").collect()}
+    for c in range(3):
+        of = {k for k in planted if k // 10_000 == c}
+        assert len(got & of) >= 0.9 * len(of), (c, len(got & of))
+    assert len(got - planted) <= 6
+    # a letter lost within a common ending is no cut
+    odd = [(90_000, 90_000, "a", "address", None, "Thon Klao Brum, xa Tiem Phoi, huyen Quan Reng, tinh Moc Tanh", None, 1, "x")]
+    assert not [r for r in T.truncated(spark.createDataFrame(out + odd, SCHEMA)).collect() if r.row_id == 90_000]
