@@ -71,3 +71,15 @@ def test_em_learns_which_function_errs():
     _, acc = Q.fit(vectors)
     assert acc[-1].max() < acc[:-1].min()
     assert Q.fit({})[0].shape == (k,)
+
+
+def test_repeats_are_measured_in_every_text(spark):
+    import re
+
+    rng = random.Random(6)
+    texts = ["aaaaaaa bbbbbbb ccccccc ddddddd", "one two three four five", "abcdefabcdefabcdefabcdefabcdef and other words here", "abcdefabcdefabcdefabcdefabcde and other words", "xyxyxyxyxy", "a"]
+    texts += ["name        place        year        town", *["".join(rng.choices("ab ", k=rng.randrange(5, 90))) + "c" for _ in range(60)]]
+    docs, common = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame([("the",)], "word string")
+    got = {r.doc_id: r.unrepeated for r in Q.statistics(docs, common).select("doc_id", "unrepeated").collect()}
+    assert {i: round(v, 9) for i, v in got.items()} == {i: round(len(re.sub(r"(.{1,6}?)\1{4,}", "", t)) / len(t), 9) for i, t in enumerate(texts)}
+    assert got[0] < 0.5 and got[6] < 0.5
