@@ -1,11 +1,13 @@
 """Problem 5: splits that keep related records together.
 
 Records that share an entity are joined in a graph, whose components are found by random-mate contraction: in each
-round every vertex tosses a coin (a hash of its id and the round), and each tail with a head among its neighbours
-is contracted into the smallest such head; edges move along and vanish when both ends have become one. Vertices with
-a single neighbour need no coin: they are raked into it, so that stars, however hot, go in one round. A map of each
-round is written to the shared folder, and the maps are unwound from the last to the first when no edge is left.
-All of it is joins and aggregates; the driver sees one count a round.
+round every vertex tosses a coin of many sides (a hash of its id and the round, weighted by its degree), and a vertex
+that beats all its neighbours is a head. Every other vertex whose best neighbour is a head is collapsed into it;
+edges move along and vanish when both ends have become one. The winner among all vertices of a component is always a
+head, so every component shrinks in every round, a lone edge vanishes at once, and since a hub beats its d leaves
+with chance d / (d + 1), a star, however hot, mostly goes in one round. A map of each round is written to the shared
+folder, and the maps are unwound from the first to the last when no edge is left. All of it is joins and
+aggregates; the driver sees one count a round.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql.window import Window
 from fieldloom.runtime import discard, materialize
 
 MAX_ROUNDS = 200
+UNWIND = 4  # maps that are unwound in one plan
 
 
 def components(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
@@ -43,13 +46,15 @@ def components(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
         discard(live)
         live = following
         maps.append(step)
-    else:
-        if not live.isEmpty():
-            raise RuntimeError(f"edges are left after {max_rounds} rounds")
+    if not live.isEmpty():
+        raise RuntimeError(f"edges are left after {max_rounds} rounds")
+    discard(live)
     out = vertices.withColumn("component", F.col("vertex"))
-    for step in maps:  # each map's heads may be tails of later rounds
+    for k, step in enumerate(maps):  # each map's heads may be collapsed in later rounds
         s = step.select(F.col("v").alias("x"), F.col("head").alias("y"))
         out = out.join(s, F.col("component") == F.col("x"), "left").select("vertex", F.coalesce("y", "component").alias("component"))
+        if k % UNWIND == UNWIND - 1 and k < len(maps) - 1:
+            out = materialize(out, "unwound")
     return out
 
 
@@ -59,22 +64,18 @@ def _simple(e: DataFrame) -> DataFrame:
 
 
 def _mates(live: DataFrame, k: int) -> DataFrame:
-    """Contractions of one round: v goes into head. No head is contracted itself."""
+    """Contractions of round ``k``: v goes into head. No head is contracted itself.
+
+    Draws are exponential with the squared degree as rate, so the least is an unfair coin's winner. The joins are
+    with one row a vertex; a hot vertex's edges are what adaptive execution splits.
+    """
     both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = both.groupBy("a").agg(F.count("*").alias("d"), F.min("b").alias("one"))
-    # A leaf is raked: into its neighbour, or into the smaller end of a lone edge. Others toss a coin; a vertex that
-    # a leaf may go into counts as head only if its coin says so, except that leaves always find their neighbour.
-    coin = lambda c: F.pmod(F.xxhash64(c, F.lit(k)), F.lit(2)) == 0
-    leaf = degree.filter("d = 1").select(F.col("a").alias("v"), F.col("one").alias("n"))
-    partner = leaf.select(F.col("v").alias("p"))
-    raked = leaf.join(partner, F.col("n") == F.col("p"), "left").filter((F.col("p").isNull()) | (F.col("n") < F.col("v"))).select("v", F.col("n").alias("head"))
-    tails = both.join(degree.filter("d > 1").select(F.col("a").alias("x")), F.col("a") == F.col("x"), "left_semi").filter(~coin("a") & coin("b"))
-    inner = tails.join(degree.filter("d > 1").select(F.col("a").alias("x")), F.col("b") == F.col("x"), "left_semi").groupBy("a").agg(F.min("b").alias("head"))
-    mates = inner.select(F.col("a").alias("v"), "head")
-    # A raked leaf follows its neighbour where that is contracted in the same round.
-    follow = mates.select(F.col("v").alias("x"), F.col("head").alias("y"))
-    raked = raked.join(follow, F.col("head") == F.col("x"), "left").select("v", F.coalesce("y", "head").alias("head"))
-    return raked.unionByName(mates)
+    u = (F.pmod(F.xxhash64("a", F.lit(k)), F.lit(1 << 52)) + 1) / float((1 << 52) + 1)
+    drawn = both.groupBy("a").agg(F.count("*").alias("d")).select(F.col("a").alias("v"), F.struct((-F.log(u) / (F.col("d") * F.col("d"))).alias("draw"), F.col("a").alias("v")).alias("own"))
+    best = both.join(drawn.withColumnRenamed("v", "n"), F.col("b") == F.col("n")).groupBy("a").agg(F.min("own").alias("best"))
+    met = best.join(drawn, F.col("a") == F.col("v")).select("v", "own", "best")
+    heads = met.filter("own < best").select(F.col("v").alias("head"))
+    return met.filter("own > best").select("v", F.col("best.v").alias("goal")).join(heads, F.col("goal") == F.col("head")).select("v", "head")
 
 
 def base_name(c: Column) -> Column:

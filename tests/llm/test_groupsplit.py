@@ -41,6 +41,18 @@ def test_components_of_nothing(spark):
     assert G.components(spark.createDataFrame([(None, 1)], "a long, b long")).count() == 0
 
 
+def test_coins_contract_stars(spark):
+    """A star is contracted by tosses, in few rounds, whatever its size; each round's heads stay."""
+    for n in (1, 2, 2000):
+        live = G._simple(spark.createDataFrame([(0, i) for i in range(1, n + 1)], "a long, b long"))
+        mates = G._mates(live, 0).collect()
+        assert mates and not {r.v for r in mates} & {r.head for r in mates}
+        assert len({r.v for r in mates}) == len(mates)
+    stars = G._simple(spark.createDataFrame([(3 * i, 3 * i + j) for i in range(300) for j in (1, 2)], "a long, b long"))
+    won = [r.head % 3 == 0 for r in G._mates(stars, 0).dropDuplicates(["head"]).collect()]
+    assert 170 <= sum(won) <= 230 and len(won) == 300  # the hub wins two of three tosses, not all
+
+
 ROWS = [
     (1, "train", "x/IMG00000001.jpg", "c/a.jpg"), (2, "valid", "img00000001_blur_jpg.rf.ab.jpg", "c/b.jpg"), (3, "val", "b\\img00000002.png", None), (4, "val", None, "q/img00000002_9.jpg"),
     (5, None, "img00000001.jpg", None), (6, "test", None, None), (7, "train", "odd.jpg", None), (8, "test", "z/ODD.JPG", None), (9, "train", "img00000001.jpg", ""), (10, "test", "img000000017.jpg", None),
