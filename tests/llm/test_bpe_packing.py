@@ -86,6 +86,27 @@ def test_plan_holds_every_item(h):
     assert len(packing.plan({k: v * 10**9 for k, v in h.items()}, 50)) <= 200
 
 
+def test_tiers_change_the_packing():
+    """With one tier it is best-fit decreasing; each further tier packs windows of its own size first."""
+    rng = random.Random(5)
+    h = {rng.randrange(1, rng.choice([150, 400, 900, 2049])): rng.randrange(1, 40) for _ in range(600)}
+    shape = {levels: sorted((p.n, tuple(sorted(p.sizes))) for p in packing.plan(h, 2048, levels)) for levels in (1, 2, 3, 4)}
+    assert len({str(v) for v in shape.values()}) == 4
+    least = -(-sum(s * n for s, n in h.items()) // 2048)
+    assert all(sum(n for n, _ in v) <= least * 1.02 + 1 for v in shape.values())
+
+
+def test_windows_keep_to_their_tier_and_gaps_are_filled_from_shorter_ones():
+    capacity = 64
+    h = {60: 3, 40: 2, 30: 5, 17: 4, 9: 8, 4: 2, 3: 5}
+    for p in packing.plan(h, capacity, 3):
+        low, top = packing.tiers(capacity, 3)[p.tier]
+        own = [s for s in p.sizes if low <= s <= top]
+        assert own and all(s <= top for s in p.sizes)  # nothing longer than the tier that opened it
+    longest = [p for p in packing.plan(h, capacity, 3) if p.tier == 0]
+    assert sum(p.n for p in longest) == 5 and all(any(s <= 32 for s in p.sizes) for p in longest)
+
+
 def test_plan_refuses_sizes_beyond_the_capacity():
     with pytest.raises(ValueError):
         packing.plan({51: 1}, 50)
