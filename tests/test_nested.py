@@ -58,4 +58,43 @@ def test_map_readings(spark):
     c = "map<string, struct<text: string, confidence: double, backend: string>>"
     df = spark.createDataFrame([(1, {"v": ("", None, "b"), "w": None}), (2, None), (3, {}), (1, {"v": ("x", 0.5, None)})], f"row_id long, candidates {c}")
     got = sorted((r.record_id, r.engine, r.text, r.variant) for r in N.map_readings(df).collect())
-    assert got == [(1, "v", "", "text+backend"), (1, "v", "x", "text+confidence")]
+    assert got == [(1, "v", "", "text"), (1, "v", "x", "scored")]
+
+
+def test_typed_and_untyped_readings_take_the_same_steps(spark):
+    """Every reading is routed to one table, by the same automaton for structs and for JSON."""
+    members = {"text": "x", "confidence": 0.5, "backend": "b", "needs_review": True, "raw_text": "r", "normalized_text": "n"}
+    names = list(members)
+    some = [{k: v for j, (k, v) in enumerate(members.items()) if i >> j & 1} for i in range(64)]
+    c = "map<string, struct<text: string, confidence: double, backend: string, needs_review: boolean, raw_text: string, normalized_text: string>>"
+    df = spark.createDataFrame([(i, {"v": tuple(m.get(k) for k in names)}) for i, m in enumerate(some)], f"row_id long, candidates {c}")
+    typed = {r.record_id: r.variant for r in N.map_readings(df).collect()}
+    untyped = {i: next(r["variant"] for r in N.rows_of(i, json.dumps({"candidates": {"v": m}})) if r["kind"] == "reading") for i, m in enumerate(some)}
+    assert typed == untyped and set(typed.values()) == set(N.READING_VARIANTS)
+    t = N.map_tables(df)
+    assert sum(t[f"readings_{v}"].count() for v in N.READING_VARIANTS) == 64 == t["records"].count()
+    assert N.found(df, spark.createDataFrame([], "raw_id long, payload string")).count() == 64
+
+
+DEEP = "[" * 900 + '["a", 0.5]' + "]" * 900
+
+
+@pytest.mark.parametrize("payload,segments", [
+    ('{"candidates": {"v": {"raw": ' + DEEP + "}}}", ["a"]),
+    ('{"candidates": {"v": {"text": ' + DEEP + ', "raw": [["b", 1]]}}}', ["b"]),
+    ('{"extra": ' + DEEP + "}", []),
+    ('{"candidates": {"v": {"raw": [["\\ud83d x", 0.5], ["\\ud83d\\ude00", 1]]}}, "crop_path": "\\udc00"}', ["\ufffd x", "\U0001f600"]),
+    ('{"ann_id": 99999999999999999999999, "candidates": {"v": {"confidence": 1' + "0" * 390 + ', "raw": [["a", 1' + "0" * 390 + "]]}}}", ["a"]),
+    ('{"ann_id": 1' + "0" * 6000 + "}", []),
+    ('{"candidates": {"v": {"raw": [{"text": "a"}, {"other": 1}, 5, [null, 0.5], ["b", 0.5], "c"]}}}', ["a", "b"]),
+])
+def test_odd_values_fail_no_task(spark, payload, segments):
+    df = spark.createDataFrame([(1, payload), (2, '{"candidates": {"v": "x"}}')], "raw_id long, payload string")
+    rows = N.parse(df, "raw_id", "payload").collect()
+    assert [r.text for r in sorted((r for r in rows if r.kind == "segment"), key=lambda r: r.seg_no)] == segments
+    assert {r.record_id for r in rows} == {1, 2} and all(r.ann_id is None for r in rows)
+
+
+@pytest.mark.parametrize("payload", ['{"candidates": {"v": {"confidence": NaN}}}', '{"candidates": {"v": "x"}, "a": -Infinity}', "[" * 2_000_000])
+def test_what_is_no_json_gives_nothing(payload):
+    assert N.rows_of(1, payload) == []
