@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from fieldloom.functions.folding import strip_accents
 from fieldloom.runtime import table
 
 # First word of a part's type -> class of an annotation.
@@ -63,41 +62,34 @@ SQL = """
 """
 
 
-def ascii_form(c: Column) -> Column:
-    """Lower case, accents off, nothing beyond ASCII: the form in which both engines count edits alike."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(strip_accents(F.lower(F.coalesce(c, F.lit(""))))), r"[^ -~\s]", ""), r"\s+", " "))
-
-
-def sql_ascii(c: str) -> str:
-    return f"trim(regexp_replace(regexp_replace(strip_accents(replace(replace(lower(coalesce({c}, '')), 'đ', 'd'), 'ð', 'd')), '[^ -~\\s]', '', 'g'), '\\s+', ' ', 'g'))"
-
-
 def readings(spark: SparkSession, d: str) -> DataFrame:
-    """Reviewed rows with texts in ASCII form: row_id, crop_path, field_name, ground_truth_text, three engines' texts."""
-    r = table(spark, d, "reviewed_sample")
-    text = lambda c: ascii_form(F.col(c)).alias(c)
-    return r.select("row_id", "crop_path", F.col("class").alias("field_name"), "ann_id", text("ground_truth_text"), text("text_vietocr"), text("text_paddle"), text("best_text"))
+    """Reviewed rows with texts as they are stored: row_id, crop_path, field_name, ann_id, ground_truth_text, three engines' texts."""
+    return table(spark, d, "reviewed_sample").select("row_id", "crop_path", F.col("class").alias("field_name"), "ann_id", "ground_truth_text", "text_vietocr", "text_paddle", "best_text")
 
 
-def real_readings(spark: SparkSession, d: str) -> DataFrame:
-    """Reviewed rows with texts as they are stored, in the columns of ``readings``."""
-    return table(spark, d, "reviewed_sample").select("row_id", "crop_path", F.col("class").alias("field_name"), "ann_id", "ground_truth_text", "text_vietocr", "text_paddle", "best_text")
+def sql_form(c: str) -> str:
+    """Composed, white space collapsed: as error rates and clean-up see a text."""
+    return f"trim(regexp_replace(nfc_normalize(coalesce({c}, '')), '[\\s\\p{{Z}}\\x1c-\\x1f\\x85]+', ' ', 'g'))"
 
 
+# DuckDB counts edits in bytes, so each distinct character of a pair stands for one code below 128, and each distinct word too.
+_SPELL = "array_to_string(list_transform({items}, lambda x: chr(list_position({letters}, x)::INT)), '')"
 READINGS_SQL = f"""
     readings AS (
-      SELECT row_id, crop_path, class AS field_name, ann_id, {sql_ascii('ground_truth_text')} AS t, {sql_ascii('text_vietocr')} AS v, {sql_ascii('text_paddle')} AS p, {sql_ascii('best_text')} AS b FROM reviewed_sample),
+      SELECT row_id, crop_path, class AS field_name, ann_id, {', '.join(f'lower({sql_form(c)}) AS {k}' for k, c in (('t', 'ground_truth_text'), ('v', 'text_vietocr'), ('p', 'text_paddle'), ('b', 'best_text')))} FROM reviewed_sample),
     long0 AS (
       SELECT row_id, crop_path, field_name, t, 'vietocr' AS engine, v AS g FROM readings WHERE t <> '' UNION ALL
       SELECT row_id, crop_path, field_name, t, 'paddleocr', p FROM readings WHERE t <> '' UNION ALL
       SELECT row_id, crop_path, field_name, t, 'best', b FROM readings WHERE t <> ''),
-    words0 AS (SELECT *, list_filter(string_split(t, ' '), lambda x: x <> '') AS tw, list_filter(string_split(g, ' '), lambda x: x <> '') AS gw FROM long0),
-    coded AS (SELECT *, list_distinct(list_concat(tw, gw)) AS vocab FROM words0),
+    words0 AS (
+      SELECT *, list_filter(string_split(t, ' '), lambda x: x <> '') AS tw, list_filter(string_split(g, ' '), lambda x: x <> '') AS gw,
+             list_transform(range(1, length(t) + 1), lambda i: t[i]) AS tc, list_transform(range(1, length(g) + 1), lambda i: g[i]) AS gc FROM long0),
+    coded AS (SELECT *, list_distinct(list_concat(tw, gw)) AS vocab, list_distinct(list_concat(tc, gc)) AS letters FROM words0),
+    counted AS (
+      SELECT *, levenshtein({_SPELL.format(items='tc', letters='letters')}, {_SPELL.format(items='gc', letters='letters')}) AS chars,
+             levenshtein({_SPELL.format(items='tw', letters='vocab')}, {_SPELL.format(items='gw', letters='vocab')}) AS wrong_words FROM coded),
     scored AS (
-      SELECT row_id, crop_path, field_name, engine, t, g, levenshtein(t, g) AS chars, levenshtein(t, g)::DOUBLE / length(t) AS cer,
-             levenshtein(array_to_string(list_transform(tw, lambda x: chr((32 + list_position(vocab, x))::INT)), ''), array_to_string(list_transform(gw, lambda x: chr((32 + list_position(vocab, x))::INT)), ''))::DOUBLE / len(tw) AS wer,
-             CASE WHEN t = g THEN 1 ELSE 0 END AS exact
-      FROM coded)
+      SELECT row_id, crop_path, field_name, engine, t, g, tc, gc, chars, chars::DOUBLE / len(tc) AS cer, wrong_words::DOUBLE / len(tw) AS wer, CASE WHEN t = g THEN 1 ELSE 0 END AS exact FROM counted)
 """
 
 

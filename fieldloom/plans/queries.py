@@ -50,13 +50,20 @@ def p2_readings(spark: SparkSession, d: str) -> DataFrame:
     return nested.map_readings(table(spark, d, "reviewed_sample")).drop("reading_no", "variant")
 
 
-# ---- evaluation
+# ---- evaluation of the texts as they are stored: accents and all other characters count
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.scored(A.readings(spark, d))
 
 
+def _forms(spark: SparkSession, d: str) -> DataFrame:
+    """row_id, engine, t, g: the forms that error rates compare, for rows with truth."""
+    r = A.readings(spark, d)
+    r = r.select("row_id", T.metric_form(F.col("ground_truth_text")).alias("t"), *[T.metric_form(F.col(v)).alias(k) for k, v in evaluate.ENGINES.items()]).filter("t <> ''")
+    return r.select("row_id", "t", F.explode(F.create_map(*[x for k in evaluate.ENGINES for x in (F.lit(k), F.col(k))])).alias("engine", "g"))
+
+
 @query(f"""
     WITH {A.READINGS_SQL}
     SELECT engine, CASE WHEN grouping(field_name) = 1 THEN 'overall' ELSE 'per_field' END AS scope, CASE WHEN grouping(field_name) = 1 THEN '*' ELSE field_name END AS field_name,
@@ -67,12 +74,10 @@ def eval_summary(spark: SparkSession, d: str) -> DataFrame:
     return A.rounded(evaluate.summary(_scored(spark, d)))
 
 
-@query(f"WITH {A.READINGS_SQL} SELECT engine, row_id, chars, round(cer, 6) AS cer FROM (SELECT *  FROM scored)")
+@query(f"WITH {A.READINGS_SQL} SELECT engine, row_id, chars, round(cer, 6) AS cer FROM scored")
 def char_distance(spark: SparkSession, d: str) -> DataFrame:
-    r = A.readings(spark, d).filter("ground_truth_text <> ''")
-    e = r.select("row_id", "ground_truth_text", F.explode(F.create_map(*[x for k, v in evaluate.ENGINES.items() for x in (F.lit(k), F.col(v))])).alias("engine", "g"))
-    t, g = F.col("ground_truth_text"), F.col("g")
-    return A.rounded(e.select("engine", "row_id", T.char_distance(t, g).cast("long").alias("chars"), T.cer(t, g).alias("cer")))
+    t, g = F.col("t"), F.col("g")
+    return A.rounded(_forms(spark, d).select("engine", "row_id", T.char_distance(t, g).cast("long").alias("chars"), T.cer(t, g).alias("cer")))
 
 
 @query(f"WITH {A.READINGS_SQL} SELECT engine, field_name, crop_path, t AS truth, g AS guess, round(cer, 6) AS cer, round(wer, 6) AS wer FROM scored WHERE exact = 0")
@@ -104,16 +109,14 @@ def record_exact(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.record_exact(s, "ann_id")
 
 
-@query(f"WITH {A.READINGS_SQL} SELECT row_id, engine, round(CASE WHEN length(t) + length(g) = 0 THEN 0 ELSE chars::DOUBLE / greatest(length(t), length(g)) END, 6) AS ned FROM scored")
+@query(f"WITH {A.READINGS_SQL} SELECT row_id, engine, round(chars::DOUBLE / greatest(len(tc), len(gc)), 6) AS ned FROM scored")
 def ned(spark: SparkSession, d: str) -> DataFrame:
-    r = A.readings(spark, d).filter("ground_truth_text <> ''")
-    e = r.select("row_id", "ground_truth_text", F.explode(F.create_map(*[x for k, v in evaluate.ENGINES.items() for x in (F.lit(k), F.col(v))])).alias("engine", "g"))
-    return A.rounded(e.select("row_id", "engine", T.normalized_distance(F.col("ground_truth_text"), F.col("g")).alias("ned")))
+    return A.rounded(_forms(spark, d).select("row_id", "engine", T.normalized_distance(F.col("t"), F.col("g")).alias("ned")))
 
 
 @query(f"""
     WITH {A.READINGS_SQL},
-    d AS (SELECT engine, list_filter(list_transform(range(1, length(t) + 1), lambda i: t[i] || '>' || g[i]), lambda x: x[1] <> x[3]) AS d FROM scored WHERE exact = 0 AND length(t) = length(g)),
+    d AS (SELECT engine, list_filter(list_transform(range(1, len(tc) + 1), lambda i: tc[i] || '>' || gc[i]), lambda x: x[1] <> x[3]) AS d FROM scored WHERE exact = 0 AND len(tc) = len(gc)),
     c AS (SELECT engine, d[1] AS pattern, count(*) AS n FROM d WHERE len(d) = 1 GROUP BY engine, d[1])
     SELECT * FROM (SELECT engine, pattern, n, row_number() OVER (PARTITION BY engine ORDER BY n DESC, pattern) AS rank FROM c) WHERE rank <= 10
 """)
@@ -121,62 +124,6 @@ def top_patterns(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.patterns(_scored(spark, d))
 
 
-# ---- evaluation of the texts as they are stored: accents and all other characters count; DuckDB counts bytes, so no SQL
-
-
-def _real_scored(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.scored(A.real_readings(spark, d))
-
-
-def _real_forms(spark: SparkSession, d: str) -> DataFrame:
-    """row_id, engine, t, g: the forms that error rates compare, for rows with truth."""
-    r = A.real_readings(spark, d)
-    r = r.select("row_id", T.metric_form(F.col("ground_truth_text")).alias("t"), *[T.metric_form(F.col(v)).alias(k) for k, v in evaluate.ENGINES.items()]).filter("t <> ''")
-    return r.select("row_id", "t", F.explode(F.create_map(*[x for k in evaluate.ENGINES for x in (F.lit(k), F.col(k))])).alias("engine", "g"))
-
-
-@query()
-def eval_summary_text(spark: SparkSession, d: str) -> DataFrame:
-    return A.rounded(evaluate.summary(_real_scored(spark, d)))
-
-
-@query()
-def char_distance_text(spark: SparkSession, d: str) -> DataFrame:
-    t, g = F.col("t"), F.col("g")
-    return A.rounded(_real_forms(spark, d).select("engine", "row_id", T.char_distance(t, g).cast("long").alias("chars"), T.cer(t, g).alias("cer")))
-
-
-@query()
-def eval_errors_text(spark: SparkSession, d: str) -> DataFrame:
-    return A.rounded(evaluate.errors(_real_scored(spark, d)).drop("ground_truth_text", "prediction_text"))
-
-
-@query()
-def top_errors_text(spark: SparkSession, d: str) -> DataFrame:
-    return A.rounded(evaluate.top_errors(_real_scored(spark, d)).select("engine", "rank", "truth", "guess", "cer"))
-
-
-@query()
-def fuzzy_le2_text(spark: SparkSession, d: str) -> DataFrame:
-    return A.rounded(evaluate.fuzzy(_real_scored(spark, d)))
-
-
-@query()
-def record_exact_text(spark: SparkSession, d: str) -> DataFrame:
-    s = evaluate.scored(A.real_readings(spark, d).withColumn("crop_path", F.col("ann_id").cast("string"))).withColumn("ann_id", F.col("crop_path").cast("long"))
-    return evaluate.record_exact(s, "ann_id")
-
-
-@query()
-def ned_text(spark: SparkSession, d: str) -> DataFrame:
-    return A.rounded(_real_forms(spark, d).select("row_id", "engine", T.normalized_distance(F.col("t"), F.col("g")).alias("ned")))
-
-
-@query()
-def top_patterns_text(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.patterns(_real_scored(spark, d))
-
-
 @query("""
     WITH t AS (SELECT row_id, trim(replace(crop_path, '\\', '/')) AS k_path, coalesce(nullif(field_name, ''), class) AS k_field, ground_truth_text FROM reviewed_sample),
     p AS (SELECT trim(replace(crop_path, '\\', '/')) AS k_path, coalesce(nullif(field_name, ''), '') AS k_field, arg_max(annotation_id, annotation_id) AS annotation_id FROM crop_manifest GROUP BY 1, 2)

@@ -39,17 +39,17 @@ def expected():
 def test_real_texts_equal_brute_force(spark, folder):
     run = lambda name: queries.QUERIES[name](spark, folder).collect()
     want = expected()
-    assert {(r.row_id, r.engine): (r.chars, r.cer) for r in run("char_distance_text")} == {k: (distance(t, g), round(distance(t, g) / len(t), 6)) for k, (t, g, *_) in want.items()}
-    assert {(r.row_id, r.engine): r.ned for r in run("ned_text")} == {k: round(distance(t, g) / max(len(t), len(g)), 6) for k, (t, g, *_) in want.items()}
-    assert sorted((r.engine, r.truth, r.guess) for r in run("eval_errors_text")) == sorted((e, t, g) for (_, e), (t, g, *_) in want.items() if t != g)
-    assert len(run("top_errors_text")) == sum(t != g for t, g, *_ in want.values())
-    whole = {r.engine: r for r in run("eval_summary_text") if r.scope == "overall"}
+    assert {(r.row_id, r.engine): (r.chars, r.cer) for r in run("char_distance")} == {k: (distance(t, g), round(distance(t, g) / len(t), 6)) for k, (t, g, *_) in want.items()}
+    assert {(r.row_id, r.engine): r.ned for r in run("ned")} == {k: round(distance(t, g) / max(len(t), len(g)), 6) for k, (t, g, *_) in want.items()}
+    assert sorted((r.engine, r.truth, r.guess) for r in run("eval_errors")) == sorted((e, t, g) for (_, e), (t, g, *_) in want.items() if t != g)
+    assert len(run("top_errors")) == sum(t != g for t, g, *_ in want.values())
+    whole = {r.engine: r for r in run("eval_summary") if r.scope == "overall"}
     for e in ("vietocr", "paddleocr", "best"):
         of = [v for (_, x), v in want.items() if x == e]
         assert whole[e]["count"] == 3 and whole[e].exact_match_rate == round(sum(t == g for t, g, *_ in of) / 3, 6)
         assert whole[e].cer == round(sum(distance(t, g) / len(t) for t, g, *_ in of) / 3, 6)
         assert whole[e].wer == round(sum(distance(t.split(), g.split()) / len(t.split()) for t, g, *_ in of) / 3, 6)
-    near = {(r.engine, r.field_name): r.share for r in run("fuzzy_le2_text")}
+    near = {(r.engine, r.field_name): r.share for r in run("fuzzy_le2")}
     assert near["vietocr", "name"] == 0.5 and near["best", "name"] == 1.0
-    assert {(r.ann_id, r.engine): r.all_exact for r in run("record_exact_text")} == {(a, e): all(t == g for (_, y), (t, g, _, b) in want.items() if (y, b) == (e, a)) for (_, e), (*_, a) in want.items()}
-    assert sorted((r.engine, r.pattern) for r in run("top_patterns_text")) == [("vietocr", "ộ>ô"), ("vietocr", "本>木")]
+    assert {(r.ann_id, r.engine): r.all_exact for r in run("record_exact")} == {(a, e): all(t == g for (_, y), (t, g, _, b) in want.items() if (y, b) == (e, a)) for (_, e), (*_, a) in want.items()}
+    assert sorted((r.engine, r.pattern) for r in run("top_patterns")) == [("vietocr", "ộ>ô"), ("vietocr", "本>木")]
