@@ -321,8 +321,11 @@ def estimated_confidence(c: Column, field: Column, cleaned: bool = False) -> Col
     return let(text(c) if cleaned else cleanup(c, field), score)
 
 
-def calibrated_confidence(c: Column, raw: Column, field: Column, cleaned: bool = False) -> Column:
-    """A recogniser's confidence (any type; what is no number counts as 0) corrected by what the text looks like."""
+def calibrated_confidence(c: Column, raw: Column, field: Column, cleaned: bool = False, estimate: Column | None = None) -> Column:
+    """A recogniser's confidence (any type; what is no number counts as 0) corrected by what the text looks like.
+
+    ``estimate``: the estimated confidence of the cleaned value, where it is at hand.
+    """
     r = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(raw.try_cast("double"), F.lit(0.0))))
 
     def score(x: Column) -> Column:
@@ -331,7 +334,7 @@ def calibrated_confidence(c: Column, raw: Column, field: Column, cleaned: bool =
         date = F.when(valid_date(x), F.greatest(r, F.lit(0.8))).when(d >= 6, F.least(r * 0.65, F.lit(0.74))).otherwise(r * 0.30)
         damp = F.when(label_like(x, field), 0.5).otherwise(1.0)
         doubt = F.when(suspicious(x, field, True), F.when(field.isin(*PLACES), 0.45).when(field == "full_name", 0.60).otherwise(1.0)).otherwise(1.0)
-        prose = F.greatest(F.lit(0.0), F.least(F.lit(0.98), r * damp * doubt * 0.7 + estimated_confidence(x, field, True) * 0.3))
+        prose = F.greatest(F.lit(0.0), F.least(F.lit(0.98), r * damp * doubt * 0.7 + (estimated_confidence(x, field, True) if estimate is None else estimate) * 0.3))
         return F.when(x == "", 0.0).when(field == "id_number", number).when(field == "date_of_birth", date).otherwise(prose)
 
     return let(text(c) if cleaned else cleanup(c, field), score)

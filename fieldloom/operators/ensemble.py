@@ -110,8 +110,7 @@ def safer(field: Column, base: Column, base_conf: Column, other: Column, other_c
 
 def pseudo_labels(candidates: DataFrame, m: Margins | None = None) -> DataFrame:
     """Label rows from crops with both readings: cleaned texts, calibrated scores, the choice, bucket and review flag."""
-    f = T.canonical_field(F.col("field_name"))
-    d = candidates.withColumn("f", f)
+    d = candidates.withColumn("f", T.canonical_field(F.col("field_name")))
     for t, c in (("text_vietocr", "conf_vietocr"), ("text_paddle", "conf_paddle")):
         d = d.withColumns({t: T.cleanup(F.col(t), F.col("f"))}).withColumn(c, T.calibrated_confidence(F.col(t), F.col(c), F.col("f"), True))
     d = choose(features(d.drop("f"), cleaned=True), m)
@@ -122,15 +121,19 @@ def pseudo_labels(candidates: DataFrame, m: Margins | None = None) -> DataFrame:
     )
 
 
-def flag_fields(df: DataFrame) -> DataFrame:
-    """Rows with reasons: hard (the value cannot be one) and soft (it is unlikely), from the reviewed or best value."""
+def flag_fields(df: DataFrame, first_year: int = 1900, last_year: int | None = None) -> DataFrame:
+    """Rows with reasons: hard (the value cannot be one) and soft (it is unlikely), from the reviewed or best value.
+
+    Years of birth before ``first_year`` or after ``last_year`` (the current one if none is given) are unlikely.
+    """
+    latest = F.year(F.current_date()) if last_year is None else F.lit(last_year)
     f, x = T.canonical_field(F.col("field_name")), T.collapse(F.col("value"))
     iso = T.iso_date(x)
     year = F.substring(iso, 1, 4).cast("int")
     reason = lambda cond, name: F.when(cond, F.lit(name))
     rules = F.array(
         reason(x == "", "empty"), reason((f == "id_number") & ~T.valid_id(x), "id_not_12_digits"), reason((f == "date_of_birth") & iso.isNull(), "no_date"),
-        reason((f == "date_of_birth") & ((year < 1900) | (year > 2025)), "year_out_of_range"), reason((f == "full_name") & x.rlike(r"\p{Nd}"), "digits_in_name"),
+        reason((f == "date_of_birth") & ((year < first_year) | (year > latest)), "year_out_of_range"), reason((f == "full_name") & x.rlike(r"\p{Nd}"), "digits_in_name"),
         reason((f == "full_name") & (F.size(T.words(x)) < 2), "single_name"),
     )
     return df.withColumn("reasons", F.filter(rules, lambda r: r.isNotNull()))

@@ -30,9 +30,9 @@ def ordered(lines: DataFrame) -> DataFrame:
     return d.withColumn("line_no", F.row_number().over(w) - 1)
 
 
-def score(text: Column, raw: Column, conf: Column, field: Column, kind: Column, pieces: Column) -> Column:
+def score(text: Column, raw: Column, conf: Column, field: Column, kind: Column, pieces: Column, estimate: Column) -> Column:
     """How likely a text is the value: calibrated and estimated confidence, and small terms for how it was found."""
-    base = T.calibrated_confidence(text, conf, field, True) * 0.55 + T.estimated_confidence(text, field, True) * 0.45
+    base = T.calibrated_confidence(text, conf, field, True, estimate) * 0.55 + estimate * 0.45
     add = lambda cond, v: F.when(cond, v).otherwise(0.0)
     d = T.digit_ratio(text)
     many = add(field.isin(*T.PLACES) & (pieces > 1), 0.04) - add((field == "full_name") & (pieces > 1), 0.04)
@@ -41,29 +41,42 @@ def score(text: Column, raw: Column, conf: Column, field: Column, kind: Column,
     return F.when(text == "", 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(0.99), total)))
 
 
-def _candidates(d: DataFrame, kind: str) -> DataFrame:
-    """crop_id, field_name, raw, conf, pieces, box and seq made scored candidates; those without a value drop out."""
-    d = d.withColumn("value", T.cleanup(F.col("raw"), F.col("field_name"))).filter("value <> ''")
-    s = score(F.col("value"), F.col("raw"), F.col("conf"), F.col("field_name"), F.lit(kind), F.col("pieces"))
-    return d.select("crop_id", "field_name", F.lit(kind).alias("kind"), "value", "raw", s.alias("score"), "pieces", *[F.col(f"box.{c}").alias(c) for c in BOX], "seq")
+def _scored(*found: DataFrame) -> DataFrame:
+    """Finds (crop_id, field_name, kind, raw, conf, pieces, box, seq) made scored candidates; those without a value drop out.
+
+    All ways of finding a value are put together first, so that clean-up and scores are planned and run once.
+    """
+    d = found[0]
+    for other in found[1:]:
+        d = d.unionByName(other)
+    f = F.col("field_name")
+    d = d.withColumn("value", T.cleanup(F.col("raw"), f)).filter("value <> ''").withColumn("estimate", T.estimated_confidence(F.col("value"), f, True))
+    s = score(F.col("value"), F.col("raw"), F.col("conf"), f, F.col("kind"), F.col("pieces"), F.col("estimate"))
+    return d.select("crop_id", "field_name", "kind", "value", "raw", s.alias("score"), "pieces", *[F.col(f"box.{c}").alias(c) for c in BOX], "seq")
+
+
+def _valued(o: DataFrame) -> DataFrame:
+    """Lines with ``inline``, what follows the label in them."""
+    return o if "inline" in o.columns else o.withColumn("inline", T.label_value(F.col("text"), F.col("field_name")))
+
+
+def _same_line(o: DataFrame) -> DataFrame:
+    d = _valued(o).filter((F.col("inline") != "") & (F.col("inline") != F.col("text")) & (F.col("text").contains(":") | F.col("is_label")))
+    return d.select("crop_id", "field_name", F.lit("same_line").alias("kind"), F.col("inline").alias("raw"), F.col("confidence").alias("conf"), F.lit(1).alias("pieces"), G.inline_box(_box(), F.col("text"), F.col("inline")).alias("box"), F.col("line_no").alias("seq"))
 
 
 def same_line(o: DataFrame) -> DataFrame:
     """Values that follow their label in one line."""
-    v = T.label_value(F.col("text"), F.col("field_name"))
-    d = o.withColumn("raw", v).filter((F.col("raw") != "") & (F.col("raw") != F.col("text")) & (F.col("text").contains(":") | F.col("is_label")))
-    return _candidates(d.select("crop_id", "field_name", "raw", F.col("confidence").alias("conf"), F.lit(1).alias("pieces"), G.inline_box(_box(), F.col("text"), F.col("raw")).alias("box"), F.col("line_no").alias("seq")), "same_line")
+    return _scored(_same_line(o))
 
 
-def below_label(o: DataFrame) -> DataFrame:
-    """Values in up to two lines below a label, with what follows the label itself in front."""
+def _below_label(o: DataFrame) -> DataFrame:
     w = Window.partitionBy("crop_id").orderBy("line_no")
     line = F.struct("text", "confidence", "is_label", _box().alias("box"))
-    d = o.withColumns({"n1": F.lead(line, 1).over(w), "n2": F.lead(line, 2).over(w)}).filter("is_label")
+    d = _valued(o).withColumns({"n1": F.lead(line, 1).over(w), "n2": F.lead(line, 2).over(w)}).filter("is_label")
     ok = lambda prev, nxt: F.coalesce(~nxt.is_label & G.can_merge(prev, nxt.box), F.lit(False))
     d = d.withColumn("use1", ok(_box(), F.col("n1"))).withColumn("use2", F.col("use1") & ok(F.col("n1.box"), F.col("n2")))
-    v = T.label_value(F.col("text"), F.col("field_name"))
-    d = d.withColumn("inline", v).withColumn("has", (F.col("inline") != "") & (F.col("inline") != F.col("text")))
+    d = d.withColumn("has", (F.col("inline") != "") & (F.col("inline") != F.col("text")))
     part = lambda cond, t, c, b: F.when(cond, F.struct(t.alias("t"), c.alias("c"), b.alias("b")))
     parts = F.filter(F.array(
         part(F.col("has"), F.col("inline"), F.col("confidence"), G.inline_box(_box(), F.col("text"), F.col("inline"))),
@@ -73,11 +86,15 @@ def below_label(o: DataFrame) -> DataFrame:
     side = lambda f, c: f(F.transform("parts", lambda p: p.b[c]))
     box = F.struct(side(F.array_min, "x1").alias("x1"), side(F.array_min, "y1").alias("y1"), side(F.array_max, "x2").alias("x2"), side(F.array_max, "y2").alias("y2"))
     conf = F.aggregate("parts", F.lit(0.0), lambda a, p: a + p.c) / F.size("parts")
-    return _candidates(d.select("crop_id", "field_name", F.array_join(F.transform("parts", lambda p: p.t), " ").alias("raw"), conf.alias("conf"), F.size("parts").alias("pieces"), box.alias("box"), (F.col("line_no") + 1000).alias("seq")), "below_label")
+    return d.select("crop_id", "field_name", F.lit("below_label").alias("kind"), F.array_join(F.transform("parts", lambda p: p.t), " ").alias("raw"), conf.alias("conf"), F.size("parts").alias("pieces"), box.alias("box"), (F.col("line_no") + 1000).alias("seq"))
 
 
-def blocks(o: DataFrame) -> DataFrame:
-    """Runs of lines that are no labels and belong together: a new block after a label or a line that does not join."""
+def below_label(o: DataFrame) -> DataFrame:
+    """Values in up to two lines below a label, with what follows the label itself in front."""
+    return _scored(_below_label(o))
+
+
+def _blocks(o: DataFrame) -> DataFrame:
     w = Window.partitionBy("crop_id").orderBy("line_no")
     prev = F.lag(F.struct("is_label", _box().alias("box"))).over(w)
     d = o.withColumn("prev", prev).withColumn("new", (F.col("prev").isNull() | F.col("prev.is_label") | ~G.can_merge(F.col("prev.box"), _box())).cast("int"))
@@ -87,15 +104,20 @@ def blocks(o: DataFrame) -> DataFrame:
         text.alias("raw"), F.avg("confidence").alias("conf"), F.count("*").cast("int").alias("pieces"),
         F.struct(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2")).alias("box"), (F.min("line_no") + 2000).alias("seq"),
     )
-    return _candidates(g.drop("block"), "block")
+    return g.drop("block").withColumn("kind", F.lit("block"))
+
+
+def blocks(o: DataFrame) -> DataFrame:
+    """Runs of lines that are no labels and belong together: a new block after a label or a line that does not join."""
+    return _scored(_blocks(o))
 
 
 def candidates(o: DataFrame) -> DataFrame:
     """All candidates of a crop, one for each value (the best score, the first on ties), ranked by score and length."""
-    every = same_line(o).unionByName(below_label(o)).unionByName(blocks(o))
-    best = every.withColumn("n", F.row_number().over(Window.partitionBy("crop_id", "value").orderBy(F.desc("score"), "seq")))
-    first = F.min("seq").over(Window.partitionBy("crop_id", "value"))
-    one = best.withColumn("first", first).filter("n = 1").drop("n")
+    o = _valued(o)
+    every = _scored(_same_line(o), _below_label(o), _blocks(o))
+    w = Window.partitionBy("crop_id", "value")
+    one = every.withColumns({"n": F.row_number().over(w.orderBy(F.desc("score"), "seq")), "first": F.min("seq").over(w)}).filter("n = 1").drop("n")
     rank = F.row_number().over(Window.partitionBy("crop_id").orderBy(F.desc("score"), F.desc(F.length("value")), "first"))
     return one.withColumn("rank", rank)
 
@@ -106,7 +128,7 @@ def refine(lines: DataFrame, readings: DataFrame) -> DataFrame:
     Adds new_text, new_conf, replaced and the candidate's kind and box. A candidate replaces an empty reading, a label,
     a weak reading, or one that it clearly beats in score or length.
     """
-    lined = materialize(ordered(lines.filter(F.col("field_name").isin(*T.LINE_FIELDS))), "ordered")  # read by three branches
+    lined = materialize(_valued(ordered(lines.filter(F.col("field_name").isin(*T.LINE_FIELDS)))), "ordered")  # read by three branches
     top = candidates(lined).filter("rank = 1")
     c = top.select("crop_id", "kind", "value", F.col("score").alias("c"), *BOX)
     r = readings.join(c, "crop_id", "left").withColumn("base", T.collapse(F.col("text"))).withColumn("b", F.coalesce("conf", F.lit(0.0)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldloom.functions.text import HINTS, LABELS
+from fieldloom.functions.text import EDGE, HINTS, LABELS, LINE_FIELDS
 
 
 def _labels(name: str) -> str:
@@ -15,15 +15,79 @@ def _case(kind) -> str:
 
 FOLD = "regexp_replace(strip_accents(replace(lower({t}), 'đ', 'd')), '[^a-z0-9/: ]+', ' ', 'g')"
 
-LABEL_CTES = f"""
-    fo AS (SELECT *, {FOLD.format(t='t')} AS folded FROM tx),
-    tk AS (SELECT *, list_filter(string_split(folded, ' '), lambda w: w <> '') AS tok, {_case(_labels)} AS labels, {_case(lambda k: '[' + ', '.join(f"'{h}'" for h in HINTS[k]) + ']')} AS hints FROM fo),
-    lw AS (
-      SELECT *, coalesce(len(list_filter(labels, lambda lab: len(tok) >= len(lab) AND len(list_filter(range(1, len(lab) + 1), lambda i:
-        tok[i] = lab[i] OR (length(tok[i]) >= 3 AND length(lab[i]) >= 3 AND (starts_with(tok[i], lab[i]) OR starts_with(lab[i], tok[i]))))) = len(lab))[1]), 0) AS label_words,
-        coalesce(len(list_filter(hints, lambda h: contains(folded, h))), 0) AS hits FROM tk),
-    lb AS (SELECT *, t <> '' AND labels IS NOT NULL AND ((label_words > 0 AND len(tok) <= 10) OR (ends_with(t, ':') AND hits >= 1) OR (hits >= 3 AND len(tok) <= 10) OR (hits >= 2 AND len(tok) <= 6)) AS label_like FROM lw)
-"""
+
+
+def label_ctes(src: str, col: str, out: str) -> str:
+    """CTE ``out``: ``src`` with {out}_words and {out}_like, what its column ``col`` (white space collapsed) is as a label."""
+    hints = _case(lambda k: "[" + ", ".join(f"'{h}'" for h in HINTS[k]) + "]")
+    return f"""
+    {out}_0 AS (SELECT *, {FOLD.format(t=col)} AS {out}_f FROM {src}),
+    {out}_1 AS (SELECT *, list_filter(string_split({out}_f, ' '), lambda w: w <> '') AS {out}_t, {_case(_labels)} AS {out}_l, {hints} AS {out}_h FROM {out}_0),
+    {out}_2 AS (
+      SELECT *, coalesce(len(list_filter({out}_l, lambda lab: len({out}_t) >= len(lab) AND len(list_filter(range(1, len(lab) + 1), lambda i:
+        {out}_t[i] = lab[i] OR (length({out}_t[i]) >= 3 AND length(lab[i]) >= 3 AND (starts_with({out}_t[i], lab[i]) OR starts_with(lab[i], {out}_t[i]))))) = len(lab))[1]), 0) AS {out}_words,
+        coalesce(len(list_filter({out}_h, lambda h: contains({out}_f, h))), 0) AS {out}_hits FROM {out}_1),
+    {out} AS (
+      SELECT * EXCLUDE ({out}_f, {out}_l, {out}_h, {out}_t, {out}_hits), {col} <> '' AND {out}_l IS NOT NULL AND (
+        ({out}_words > 0 AND len({out}_t) <= 10) OR (ends_with({col}, ':') AND {out}_hits >= 1) OR ({out}_hits >= 3 AND len({out}_t) <= 10) OR ({out}_hits >= 2 AND len({out}_t) <= 6)) AS {out}_like
+      FROM {out}_2)"""
+
+
+LABEL_CTES = f"{label_ctes('tx', 't', 'lab')}, lb AS (SELECT *, lab_words AS label_words, lab_like AS label_like FROM lab)"
+_LINE = "(" + ", ".join(f"'{f}'" for f in LINE_FIELDS) + ")"
+
+
+def _colon(src: str, col: str, out: str) -> str:
+    """CTE ``out``: ``src`` with what stands before and behind the first colon of ``col``."""
+    at = f"strpos({col}, ':')"
+    return f"{out} AS (SELECT *, trim(CASE WHEN {at} > 1 THEN substr({col}, 1, {at} - 1) ELSE '' END) AS {out}_left, ltrim(trim(substr({col}, {at} + 1)), '{EDGE}') AS {out}_right FROM {src})"
+
+
+def strip_ctes(src: str, col: str, out: str, rounds: int = 4) -> str:
+    """CTE ``out``: ``src`` with {out}_x, ``col`` without the labels before its value."""
+    parts, at, x = [], src, col
+    for k in range(rounds):
+        n = f"{out}_r{k}"
+        parts += [_colon(at, x, f"{n}c"), label_ctes(f"{n}c", f"{n}c_left", f"{n}l"), label_ctes(f"{n}l", x, f"{n}w")]
+        words = f"string_split({x}, ' ')"
+        rest = f"CASE WHEN len({words}) <= {n}w_words THEN '' ELSE ltrim(array_to_string({words}[{n}w_words + 1:], ' '), '{EDGE}') END"
+        parts.append(f"{n} AS (SELECT *, CASE WHEN contains({x}, ':') AND {n}l_like AND {n}c_right <> '' THEN {n}c_right WHEN {n}w_words > 0 THEN {rest} ELSE {x} END AS {n}_x FROM {n}w)")
+        at, x = n, f"{n}_x"
+    parts.append(f"{out} AS (SELECT *, CASE WHEN {col} = '' OR coalesce(f NOT IN {_LINE}, true) THEN {col} ELSE trim({x}) END AS {out}_x FROM {at})")
+    return ", ".join(parts)
+
+
+ID_RUN = r"(?:[0-9][\s\-./]?){9,14}[0-9]"
+ISO = r"""coalesce(
+      CASE WHEN regexp_matches({t}, '^\d{{1,2}}/\d{{1,2}}/\d{{4}}$') THEN try_strptime({t}, '%d/%m/%Y') END, CASE WHEN regexp_matches({t}, '^\d{{1,2}}-\d{{1,2}}-\d{{4}}$') THEN try_strptime({t}, '%d-%m-%Y') END,
+      CASE WHEN regexp_matches({t}, '^\d{{1,2}}\.\d{{1,2}}\.\d{{4}}$') THEN try_strptime({t}, '%d.%m.%Y') END, CASE WHEN regexp_matches({t}, '^\d{{4}}-\d{{1,2}}-\d{{1,2}}$') THEN try_strptime({t}, '%Y-%m-%d') END,
+      CASE WHEN regexp_matches({t}, '^\d{{8}}$') THEN try_strptime({t}, '%d%m%Y') END)"""
+
+
+def picked_id(x: str) -> str:
+    runs = f"list_filter(list_transform(regexp_extract_all({x}, '{ID_RUN}'), lambda m: regexp_replace(m, '[^0-9]', '', 'g')), lambda d: length(d) <= 15)"
+    return f"coalesce(list_filter({runs}, lambda d: length(d) = 12)[1], list_filter({runs}, lambda d: length(d) <= 14 AND length(d) = list_max(list_transform(list_filter({runs}, lambda q: length(q) <= 14), lambda q: length(q))))[1])"
+
+
+def picked_date(x: str) -> str:
+    """Date-like runs by where they start: no digit before, none behind; a date first, then the longer, then the first."""
+    run = f"regexp_extract(substr({x}, i), '^([0-9]{{1,2}}[/\\-.][0-9]{{1,2}}[/\\-.][0-9]{{2,4}})(?:[^0-9]|$)', 1)"
+    hits = f"list_filter(list_transform(range(1, length({x}) + 1), lambda i: {{'i': i, 'm': CASE WHEN i > 1 AND regexp_matches(substr({x}, i - 1, 1), '[0-9]') THEN '' ELSE {run} END}}), lambda h: h.m <> '')"
+    ranked = f"list_sort(list_transform({hits}, lambda h: {{'a': ({ISO.format(t='h.m')}) IS NULL, 'b': -length(h.m), 'i': h.i, 'm': h.m}}))"
+    return f"{ranked}[1].m"
+
+
+def clean_ctes(src: str, col: str, out: str) -> str:
+    """CTE ``out``: ``src`` with the label value ({out}_v) and the clean value ({out}_t) of ``col`` (white space collapsed)."""
+    return ", ".join([
+        _colon(src, col, f"{out}c"), label_ctes(f"{out}c", f"{out}c_left", f"{out}l"),
+        f"{out}y AS (SELECT *, CASE WHEN contains({col}, ':') AND {out}l_like THEN {out}c_right ELSE {col} END AS {out}_y FROM {out}l)",
+        strip_ctes(f"{out}y", f"{out}_y", f"{out}s"), label_ctes(f"{out}s", col, f"{out}w"),
+        f"{out}v AS (SELECT *, CASE WHEN {col} = '' OR coalesce(f NOT IN {_LINE}, true) THEN {col} ELSE {out}s_x END AS {out}_v FROM {out}w)",
+        f"""{out} AS (SELECT *, CASE WHEN {col} = '' THEN '' WHEN f = 'id_number' THEN coalesce({picked_id(col)}, {col}) WHEN f = 'date_of_birth' THEN coalesce({picked_date(col)}, {col})
+             WHEN {out}_v = {col} AND {out}w_like AND ends_with({col}, ':') THEN '' ELSE trim({out}_v) END AS {out}_t FROM {out}v)""",
+    ])
+
 
 _REP = "(len(w) >= {n} AND (len(list_distinct(w))::DOUBLE / len(w) <= 0.65 OR len(list_distinct(pairs)) < len(w) - 1))"
 _HEAVY = "coalesce(nd::DOUBLE / nullif(nan, 0) >= {x}, false)"

@@ -788,9 +788,10 @@ def label_text(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def text_confidence(spark: SparkSession, d: str) -> DataFrame:
-    t, f = F.col("t"), F.col("f")
-    x = _labelled(spark, d).select("row_id", T.suspicious(t, f).alias("suspicious"), T.estimated_confidence(t, f).alias("estimated"), T.calibrated_confidence(t, F.col("c"), f).alias("calibrated"))
-    return A.rounded(x)
+    v, f = F.col("v"), F.col("f")
+    x = _labelled(spark, d).withColumn("v", T.cleanup(F.col("t"), f)).withColumn("e", T.estimated_confidence(v, f, True))
+    x = x.select("row_id", T.suspicious(v, f, True).alias("suspicious"), (F.col("e") + 1e-8).alias("estimated"), (T.calibrated_confidence(v, F.col("c"), f, True, F.col("e")) + 1e-8).alias("calibrated"))
+    return A.rounded(x, 5)
 
 
 # ---- choice between recognisers
