@@ -105,3 +105,26 @@ def clips(spark: SparkSession, d: str) -> DataFrame:
 
 
 CLIPS_SQL = "clips AS (SELECT user_id::VARCHAR || '-' || strftime(ts, '%Y%m%d') AS clip, event_id AS frame, ts, event_type AS text, value AS score FROM events)"
+
+
+# The labels printed before a field's value.
+PRINTED = {"full_name": "Họ và tên:", "place_of_origin": "Quê quán:", "place_of_residence": "Nơi thường trú:"}
+
+
+def lines(spark: SparkSession, d: str) -> DataFrame:
+    """Text lines of crops: annotations in fours as a crop, each with its box and latest reading, and a printed label.
+
+    The label stands in front of the first line in odd crops and on a line of its own above it in even ones.
+    """
+    m = table(spark, d, "crop_manifest").filter(F.size("bbox") == 4)
+    box = [F.get("bbox", F.lit(i)).cast("double").alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"))]
+    read = table(spark, d, "reviewed_sample").groupBy("ann_id").agg(F.max_by(F.struct("best_text", "best_conf"), "row_id").alias("m"))
+    j = m.select("annotation_id", *box).distinct().join(read, F.col("annotation_id") == F.col("ann_id"))
+    crop = F.floor(F.col("annotation_id") / 4)
+    field = F.get(F.array(*[F.lit(f) for f in (*PRINTED, "title")]), (crop % 4).cast("int"))
+    idx = F.row_number().over(Window.partitionBy(crop).orderBy("annotation_id", "x1", "y1", "x2", "y2"))
+    out = j.select(crop.alias("crop_id"), field.alias("field_name"), idx.alias("idx"), F.col("m.best_text").alias("text"), F.col("m.best_conf").alias("confidence"), "x1", "y1", "x2", "y2")
+    label = F.coalesce(*[F.when(F.col("field_name") == k, v) for k, v in PRINTED.items()])
+    first, odd = F.col("idx") == 1, F.col("crop_id") % 2 == 1
+    above = out.filter(first & ~odd & label.isNotNull()).withColumns({"idx": F.lit(0), "text": label, "y2": F.col("y1") - 5, "y1": F.col("y1") - 25})
+    return out.withColumn("text", F.when(first & odd & label.isNotNull(), F.concat_ws(" ", label, "text")).otherwise(F.col("text"))).unionByName(above)

@@ -13,6 +13,7 @@ from fieldloom.functions import pixels as X
 from fieldloom.functions import text as T
 from fieldloom.operators import dedup, ensemble, evaluate, linepick, nested, quality, review, video
 from fieldloom.plans import adapters as A
+from fieldloom.plans import choice_sql as C
 from fieldloom.plans.label_sql import CONFIDENCE_CTES, LABEL_CTES
 from fieldloom.runtime import materialize, table
 from fieldloom.sources import files
@@ -31,6 +32,11 @@ def query(sql: str | None = None):
     return register
 
 
+def _fives(df: DataFrame, *cols: str) -> DataFrame:
+    """Columns rounded to five places, off the borders where both engines' sums may fall apart."""
+    return A.rounded(df.withColumns({c: F.col(c) + 1e-8 for c in cols}), 5)
+
+
 @query()
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return nested.found(table(spark, d, "reviewed_sample"), table(spark, d, "reviewed_raw"))
@@ -780,13 +786,13 @@ def _labelled(spark: SparkSession, d: str) -> DataFrame:
     return _texts(spark, d).withColumn("t", F.concat(label, F.col("t")))
 
 
-@query()
+@query(C.LABEL_TEXT)
 def label_text(spark: SparkSession, d: str) -> DataFrame:
     t, f = F.col("t"), F.col("f")
     return _labelled(spark, d).select("row_id", T.label_words(t, f).alias("label_words"), T.label_like(t, f).alias("label_like"), T.strip_label(t, f).alias("stripped"), T.label_value(t, f).alias("value"), T.cleanup(t, f).alias("clean"))
 
 
-@query()
+@query(C.CONFIDENCE)
 def text_confidence(spark: SparkSession, d: str) -> DataFrame:
     v, f = F.col("v"), F.col("f")
     x = _labelled(spark, d).withColumn("v", T.cleanup(F.col("t"), f)).withColumn("e", T.estimated_confidence(v, f, True))
@@ -797,9 +803,9 @@ def text_confidence(spark: SparkSession, d: str) -> DataFrame:
 # ---- choice between recognisers
 
 
-@query()
+@query(C.PSEUDO)
 def pseudo_labels(spark: SparkSession, d: str) -> DataFrame:
-    return A.rounded(ensemble.pseudo_labels(_sample(spark, d)))
+    return _fives(ensemble.pseudo_labels(_sample(spark, d)), "conf_vietocr", "conf_paddle", "best_conf")
 
 
 @query(r"""
@@ -815,70 +821,58 @@ def ensemble_title(spark: SparkSession, d: str) -> DataFrame:
     return A.rounded(nfd_free)
 
 
-@query()
+@query(C.PICK)
 def ensemble_pick(spark: SparkSession, d: str) -> DataFrame:
     e = ensemble.choose(_sample(spark, d).withColumn("field_name", F.col("class")))
     return A.rounded(e.select("row_id", F.col("e_engine").alias("engine"), F.col("e_score").alias("score"), F.col("e_review").alias("review")))
 
 
-@query()
+@query(C.SAFER)
 def safer_pick(spark: SparkSession, d: str) -> DataFrame:
     r = _sample(spark, d)
     return r.select("row_id", ensemble.safer(F.col("class"), F.col("text_paddle"), F.col("conf_paddle"), F.col("best_text"), F.col("best_conf")).alias("pick"))
 
 
-@query()
+@query(C.VALID)
 def validate_fields(spark: SparkSession, d: str) -> DataFrame:
-    v = ensemble.flag_fields(_sample(spark, d).select("row_id", F.col("class").alias("field_name"), F.coalesce(F.nullif("ground_truth_text", F.lit("")), "best_text").alias("value")))
+    v = ensemble.flag_fields(_sample(spark, d).select("row_id", F.col("class").alias("field_name"), F.coalesce(F.nullif("ground_truth_text", F.lit("")), "best_text").alias("value")), last_year=2025)
     return v.select("row_id", F.array_join("reasons", ",").alias("reasons"))
 
 
-# ---- line picking over the segments of raw payloads
+# ---- line picking
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
-    """Segments with a box as lines: crop_id is the record and reading, field_name the record's."""
-    p = materialize(nested.parse(table(spark, d, "reviewed_raw"), "raw_id", "payload"), "parsed")
-    rec = p.filter("kind = 'record'").select("record_id", T.canonical_field(F.coalesce("field_name", "class")).alias("field_name"))
-    seg = p.filter("kind = 'segment'").select("record_id", "reading_no", "seg_no", "text", "score", G.bounds(F.col("box")).alias("b"))
-    lines = seg.join(rec, "record_id").select(
-        (F.col("record_id") * 16 + F.col("reading_no")).alias("crop_id"), "field_name", F.col("seg_no").alias("idx"), "text", F.col("score").alias("confidence"), "b.x1", "b.y1", "b.x2", "b.y2"
-    )
-    # printed labels: in front of the first segment of odd crops, on a line of their own above it in even ones
-    label = F.when(F.col("field_name") == "full_name", "Họ và tên:").when(F.col("field_name") == "place_of_origin", "Quê quán:").when(F.col("field_name") == "place_of_residence", "Nơi thường trú:")
-    first, odd = F.col("idx") == 1, F.col("crop_id") % 2 == 1
-    above = lines.filter(first & ~odd & label.isNotNull() & F.col("y1").isNotNull()).withColumns({"idx": F.lit(0), "text": label, "y2": F.col("y1") - 5, "y1": F.col("y1") - 25})
-    labelled = lines.withColumn("text", F.when(first & odd & label.isNotNull(), F.concat_ws(" ", label, "text")).otherwise(F.col("text"))).unionByName(above)
-    return materialize(labelled, "lines")  # payloads are parsed once, however often the lines are read
+    return A.lines(spark, d)
 
 
-@query()
+@query(C.READING_ORDER)
 def reading_order(spark: SparkSession, d: str) -> DataFrame:
     return linepick.ordered(_lines(spark, d)).select("crop_id", "idx", "line_no", "text", "is_label")
 
 
-@query()
+@query(C.BLOCKS)
 def text_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return A.rounded(linepick.blocks(linepick.ordered(_lines(spark, d))).select("crop_id", "value", "score", "pieces", "seq"))
+    return _fives(linepick.blocks(linepick.ordered(_lines(spark, d))).select("crop_id", "value", "score", "pieces", "seq"), "score")
 
 
-@query()
+@query(C.CANDIDATES)
 def candidate_rank(spark: SparkSession, d: str) -> DataFrame:
-    return A.rounded(linepick.candidates(materialize(linepick.ordered(_lines(spark, d)), "ordered")).select("crop_id", "rank", "kind", "value", "score"))
+    return _fives(linepick.candidates(materialize(linepick.ordered(_lines(spark, d)), "ordered")).select("crop_id", "rank", "kind", "value", "score"), "score")
 
 
-@query()
+@query(C.LINE_PICK)
 def line_pick(spark: SparkSession, d: str) -> DataFrame:
     lines = _lines(spark, d)
     joined = linepick.joined_text(lines.select("crop_id", "idx", "text", ((F.col("y1") + F.col("y2")) / 2).alias("y"), F.col("x1").alias("x")))
     r = lines.groupBy("crop_id", "field_name").agg(F.avg("confidence").alias("conf")).join(joined, "crop_id").withColumn("raw_text", F.col("text")).withColumn("text", F.regexp_replace("text", "\n", " "))
-    return A.rounded(linepick.refine(lines, r).select("crop_id", "new_text", "new_conf", "replaced", "kind"))
+    return _fives(linepick.refine(lines, r).select("crop_id", "new_text", "new_conf", "replaced", "kind"), "new_conf")
 
 
-@query()
+@query(C.BEST_HYPOTHESIS)
 def best_hypothesis(spark: SparkSession, d: str) -> DataFrame:
     s = _lines(spark, d).select("crop_id", "field_name", "idx", "text", F.col("confidence").alias("score"), ((F.col("y1") + F.col("y2")) / 2).alias("y"), F.col("x1").alias("x"))
-    return A.rounded(linepick.best_hypothesis(linepick.hypotheses(s)))
+    return _fives(linepick.best_hypothesis(linepick.hypotheses(s)), "score")
 
 
 # ---- pixels, clips, names
@@ -1086,23 +1080,23 @@ def sink_jsonl_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return A.rounded(files.read_jsonl(spark, path, r.schema))
 
 
-@query()
+@query(C.BELOW_LABEL)
 def below_label(spark: SparkSession, d: str) -> DataFrame:
-    return A.rounded(linepick.below_label(linepick.ordered(_lines(spark, d))).select("crop_id", "value", "score", "pieces"))
+    return _fives(linepick.below_label(linepick.ordered(_lines(spark, d))).select("crop_id", "value", "score", "pieces"), "score")
 
 
-@query()
+@query(C.SAME_LINE)
 def same_line(spark: SparkSession, d: str) -> DataFrame:
-    return A.rounded(linepick.same_line(linepick.ordered(_lines(spark, d))).select("crop_id", "value", "score", "x1"))
+    return _fives(linepick.same_line(linepick.ordered(_lines(spark, d))).select("crop_id", "value", "score", "x1"), "score", "x1")
 
 
-@query()
+@query(C.HYPOTHESES)
 def ocr_hypotheses(spark: SparkSession, d: str) -> DataFrame:
     s = _lines(spark, d).select("crop_id", "field_name", "idx", "text", F.col("confidence").alias("score"), ((F.col("y1") + F.col("y2")) / 2).alias("y"), F.col("x1").alias("x"))
-    return A.rounded(linepick.hypotheses(s).drop("ord"))
+    return _fives(linepick.hypotheses(s).drop("ord"), "score")
 
 
-@query()
+@query(C.PART)
 def subcrop_pick(spark: SparkSession, d: str) -> DataFrame:
     z = lambda c: F.coalesce(c, F.lit(0.0))
     pick = linepick.whole_or_part(T.canonical_field(F.col("class")), F.col("text_vietocr"), z("conf_vietocr"), F.col("text_paddle"), z("conf_paddle"), F.col("best_text"))
