@@ -4,17 +4,18 @@ Two records overlap if their crop has the same file name, or if their truths, in
 letter case, accents, punctuation and spacing set aside, have at least ``min_chars`` characters and differ in at most
 one per ten of the longer one.
 
-The text side works on distinct texts. A text of n characters with at most K edits keeps at least one of K + 1
-disjoint pieces unchanged, so K + 1 windows are taken from each evaluation text: those whose letters are rarest in
-the training texts, by a count sketch of fixed size. Windows are the patterns of Aho-Corasick automata. Patterns are
-sharded by the length of their text and then by hash, so that an automaton has a bounded number of texts, and a
-training text is scanned by the shards of lengths that can match it, in salted slices of a bounded size. A hit near
-its own place makes a candidate, which the edit distance decides at once, before any shuffle. No candidate is capped.
+Both sides work on distinct passages. A text of n characters with at most K edits keeps at least one of K + 1 disjoint
+pieces unchanged, so a window is taken from each of K + 1 equal parts of every evaluation text: the one whose letters
+are rarest in the training texts, by a count sketch of fixed size. Windows are chosen once and are the patterns of
+Aho-Corasick automata; file names are patterns whole. Patterns are sharded by the length of their text and then by
+hash, so that an automaton has a bounded number of texts, and every training text passes through the shards of lengths
+that can match it, in slices large enough for the work of an automaton to be worth its building. A hit near its own
+place makes a candidate, which the edit distance decides at once, before any shuffle. No candidate is capped.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,11 +30,11 @@ from fieldloom.runtime import materialize
 MIN_CHARS = 20
 WINDOW = 6  # K + 1 windows of this length fit into every text of MIN_CHARS or more
 SKETCH_BITS = 18
-SHARD_TEXTS = 20_000  # evaluation texts of an automaton, at most
-SLICE_TEXTS = 5_000  # training texts of a slice, about
+SHARD_TEXTS = 20_000  # evaluation texts of an automaton, about
 SHARD_WINDOWS = 100_000  # windows of an automaton of coverage, about
+SLICE_TEXTS = 50_000  # training texts of a slice, at most about
+FEW_TEXTS = 2_000  # texts that are worth a slice of their own while there are fewer slices than tasks
 _RATIO = 1.25  # lengths of one shard differ at most by this factor
-_DP_CHARS = 240  # longer texts are cut into K + 1 segments first
 
 
 def bare(c: Column) -> Column:
@@ -101,29 +102,11 @@ def sketch(texts: DataFrame) -> np.ndarray:
 
 
 def windows(text: str, cells: np.ndarray) -> list[int]:
-    """Starts of K + 1 disjoint windows, those with the rarest letters."""
+    """Starts of K + 1 disjoint windows: the one with the rarest letters of each of K + 1 equal parts."""
     n, parts = len(text), edits(len(text)) + 1
     cost = cells[_codes(text)]
-    if n > _DP_CHARS:
-        cuts = [n * i // parts for i in range(parts + 1)]
-        return [a + int(np.argmin(cost[a : b - WINDOW + 1])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    # best[j][i]: least cost of j windows that end before i
-    costs, inf = cost.tolist(), float("inf")
-    best = [[0] * (n + 1)]
-    for _ in range(parts):
-        last, row = best[-1], [inf] * (n + 1)
-        for i in range(WINDOW, n + 1):
-            take = last[i - WINDOW] + costs[i - WINDOW]
-            keep = row[i - 1]
-            row[i] = take if take < keep else keep
-        best.append(row)
-    out, i = [], n
-    for j in range(parts, 0, -1):
-        while best[j][i] == best[j][i - 1]:
-            i -= 1
-        i -= WINDOW
-        out.append(i)
-    return out[::-1]
+    cuts = [n * i // parts for i in range(parts + 1)]  # no part of a text of MIN_CHARS or more is shorter than a window
+    return [a + int(np.argmin(cost[a : b - WINDOW + 1])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def _bucket(n: Column) -> Column:
@@ -133,34 +116,47 @@ def _bucket(n: Column) -> Column:
 CANDIDATE = T.StructType([T.StructField("text_e", T.StringType()), T.StructField("text_t", T.StringType())])
 
 
+def _passed(patterns: DataFrame, texts: DataFrame, per_shard: int, scan: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: T.StructType | str) -> DataFrame:
+    """``scan(patterns of a shard, slice of texts)`` for every shard and every slice of the same ``bucket``.
+
+    Both frames have columns bucket and p or t. A shard goes to as many slices as there are tasks, or one for
+    SLICE_TEXTS texts if that is more; each text goes to each shard of its bucket once.
+    """
+    spark = patterns.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = F.count("*")
+    shards = patterns.groupBy("bucket").agg(F.ceil(n / per_shard).cast("int").alias("shards"))
+    slices = texts.groupBy("bucket").agg(F.greatest(F.ceil(n / SLICE_TEXTS), F.least(F.ceil(n / FEW_TEXTS), F.lit(tasks))).cast("int").alias("slices"))
+    plan = F.broadcast(shards.join(slices, "bucket"))  # as many rows as lengths have powers of the ratio
+    key = ["bucket", "shard", "slice"]
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    a = patterns.join(plan, "bucket").withColumn("shard", F.pmod(F.xxhash64("p"), "shards").cast("int")).withColumn("slice", each("slices")).drop("shards", "slices")
+    b = texts.join(plan, "bucket").withColumn("slice", F.pmod(F.xxhash64("t"), "slices").cast("int")).withColumn("shard", each("shards")).drop("shards", "slices")
+    # Small rows, long work: as many tasks as the session has shuffle partitions, not as few as their bytes would ask for.
+    a, b = a.repartition(tasks, *key), b.repartition(tasks, *key)
+    return a.groupBy(*key).cogroup(b.groupBy(*key)).applyInPandas(scan, schema)
+
+
 def similar_texts(train: DataFrame, held: DataFrame) -> DataFrame:
     """Pairs of distinct texts (text_t of ``train``, text_e of ``held``, both with a column text) that overlap."""
-    spark = train.sparkSession
-    shared = spark.sparkContext.broadcast(sketch(train))  # of fixed size
-    a = held.select(F.col("text").alias("e"), F.length("text").alias("n")).withColumn("b", _bucket(F.col("n")))
-    lo, hi = F.ceil(F.col("n") * 0.9).cast("int"), F.floor(F.col("n") * 10 / 9 + 1).cast("int")
-    b = train.select(F.col("text").alias("t"), F.length("text").alias("n")).withColumn("bs", F.sequence(_bucket(F.greatest(lo, F.lit(MIN_CHARS))), _bucket(hi)))
-    b = b.withColumn("b", F.explode("bs")).drop("bs")
-    # As many shards and slices as the counts by length ask for; there are as many lengths as powers of the ratio.
-    shards = a.groupBy("b").agg(F.ceil(F.count("*") / SHARD_TEXTS).cast("int").alias("shards"))
-    slices = b.groupBy("b").agg(F.ceil(F.count("*") / SLICE_TEXTS).cast("int").alias("slices"))
-    plan = shards.join(slices, "b")
-    a = a.join(F.broadcast(plan), "b").withColumn("shard", F.pmod(F.xxhash64("e"), "shards").cast("int"))
-    a = a.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    b = b.join(F.broadcast(plan), "b").withColumn("slice", F.pmod(F.xxhash64("t"), "slices").cast("int"))
-    b = b.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-    key = ["b", "shard", "slice"]
-    # Small rows, long work: as many tasks as the session has shuffle partitions, not as few as their bytes would ask for.
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    a, b = a.select(*key, "e").repartition(tasks, *key), b.select(*key, "t").repartition(tasks, *key)
+    shared = train.sparkSession.sparkContext.broadcast(sketch(train))  # of fixed size
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def chosen(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: windows(t, shared.value))
+
+    a = held.select(F.col("text").alias("p"), _bucket(F.length("text")).alias("bucket"), chosen("text").alias("starts"))
+    a = materialize(a, "windows")
+    n = F.length("text")
+    lo, hi = F.ceil(n * 0.9).cast("int"), F.floor(n * 10 / 9 + 1).cast("int")
+    b = train.select(F.col("text").alias("t"), F.explode(F.sequence(_bucket(F.greatest(lo, F.lit(MIN_CHARS))), _bucket(hi))).alias("bucket"))
 
     def scan(patterns: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
         import ahocorasick
 
-        cells, held_texts = shared.value, patterns["e"].tolist()
-        auto, where = ahocorasick.Automaton(), []
-        for i, t in enumerate(held_texts):
-            for s in windows(t, cells):
+        held_texts, auto, where = patterns["p"].tolist(), ahocorasick.Automaton(), []
+        for i, (t, starts) in enumerate(zip(held_texts, patterns["starts"], strict=True)):
+            for s in starts:
                 w = t[s : s + WINDOW]
                 at = auto.get(w, None)
                 if at is None:
@@ -186,12 +182,31 @@ def similar_texts(train: DataFrame, held: DataFrame) -> DataFrame:
             right += [t] * len(seen)
         return pd.DataFrame({"text_e": left, "text_t": right}, dtype=object)
 
-    pairs = a.groupBy(*key).cogroup(b.groupBy(*key)).applyInPandas(scan, CANDIDATE)
+    pairs = _passed(a, b, SHARD_TEXTS, scan, CANDIDATE)
     most = F.floor(F.greatest(F.length("text_e"), F.length("text_t")) / 10).cast("int")
     # the bounded distance looks at a band of the table only and is -1 beyond the bound
     return pairs.withColumn("most", most).filter((F.col("text_e") == F.col("text_t")) | (F.expr("levenshtein(text_e, text_t, most)") >= 0)).drop("most")
 
 
+def _found_whole(patterns: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
+    """Texts that are a pattern from end to end."""
+    import ahocorasick
+
+    if not len(patterns) or not len(texts):
+        return pd.DataFrame({"file": []}, dtype=object)
+    auto = ahocorasick.Automaton()
+    for p in patterns["p"]:
+        auto.add_word(p, len(p))
+    auto.make_automaton()
+    return pd.DataFrame({"file": [t for t in texts["t"] if any(end + 1 == n == len(t) for end, n in auto.iter(t))]}, dtype=object)
+
+
+def shared_files(train: DataFrame, held: DataFrame) -> DataFrame:
+    """Distinct file names (column file) of ``held`` that stand among those of ``train``: patterns and texts are whole names."""
+    distinct = lambda df, c: df.filter("file is not null").select(F.lit(0).alias("bucket"), F.col("file").alias(c)).distinct()
+    return _passed(distinct(held, "p"), distinct(train, "t"), SHARD_WINDOWS, _found_whole, "file string")
+
+
 def _distinct(rec: DataFrame) -> DataFrame:
     return materialize(rec.filter("text is not null").select("text").distinct(), "distinct")
 
@@ -205,7 +220,7 @@ def overlaps(rows: DataFrame, model: lookalike.Model | None = None) -> DataFrame
     rec = materialize(records(rows, model), "records")
     train, held = rec.filter("side = 'train'"), rec.filter("side <> 'train'")
     by_file = (
-        train.filter("file is not null").select(F.col("row_id").alias("train_id"), "file", F.col("text").alias("text_t"))
+        train.join(shared_files(train, held), "file").select(F.col("row_id").alias("train_id"), "file", F.col("text").alias("text_t"))
         .join(held.filter("file is not null").select(F.col("row_id").alias("held_id"), F.col("side").alias("held_side"), "file", F.col("text").alias("text_e")), "file")
     )
     texts = materialize(similar_texts(_distinct(train), _distinct(held)), "texts")
@@ -239,38 +254,28 @@ def report(rows: DataFrame) -> DataFrame:
     )
 
 
+def _seen_windows(patterns: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
+    import ahocorasick
+
+    if not len(patterns) or not len(texts):
+        return pd.DataFrame({"w": []}, dtype=object)
+    auto = ahocorasick.Automaton()
+    for w in patterns["p"]:
+        auto.add_word(w, w)
+    auto.make_automaton()
+    return pd.DataFrame({"w": list({w for t in texts["t"] for _, w in auto.iter(t)})}, dtype=object)
+
+
 def matched_windows(train: DataFrame, held: DataFrame, size: int) -> DataFrame:
     """Distinct windows (column w) of ``size`` characters that stand in a text of ``train`` and in one of ``held``.
 
     The windows of the evaluation texts are the patterns of automata, each of a bounded number of patterns; every
-    training text passes through all of them, in slices of a bounded size.
+    training text passes through all of them.
     """
-    spark = train.sparkSession
-    starts = F.sequence(F.lit(1), F.length("text") - size + 1)
-    a = held.filter(F.length("text") >= size).select(F.explode(F.transform(starts, lambda i: F.substring(F.col("text"), i, F.lit(size)))).alias("w")).distinct()
-    a = materialize(a, "windows")
-    b = train.filter(F.length("text") >= size).select(F.col("text").alias("t"))
-    # two counts, whatever the size of the tables
-    shards, slices = max(1, -(-a.count() // SHARD_WINDOWS)), max(1, -(-b.count() // SLICE_TEXTS))
-    key = ["shard", "slice"]
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    a = a.withColumn("shard", F.pmod(F.xxhash64("w"), F.lit(shards)).cast("int")).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    b = b.withColumn("slice", F.pmod(F.xxhash64("t"), F.lit(slices)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    a, b = a.select(*key, "w").repartition(tasks, *key), b.select(*key, "t").repartition(tasks, *key)
-
-    def scan(patterns: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
-        import ahocorasick
-
-        if not len(patterns) or not len(texts):
-            return pd.DataFrame({"w": []}, dtype=object)
-        auto = ahocorasick.Automaton()
-        for w in patterns["w"]:
-            auto.add_word(w, w)
-        auto.make_automaton()
-        seen = {w for t in texts["t"] for _, w in auto.iter(t)}
-        return pd.DataFrame({"w": list(seen)}, dtype=object)
-
-    return a.groupBy(*key).cogroup(b.groupBy(*key)).applyInPandas(scan, "w string").distinct()
+    starts, zero = F.sequence(F.lit(1), F.length("text") - size + 1), F.lit(0).alias("bucket")
+    a = held.filter(F.length("text") >= size).select(zero, F.explode(F.transform(starts, lambda i: F.substring(F.col("text"), i, F.lit(size)))).alias("p")).distinct()
+    b = train.filter(F.length("text") >= size).select(zero, F.col("text").alias("t"))
+    return _passed(materialize(a, "windows"), b, SHARD_WINDOWS, _seen_windows, "w string").distinct()
 
 
 def intervals(rows: DataFrame, size: int = WINDOW, model: lookalike.Model | None = None) -> DataFrame:
@@ -295,10 +300,15 @@ def intervals(rows: DataFrame, size: int = WINDOW, model: lookalike.Model | None
     return rec.filter("side <> 'train'").select("row_id", "text").join(spans, "text").select("row_id", F.length("text").alias("chars"), "s.a", "s.b")
 
 
-def coverage(rows: DataFrame) -> DataFrame:
-    """How much of each evaluation record's text stands in training texts: row_id, chars, covered.
+def coverage(rows: DataFrame, size: int = WINDOW) -> DataFrame:
+    """How much of each evaluation record's text stands in training texts: row_id, side, chars, covered, share.
 
-    ``covered`` counts the characters in runs of WINDOW or more shared with any training text. Records without
-    such a run are left out.
+    ``covered`` counts the characters in runs of ``size`` or more shared with any training text: the automata's hits,
+    merged. Every evaluation record has a row; one without such a run has 0, a null or blank truth 0 of 0 characters
+    and the share 0.
     """
-    return intervals(rows).groupBy("row_id", "chars").agg(F.sum(F.col("b") - F.col("a")).cast("int").alias("covered"))
+    model = lookalike.fit(rows, ["ground_truth_text"])
+    per = intervals(rows, size, model).groupBy("row_id").agg(F.sum(F.col("b") - F.col("a")).cast("int").alias("covered"))
+    held = _bare_rows(rows, model).filter("side <> 'train'").select("row_id", "side", F.coalesce(F.length("t"), F.lit(0)).alias("chars"))
+    covered = F.coalesce("covered", F.lit(0))
+    return held.join(per, "row_id", "left").select("row_id", "side", "chars", covered.alias("covered"), F.coalesce(F.try_divide(covered, F.col("chars")), F.lit(0.0)).alias("share"))

@@ -69,7 +69,9 @@ def test_equals_brute_force(spark):
 def test_small_shards_and_slices_change_nothing(spark, monkeypatch):
     rows = make(random.Random(5), 90)
     monkeypatch.setattr(overlap, "SHARD_TEXTS", 3)
+    monkeypatch.setattr(overlap, "SHARD_WINDOWS", 5)
     monkeypatch.setattr(overlap, "SLICE_TEXTS", 4)
+    monkeypatch.setattr(overlap, "FEW_TEXTS", 3)
     assert {tuple(r) for r in overlap.found(spark.createDataFrame(rows, SCHEMA)).collect()} == brute(rows)
 
 
@@ -87,7 +89,16 @@ def test_empty_report_and_coverage(spark):
     rep = overlap.report(df).collect()
     assert sum(r.pairs for r in rep) == len(brute(rows)) and sum(r.records for r in rep) == sum(r[1] in ("val", "valid", "test") for r in rows)
     cov = overlap.coverage(df).collect()
-    assert cov and all(0 < r.covered <= r.chars for r in cov)
+    assert sorted(r.row_id for r in cov) == sorted(r[0] for r in rows if r[1] in ("val", "valid", "test"))  # every evaluation record, once
+    assert all(0 <= r.covered <= r.chars for r in cov) and any(r.covered for r in cov)
+
+
+def test_file_names_are_found_whole(spark):
+    """The automaton's hits count only from end to end: no name within another."""
+    names = lambda *v: spark.createDataFrame([(x,) for x in v], "file string")
+    got = overlap.shared_files(names("a.jpg", "xa.jpg", "b.png", None, "é.jpg", "a.jpg"), names("a.jpg", "xa.jpg.bak", "b.pn", "é.jpg", None)).collect()
+    assert sorted(r.file for r in got) == ["a.jpg", "é.jpg"]
+    assert overlap.shared_files(names(), names("a")).count() == 0
 
 
 def test_bare_form(spark):
@@ -117,7 +128,9 @@ def test_coverage_equals_brute_force_over_all_training_texts(spark, monkeypatch)
     df = spark.createDataFrame(rows, SCHEMA)
     want = covered_by_brute(rows, overlap.WINDOW)
     assert want[810] == want[812] == (25, 25) and want[811] == (56, 32) and 813 not in want
-    assert {r.row_id: (r.chars, r.covered) for r in overlap.coverage(df).collect()} == want
+    got = {r.row_id: (r.chars, r.covered, r.share) for r in overlap.coverage(df).collect()}
+    assert {k: v[:2] for k, v in got.items() if v[1]} == want and got[813][1:] == (0, 0.0)
+    assert all(abs(v[2] - (v[1] / v[0] if v[0] else 0)) < 1e-12 for v in got.values())
     monkeypatch.setattr(overlap, "SHARD_WINDOWS", 40)
     monkeypatch.setattr(overlap, "SLICE_TEXTS", 9)
     got = {}
