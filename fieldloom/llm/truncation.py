@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from fieldloom.functions.folding import strip_accents
 from fieldloom.runtime import materialize
 
+# Characters that recognisers put for one another in these readings, and the one that stands for both.
+CONFUSED = ("nbeq5801ij$|", "uhcgsholllsl")
 
 
 def fold(c, numbers: bool = False):
@@ -30,16 +32,14 @@ def fold(c, numbers: bool = False):
     if numbers:
         x = F.regexp_replace(x, r"(?:\G(?!^)|(?<![\p{L}\p{N}])(?=[0-9]+(?![\p{L}\p{N}])))[0-9]", "9")
     x = F.regexp_replace(x, "rn", "m")
-    x = F.translate(x, "nbeq5801ij$|", "uhcgsholll" + "sl")
+    x = F.translate(x, *CONFUSED)
     return F.trim(F.regexp_replace(x, r"[^\p{L}\p{N}]+", " "))
 
 
 PARAMS = {
     "keyword_share": 0.08,  # share of a class's readings that makes a word a context class of its own
-    "min_support": 12,  # occurrences that one of the two most general states of a final trigram needs, else there is no verdict
     "smoothing": 20.0,  # occurrences that a more general state's terminal share is worth in a more specific one
-    "prior": 0.5,  # terminal share before anything is counted
-    "max_terminal_share": 0.06,  # terminal occurrences among all, at most, for a flag
+    "max_terminal_share": 0.08,  # terminal occurrences among all, at most, for a flag
     "ending_share": 0.004,  # share of a class's readings that makes two last words a common ending
 }
 
@@ -102,18 +102,22 @@ FROM (SELECT cls, lvl, ctx, inside, ends, e.p AS p, e.whole AS whole FROM (
 GROUP BY cls, lvl, ctx, p
 """
 
-# From the most general state to the most specific: each terminal share is smoothed with the one before it.
-_SHARE = "{prior}"
+# How often a word of the class is a last one: what is taken for a state before anything is counted of it.
+_PRIOR = "SELECT cls, sum(n) / sum(n * k) AS prior FROM {texts} GROUP BY cls"
+
+# From the prior by way of the most general state to the most specific: each terminal share is smoothed with the one before it.
+_SHARE = "prior"
 for _k in range(5):
     _SHARE = f"(e{_k} + {{m}} * {_SHARE}) / (i{_k} + e{_k} + {{m}})"
 
 _VERDICT = f"""
-SELECT cls, folded, greatest(i0 + e0, i1 + e1) AS support, {_SHARE} AS terminal_share
+SELECT c.cls, folded, {_SHARE} AS terminal_share
 FROM (
   SELECT f.cls, f.folded,
          @levels
-  FROM {{finals}} f JOIN {{begin}} b ON b.cls = f.cls AND b.lvl = f.lvl AND b.ctx = f.ctx AND b.w = f.w
-  GROUP BY f.cls, f.folded)
+  FROM {{finals}} f LEFT JOIN {{begin}} b ON b.cls = f.cls AND b.lvl = f.lvl AND b.ctx = f.ctx AND b.w = f.w
+  GROUP BY f.cls, f.folded) c
+JOIN {{priors}} p ON p.cls = c.cls
 """.replace("@levels", ", ".join(f"cast(sum(CASE WHEN b.lvl = {k} THEN b.{c}{own} ELSE 0 END) AS double) AS {c[0]}{k}" for k in range(5) for c, own in (("inside", ""), ("ends", " - f.n"))))
 
 
@@ -130,12 +134,14 @@ def truncated(rows: DataFrame, params: dict | None = None, checked: bool = True)
     folded = readings.withColumn("folded", fold(F.col("text")))
     texts = materialize(spark.sql(_DISTINCT, folded=folded.withColumn("formed", fold(F.col("text"), numbers=True))), "texts")  # read by four branches
     keywords = spark.sql(_KEYWORDS, texts=texts, keyword_share=p["keyword_share"])
-    marked = spark.sql(_MARKED, texts=texts, keywords=keywords)
+    # Few bytes, many states: as many tasks as the session has shuffle partitions.
+    spread = texts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "folded")
+    marked = spark.sql(_MARKED, texts=spread, keywords=keywords)
     states = spark.sql(_STATES.replace("@first", "0"), marked=marked)
     finals = spark.sql(_STATES.replace("@first", "k - 1"), marked=marked)
     begin = spark.sql(_BEGINNINGS, counts=spark.sql(_COUNTS, states=states))
-    verdict = spark.sql(_VERDICT, finals=finals, begin=begin, m=p["smoothing"], prior=p["prior"])
-    flagged = verdict.filter((F.col("support") >= p["min_support"]) & (F.col("terminal_share") <= p["max_terminal_share"]))
+    verdict = spark.sql(_VERDICT, finals=finals, begin=begin, priors=spark.sql(_PRIOR, texts=texts), m=p["smoothing"])
+    flagged = verdict.filter(F.col("terminal_share") <= p["max_terminal_share"])
     if checked:
         flagged = _without_common_endings(flagged, texts, p)
     return folded.join(flagged, ["cls", "folded"]).select(
