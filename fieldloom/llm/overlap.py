@@ -203,7 +203,7 @@ def _found_whole(patterns: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
 
 def shared_files(train: DataFrame, held: DataFrame) -> DataFrame:
     """Distinct file names (column file) of ``held`` that stand among those of ``train``: patterns and texts are whole names."""
-    distinct = lambda df, c: df.filter("file is not null").select(F.lit(0).alias("bucket"), F.col("file").alias(c)).distinct()
+    distinct = lambda df, c: materialize(df.filter("file is not null").select(F.lit(0).alias("bucket"), F.col("file").alias(c)).distinct(), "names")
     return _passed(distinct(held, "p"), distinct(train, "t"), SHARD_WINDOWS, _found_whole, "file string")
 
 

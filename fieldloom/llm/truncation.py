@@ -10,8 +10,10 @@ trigram of each reading is joined with the most specific state that is common en
 where that state is frequent inside texts but almost never terminal. An exact check follows: a reading whose last
 words are, but for a few characters, a common ending of its class is whole.
 
-All steps are SQL over aggregated counts; nothing is collected or broadcast by hint. Shuffles carry distinct
-readings, not rows: repeated readings are merged with their weight first, so a hot value is one row.
+All steps are SQL over aggregated counts; nothing is collected. Shuffles carry distinct readings, not rows: repeated
+readings are merged with their weight first, so a hot value is one row. What is joined by class is broadcast, because a
+class may hold a third of all rows: one row for each kind of field on the card, with at most 1 / keyword_share words or
+1 / ending_share endings.
 """
 
 from __future__ import annotations
@@ -60,7 +62,7 @@ SELECT cls, folded, n, words, size(words) AS k FROM (
 """
 
 _KEYWORDS = """
-SELECT w.cls, collect_set(w.word) AS keys
+SELECT /*+ BROADCAST(t) */ w.cls, collect_set(w.word) AS keys
 FROM (SELECT cls, word, sum(n) AS n FROM (SELECT cls, n, explode(array_distinct(words)) AS word FROM {texts}) GROUP BY cls, word) w
 JOIN (SELECT cls, sum(n) AS total FROM {texts} GROUP BY cls) t ON t.cls = w.cls AND w.n >= {keyword_share} * t.total
 GROUP BY w.cls
@@ -68,7 +70,7 @@ GROUP BY w.cls
 
 # Contexts of the i-th word: the two words before it and their classes; '^' stands before the first word.
 _MARKED = """
-SELECT t.cls, t.folded, t.n, t.k, t.words,
+SELECT /*+ BROADCAST(k) */ t.cls, t.folded, t.n, t.k, t.words,
        transform(t.words, w -> CASE WHEN array_contains(k.keys, w) THEN w ELSE '*' END) AS kinds
 FROM {texts} t LEFT JOIN {keywords} k ON k.cls = t.cls
 """
@@ -111,7 +113,7 @@ for _k in range(5):
     _SHARE = f"(e{_k} + {{m}} * {_SHARE}) / (i{_k} + e{_k} + {{m}})"
 
 _VERDICT = f"""
-SELECT c.cls, folded, {_SHARE} AS terminal_share
+SELECT /*+ BROADCAST(p) */ c.cls, folded, {_SHARE} AS terminal_share
 FROM (
   SELECT f.cls, f.folded,
          @levels
@@ -136,9 +138,8 @@ def truncated(rows: DataFrame, params: dict | None = None, checked: bool = True)
     keywords = spark.sql(_KEYWORDS, texts=texts, keyword_share=p["keyword_share"])
     # Few bytes, many states: as many tasks as the session has shuffle partitions.
     spread = texts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "folded")
-    marked = spark.sql(_MARKED, texts=spread, keywords=keywords)
-    states = spark.sql(_STATES.replace("@first", "0"), marked=marked)
-    finals = spark.sql(_STATES.replace("@first", "k - 1"), marked=marked)
+    states = spark.sql(_STATES.replace("@first", "0"), marked=spark.sql(_MARKED, texts=spread, keywords=keywords))
+    finals = spark.sql(_STATES.replace("@first", "k - 1"), marked=spark.sql(_MARKED, texts=texts, keywords=keywords))
     begin = spark.sql(_BEGINNINGS, counts=spark.sql(_COUNTS, states=states))
     verdict = spark.sql(_VERDICT, finals=finals, begin=begin, priors=spark.sql(_PRIOR, texts=texts), m=p["smoothing"])
     flagged = verdict.filter(F.col("terminal_share") <= p["max_terminal_share"])
@@ -155,7 +156,7 @@ def _without_common_endings(flagged: DataFrame, texts: DataFrame, p: dict) -> Da
     An ending is common if a share of the class's readings has it, so there are at most 1 / share of them a class.
     """
     last2 = F.concat_ws(" ", F.slice("words", -2, 2))
-    total = texts.groupBy("cls").agg(F.sum("n").alias("total"))
+    total = F.broadcast(texts.groupBy("cls").agg(F.sum("n").alias("total")))
     ends = (
         texts.filter("k >= 2").groupBy("cls", last2.alias("ending")).agg(F.sum("n").alias("n")).join(total, "cls")
         .filter(F.col("n") >= p["ending_share"] * F.col("total")).filter("ending rlike '[^9 ]'")
@@ -165,7 +166,7 @@ def _without_common_endings(flagged: DataFrame, texts: DataFrame, p: dict) -> Da
     # one character short is a lost letter within the ending, or the ending cut: whichever takes fewer edits
     cut = lambda e: (F.length(tail) == F.length(e) - 1) & (F.levenshtein(tail, F.substring(e, F.lit(1), F.length(e) - 1)) < F.levenshtein(tail, e))
     near = F.exists("endings", lambda e: (e != "") & (F.levenshtein(tail, e) <= F.greatest(F.lit(1), F.floor(F.length(e) / 4))) & (F.length(tail) >= F.length(e) - 1) & ~cut(e))
-    return flagged.join(ends, "cls", "left").filter(~F.coalesce(near, F.lit(False))).drop("endings")
+    return flagged.join(F.broadcast(ends), "cls", "left").filter(~F.coalesce(near, F.lit(False))).drop("endings")
 
 
 def truncation_report(rows: DataFrame, params: dict | None = None) -> DataFrame:
