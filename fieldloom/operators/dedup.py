@@ -12,6 +12,10 @@ from pyspark.sql.window import Window
 from fieldloom.runtime import discard, materialize
 
 
+# Fixed value: the ending of an augmented copy's name. Endings in capitals and .png copies are met with too.
+AUGMENTED = r"_(?:jpg|jpeg|png|JPG|JPEG|PNG)\.rf\.[A-Za-z0-9]+\.(?:jpg|jpeg|png)$"
+
+
 def _bands(most: int, n: int, bits: int = 64) -> list[tuple[int, int, int]]:
     """Bands of a hash as (low bit, width, radius): of two hashes within ``most`` bits one band differs in at most its radius."""
     out = []
@@ -70,6 +74,20 @@ def key_pairs(df: DataFrame, close: DataFrame, key: str = "id", value: str = "ha
     return near.unionByName(same)
 
 
+def clusters(df: DataFrame, most: int, key: str = "id", value: str = "hash") -> DataFrame:
+    """vertex and component (the smallest vertex of its cluster) of all keys that have an equal or a close hash.
+
+    Equal hashes are one vertex of the graph, so n copies cost n rows of membership and not their pairs.
+    """
+    d = df.filter(F.col(value).isNotNull()).select(F.col(key).alias("vertex"), F.col(value).alias("h"))
+    lead = materialize(d.groupBy("h").agg(F.min("vertex").alias("lead"), F.count("*").alias("n")), "leads")
+    close = similar_hashes(df, most, key, value)
+    l, r = lead.select(F.col("h").alias("ha"), F.col("lead").alias("a")), lead.select(F.col("h").alias("hb"), F.col("lead").alias("b"))
+    comp = components(close.join(l, "ha").join(r, "hb").select("a", "b")).withColumnRenamed("vertex", "lead")
+    where = lead.join(comp, "lead", "left").filter("component is not null or n > 1").select("h", F.coalesce("component", "lead").alias("component"))
+    return d.join(where, "h").select("vertex", "component")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """vertex and component (the smallest vertex) of an undirected graph with columns a and b.
 
@@ -102,7 +120,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 def augmented_base(file_name: Column) -> Column:
     """The name of the picture that an augmented copy was made from."""
-    return F.regexp_replace(file_name, r"_(?:jpg|jpeg|png|JPG|JPEG|PNG)\.rf\.[A-Za-z0-9]+\.(?:jpg|jpeg|png)$", "")
+    return F.regexp_replace(file_name, AUGMENTED, "")
 
 
 def name_clusters(images: DataFrame) -> DataFrame:

@@ -16,15 +16,16 @@ from fieldloom.functions import text as T
 VIET, PADDLE = "vietocr", "paddleocr"
 
 
+# Differences of confidence that decide, and the confidence under which a reading is weak.
 @dataclass(frozen=True)
 class Margins:
-    """Differences of confidence that decide."""
-
     close: float = 0.08  # closer readings with different texts need a review
     long_default: float = 0.12
     long_clear: float = 0.35
+    long_step: float = 0.20
     name_bias: float = 0.08
     name_length: float = 0.12
+    weak: float = 0.5
 
 
 def ladder(*cases: tuple[Column, str], otherwise: str) -> Column:
@@ -43,48 +44,68 @@ def features(df: DataFrame, field: str = "field_name", viet: str = "text_vietocr
     return out
 
 
+def _verdict(engine: str, reason: str) -> Column:
+    return F.struct(F.lit(engine).alias("engine"), F.lit(reason).alias("reason"))
+
+
+def _first(*cases: tuple[Column, Column], otherwise: Column) -> Column:
+    out = F
+    for cond, value in cases:
+        out = out.when(cond, value)
+    return out.otherwise(otherwise)
+
+
 def long_text_winner(m: Margins) -> Column:
+    """Engine and reason for a place: texts that are there, then those beyond doubt, then by a bias for the second engine."""
     has_v, has_p = F.col("v_form") != "", F.col("p_form") != ""
-    return ladder(
-        (has_p & ~has_v, PADDLE), (has_v & ~has_p, VIET), (F.col("v_bad") & ~F.col("p_bad"), PADDLE), (F.col("p_bad") & ~F.col("v_bad"), VIET),
-        (F.col("p") >= F.col("v") - m.long_default, PADDLE), (F.col("v") > F.col("p") + max(m.close + 0.20, m.long_clear), VIET), otherwise=PADDLE,
+    default = _verdict(PADDLE, "paddle_long_text_default")
+    return _first(
+        (has_p & ~has_v, _verdict(PADDLE, "long_text_nonempty")), (has_v & ~has_p, _verdict(VIET, "long_text_nonempty")),
+        (F.col("v_bad") & ~F.col("p_bad"), _verdict(PADDLE, "viet_suspicious_long_text")), (F.col("p_bad") & ~F.col("v_bad"), _verdict(VIET, "paddle_suspicious_long_text")),
+        (F.col("p") >= F.col("v") - m.long_default, default), (F.col("v") > F.col("p") + max(m.close + m.long_step, m.long_clear), _verdict(VIET, "viet_long_text_confidence")), otherwise=default,
     )
 
 
 def name_winner(m: Margins) -> Column:
+    """Engine and reason for a name: as for a place, with a bias for the first engine."""
     has_v, has_p = F.col("v_form") != "", F.col("p_form") != ""
     longer = (F.length("v_form") >= F.length("p_form")) & (F.col("v") >= F.col("p") - m.name_length)
-    return ladder(
-        (has_v & ~has_p, VIET), (has_p & ~has_v, PADDLE), (F.col("p_bad") & ~F.col("v_bad"), VIET), (F.col("v_bad") & ~F.col("p_bad"), PADDLE),
-        (F.col("v") >= F.col("p") - m.name_bias, VIET), (longer, VIET), (F.col("p") > F.col("v") + m.close, PADDLE), otherwise=VIET,
+    bias = _verdict(VIET, "viet_name_bias")
+    return _first(
+        (has_v & ~has_p, _verdict(VIET, "name_nonempty")), (has_p & ~has_v, _verdict(PADDLE, "name_nonempty")),
+        (F.col("p_bad") & ~F.col("v_bad"), _verdict(VIET, "paddle_suspicious_name")), (F.col("v_bad") & ~F.col("p_bad"), _verdict(PADDLE, "viet_suspicious_name")),
+        (F.col("v") >= F.col("p") - m.name_bias, bias), (longer, _verdict(VIET, "viet_name_length_bias")), (F.col("p") > F.col("v") + m.close, _verdict(PADDLE, "paddle_name_confidence")), otherwise=bias,
     )
 
 
 def pattern_winner() -> Column:
     ok = lambda c: F.when(F.col("f") == "id_number", T.valid_id(F.col(c))).otherwise(T.valid_date(F.col(c)))
     v, p = ok("v_form"), ok("p_form")
-    return ladder((v & ~p, VIET), (p & ~v, PADDLE), (F.col("p") > F.col("v"), PADDLE), otherwise=VIET)
+    return _first((v & ~p, _verdict(VIET, "pattern_match")), (p & ~v, _verdict(PADDLE, "pattern_match")), (F.col("p") > F.col("v"), _verdict(PADDLE, "higher_confidence")), otherwise=_verdict(VIET, "higher_confidence"))
 
 
 def choose(df: DataFrame, m: Margins | None = None, viet: str = "text_vietocr", paddle: str = "text_paddle") -> DataFrame:
-    """``df`` with e_engine (agree, vietocr or paddleocr), e_text, e_form, e_score and e_review.
+    """``df`` with e_engine (agree, vietocr or paddleocr), e_reason, e_margin, e_text, e_form, e_score, e_review and e_candidates.
 
     Equal non-empty forms agree: the better score, no review. Otherwise the field decides how. A reading that is weak,
-    empty, doubtful, or close to a different one needs a review.
+    empty, doubtful, or close to a different one needs a review. e_candidates holds both readings by engine.
     """
     m = m or Margins()
     out = features(df, viet=viet, paddle=paddle) if "v_form" not in df.columns else df
     same = (F.col("v_form") != "") & (F.col("v_form") == F.col("p_form"))
+    by_score = _first((F.col("p") > F.col("v"), _verdict(PADDLE, "higher_confidence")), otherwise=_verdict(VIET, "higher_confidence"))
     winner = (
-        F.when(F.col("f").isin("id_number", "date_of_birth"), pattern_winner()).when(F.col("f").isin(*T.PLACES), long_text_winner(m))
-        .when(F.col("f") == "full_name", name_winner(m)).otherwise(ladder((F.col("p") > F.col("v"), PADDLE), otherwise=VIET))
+        F.when(same, _verdict("agree", "same_text")).when(F.col("f").isin("id_number", "date_of_birth"), pattern_winner()).when(F.col("f").isin(*T.PLACES), long_text_winner(m))
+        .when(F.col("f") == "full_name", name_winner(m)).otherwise(by_score)
     )
-    out = out.withColumn("e_engine", F.when(same, "agree").otherwise(winner))
+    out = out.withColumn("e", winner).withColumns({"e_engine": F.col("e.engine"), "e_reason": F.col("e.reason"), "e_margin": F.abs(F.col("v") - F.col("p"))}).drop("e")
     from_p = F.when(same, F.col("p") > F.col("v")).otherwise(F.col("e_engine") == PADDLE)
     pick = lambda a, b: F.when(from_p, F.col(b)).otherwise(F.col(a))
     out = out.withColumns({"e_text": pick(viet, paddle), "e_form": pick("v_form", "p_form"), "e_score": pick("v", "p")})
-    close = (F.col("v_form") != F.col("p_form")) & (F.abs(F.col("v") - F.col("p")) < m.close)
-    weak = (F.col("e_score") < 0.5) | (F.col("e_form") == "") | pick("v_bad", "p_bad") | close
+    side = lambda text, k: F.struct(F.col(text).alias("text"), F.col(k).alias("score"), F.col(f"{k}_form").alias("form"))
+    out = out.withColumn("e_candidates", F.create_map(F.lit(VIET), side(viet, "v"), F.lit(PADDLE), side(paddle, "p")))
+    close = (F.col("v_form") != F.col("p_form")) & (F.col("e_margin") < m.close)
+    weak = (F.col("e_score") < m.weak) | (F.col("e_form") == "") | pick("v_bad", "p_bad") | close
     return out.withColumn("e_review", F.when(same, False).otherwise(weak))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fieldloom.functions import text as T
+from fieldloom.runtime import in_order
 
 ENGINES = {"vietocr": "text_vietocr", "paddleocr": "text_paddle", "best": "best_text"}
 
@@ -85,7 +86,7 @@ def patterns(s: DataFrame, n: int = 10) -> DataFrame:
     return per.withColumn("rank", F.row_number().over(Window.partitionBy("engine").orderBy(F.desc("n"), "pattern"))).filter(F.col("rank") <= n)
 
 
-def pr_curve(detections: DataFrame, truths: DataFrame, least_iou: float = 0.5, cells: int = 128) -> DataFrame:
+def pr_curve(detections: DataFrame, truths: DataFrame, least_iou: float = 0.5) -> DataFrame:
     """Precision and recall of detections in order of score, by class.
 
     detections: image_id, class, x, y, w, h, score; truths: image_id, class, seq, x, y, w, h. Each detection takes
@@ -101,13 +102,27 @@ def pr_curve(detections: DataFrame, truths: DataFrame, least_iou: float = 0.5, c
     right = best.groupBy("image_id", "class", "seq").agg(F.max_by("det", F.struct("score", (-F.col("det")).alias("s"))).alias("det")).select("image_id", "class", "det", F.lit(1).alias("tp"))
     total = truths.groupBy("class").agg(F.count("*").alias("total"))
     all_ = d.join(right, ["image_id", "class", "det"], "left").withColumn("tp", F.coalesce("tp", F.lit(0)))
-    # Running counts over all of a class: sums over ranges of scores, then within a range, so no task orders a class.
-    cuts = d.groupBy("class").agg(F.percentile_approx("score", [i / cells for i in range(1, cells)]).alias("cuts"))
-    all_ = all_.join(cuts, "class").withColumn("cell", F.size(F.filter("cuts", lambda q: F.col("score") < q))).drop("cuts")
-    per = all_.groupBy("class", "cell").agg(F.sum("tp").alias("ctp"), F.count("*").alias("cn"))
-    past = Window.partitionBy("class").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.select("class", "cell", F.coalesce(F.sum("ctp").over(past), F.lit(0)).alias("btp"), F.coalesce(F.sum("cn").over(past), F.lit(0)).alias("bn"))
-    w = Window.partitionBy("class", "cell").orderBy(F.desc("score"), "image_id", "det").rowsBetween(Window.unboundedPreceding, 0)
-    out = all_.select("class", "cell", "score", "image_id", "det", F.sum("tp").over(w).alias("itp"), F.count("*").over(w).alias("i")).join(per, ["class", "cell"])
+    # Running counts over all of a class: within ranges of the global order, plus what the ranges before hold of it.
+    o = in_order(all_, F.col("class"), F.desc("score"), F.col("image_id"), F.col("det"))
+    per = o.groupBy("_part", "class").agg(F.sum("tp").alias("ctp"), F.count("*").alias("cn"))  # at most a row a partition and class
+    past = Window.partitionBy("class").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select("_part", "class", F.coalesce(F.sum("ctp").over(past), F.lit(0)).alias("btp"), F.coalesce(F.sum("cn").over(past), F.lit(0)).alias("bn"))
+    w = Window.partitionBy("_part", "class").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    out = o.withColumns({"itp": F.sum("tp").over(w), "i": F.count("*").over(w)}).join(F.broadcast(per), ["_part", "class"])
     out = out.withColumns({"tp": F.col("itp") + F.col("btp"), "n": F.col("i") + F.col("bn")})
-    return out.join(total, "class").select("class", "image_id", "det", "score", (F.col("tp") / F.col("n")).alias("precision"), (F.col("tp") / F.col("total")).alias("recall"))
+    return out.join(F.broadcast(total), "class").select("class", "image_id", "det", "score", (F.col("tp") / F.col("n")).alias("precision"), (F.col("tp") / F.col("total")).alias("recall"))
+
+
+def average_precision(curve: DataFrame) -> DataFrame:
+    """Per class: detections and the area under the stepwise precision-recall curve, each step at the best precision from there on.
+
+    The best precision from a place on is a maximum over later ranges of the order, then within a range.
+    """
+    o = in_order(curve, F.col("class"), F.desc("score"), F.col("image_id"), F.col("det"))
+    per = o.groupBy("_part", "class").agg(F.max("precision").alias("top"), F.max("recall").alias("reached"))
+    by = Window.partitionBy("class").orderBy("_part")
+    per = per.select("_part", "class", F.max("top").over(by.rowsBetween(1, Window.unboundedFollowing)).alias("later"), F.coalesce(F.max("reached").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("earlier"))
+    w = Window.partitionBy("_part", "class").orderBy("_at")
+    d = o.withColumns({"best": F.max("precision").over(w.rowsBetween(0, Window.unboundedFollowing)), "from": F.lag("recall").over(w)}).join(F.broadcast(per), ["_part", "class"])
+    step = F.col("recall") - F.coalesce("from", "earlier")
+    return d.groupBy("class").agg(F.count("*").alias("n"), F.sum(step * F.greatest("best", "later")).alias("average_precision"))

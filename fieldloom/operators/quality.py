@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fieldloom.functions import geometry as G
+from fieldloom.runtime import numbered
 
 FIELD_CLASSES = ("id", "name", "birth", "origin", "address", "title")
 
@@ -32,8 +33,8 @@ def per_image(images: DataFrame, annotations: DataFrame) -> DataFrame:
     return images.join(a, "image_id", "left").select("image_id", "split", z("n"), z("fields"), z("cards"), "least_area")
 
 
-def overlaps(annotations: DataFrame, least: float = 0.9) -> DataFrame:
-    """Pairs of boxes of one class in one picture whose intersection over union exceeds ``least``.
+def overlaps(annotations: DataFrame, least: float = 0.9, inclusive: bool = False) -> DataFrame:
+    """Pairs of boxes of one class in one picture whose intersection over union exceeds ``least``, or reaches it if ``inclusive``.
 
     The join is on picture and class. Of two boxes whose areas differ by more than that share none can pass, so the
     bands of areas narrow a crowded picture: boxes meet only in equal or neighbouring bands.
@@ -43,7 +44,7 @@ def overlaps(annotations: DataFrame, least: float = 0.9) -> DataFrame:
     left = b.select("image_id", "class", F.col("seq").alias("seq_a"), *[F.col(c).alias(f"{c}a") for c in "xywh"], "band")
     right = b.select("image_id", "class", F.col("seq").alias("seq_b"), *[F.col(c).alias(f"{c}b") for c in "xywh"], F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
     iou = G.iou_xywh(tuple(F.col(f"{c}a") for c in "xywh"), tuple(F.col(f"{c}b") for c in "xywh"))
-    return left.join(right, ["image_id", "class", "band"]).filter("seq_a < seq_b").withColumn("iou", iou).filter(F.col("iou") > least).select("image_id", "class", "seq_a", "seq_b", "iou")
+    return left.join(right, ["image_id", "class", "band"]).filter("seq_a < seq_b").withColumn("iou", iou).filter(F.col("iou") >= least if inclusive else F.col("iou") > least).select("image_id", "class", "seq_a", "seq_b", "iou")
 
 
 def issues(images: DataFrame, annotations: DataFrame, min_area: float = 100.0, max_share: float = 0.95, min_fields: int = 4, least_iou: float = 0.9) -> DataFrame:
@@ -117,6 +118,56 @@ def box_statistics(annotations: DataFrame) -> DataFrame:
     )
 
 
+def counts(df: DataFrame, *by: str, missing: str = "missing") -> DataFrame:
+    """Rows by one column or several; nulls of text columns count as ``missing``."""
+    text = {f.name for f in df.schema if f.dataType.simpleString() == "string"}
+    return df.groupBy(*[F.coalesce(F.col(c), F.lit(missing)).alias(c) if c in text else F.col(c) for c in by]).agg(F.count("*").alias("n"))
+
+
+def issue_counts(found: DataFrame) -> DataFrame:
+    """kind, how often it was found, and in how many pictures."""
+    return found.groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("image_id").alias("images"))
+
+
+def boxes_a_picture(per: DataFrame) -> DataFrame:
+    """One row over ``per_image``: mean, deviation, least and most boxes, and pictures without any."""
+    n = F.col("n")
+    return per.agg(F.avg(n).alias("mean"), F.stddev_pop(n).alias("std"), F.min(n).alias("least"), F.max(n).alias("most"), F.count_if(n == 0).alias("empty"))
+
+
+def split_shares(per: DataFrame) -> DataFrame:
+    """Per split: pictures, boxes and the share of all pictures."""
+    g = per.groupBy("split").agg(F.count("*").alias("images"), F.sum("n").alias("boxes"))
+    return g.withColumn("share", F.col("images") / F.sum("images").over(Window.partitionBy()))  # a row a split
+
+
+def dataset_statistics(images: DataFrame, annotations: DataFrame, brightness: DataFrame) -> DataFrame:
+    """All statistics of a data set as rows (metric, key, value), each counted in one pass over its table.
+
+    brightness: image_id, mean (and std, the contrast, where it is measured).
+    """
+    per = per_image(images, annotations)
+    rows = lambda df, metric, key, names: df.select(F.explode(F.array(*[F.struct(F.lit(f"{metric}_{n}".rstrip("_")).alias("metric"), key.alias("key"), F.col(c).cast("double").alias("value")) for n, c in names.items()])).alias("r")).select("r.*")
+    none = F.lit("")
+    same = lambda df: {c: c for c in df.columns}
+    totals = per.agg(F.count("*").alias("images"), F.sum("n").alias("annotations"))
+    sizes, boxes, bright = size_statistics(images), boxes_a_picture(per), brightness.agg(F.avg("mean").alias("mean"), F.stddev_pop("mean").alias("std"), F.count("*").alias("sample"))
+    of_class = box_statistics(annotations)
+    out = rows(totals, "total", none, same(totals)).unionByName(rows(sizes, "size", none, same(sizes))).unionByName(rows(boxes, "boxes", none, same(boxes)))
+    out = out.unionByName(rows(bright, "brightness", none, same(bright))).unionByName(rows(split_shares(per), "split", F.col("split"), {"images": "images"}))
+    return out.unionByName(rows(of_class, "class", F.col("class"), {c: c for c in of_class.columns if c != "class"}))
+
+
+def statistics_document(stats: DataFrame) -> dict:
+    """``dataset_statistics`` as one nested document; as many values as there are classes and splits."""
+    out: dict = {}
+    for r in stats.orderBy("metric", "key").collect():
+        part, _, name = r.metric.partition("_")
+        at = out.setdefault(part, {})
+        (at.setdefault(r.key, {}) if r.key else at)[name] = r.value
+    return out
+
+
 def size_statistics(images: DataFrame) -> DataFrame:
     """One row: mean, deviation, least and most of width, height and aspect."""
     aspect = F.col("width") / F.col("height")
@@ -155,17 +206,12 @@ def difficulty(images: DataFrame, annotations: DataFrame, brightness: DataFrame)
     return f.crossJoin(F.broadcast(ends)).select("image_id", (scaled("f1") * 0.5 + scaled("f2") * 0.3 + scaled("f3") * 0.2).alias("difficulty"))
 
 
-def stratified_split(clusters: DataFrame, difficulty_: DataFrame, cycle: int = 20, train: int = 14, val: int = 3, cells: int = 512) -> DataFrame:
+def stratified_split(clusters: DataFrame, difficulty_: DataFrame, cycle: int = 20, train: int = 14, val: int = 3) -> DataFrame:
     """Clusters to splits by their place in order of mean difficulty: of each ``cycle`` the first go to train, then val, then test.
 
-    clusters: cluster_id, image_id. Places come from counts over cells of the difficulty's range, then ranks within a
-    cell, so no task orders all clusters.
+    clusters: cluster_id, image_id; ties go by cluster_id. Places are numbered over ranges of the order, so no task
+    orders all clusters, alike as they may be.
     """
-    d = clusters.join(difficulty_, "image_id", "left").groupBy("cluster_id").agg(F.avg(F.coalesce("difficulty", F.lit(0.5))).alias("difficulty"))
-    d = d.withColumn("difficulty", F.round("difficulty", 9)).withColumn("cell", F.least(F.lit(cells - 1), F.floor(F.col("difficulty") * cells)).cast("int"))
-    per = d.groupBy("cell").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rank = F.row_number().over(Window.partitionBy("cell").orderBy("difficulty", "cluster_id")) - 1
-    r = d.withColumn("r", rank).join(F.broadcast(per.select("cell", before.alias("before"))), "cell")
-    at = F.pmod(F.col("r") + F.col("before"), F.lit(cycle))
-    return r.select("cluster_id", "difficulty", F.when(at < train, "train").when(at < train + val, "val").otherwise("test").alias("split"))
+    d = clusters.join(difficulty_, "image_id", "left").groupBy("cluster_id").agg(F.round(F.avg(F.coalesce("difficulty", F.lit(0.5))), 9).alias("difficulty"))
+    at = F.pmod(F.col("no"), F.lit(cycle))
+    return numbered(d, "no", "difficulty", "cluster_id").select("cluster_id", "difficulty", F.when(at < train, "train").when(at < train + val, "val").otherwise("test").alias("split"))

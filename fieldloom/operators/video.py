@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fieldloom.functions import geometry as G
 from fieldloom.operators.dedup import components
+from fieldloom.operators.quality import overlaps
 
 
 def step_of(seconds: Column) -> Column:
@@ -39,12 +39,10 @@ def vote(readings: DataFrame, least: int = 2) -> DataFrame:
 def fuse(boxes: DataFrame, least_iou: float = 0.55) -> DataFrame:
     """Boxes of one picture and class that overlap made one, weighted by score: image_id, class, n, score, x, y, w, h.
 
-    boxes: box_id, image_id, class, x, y, w, h, score. Overlapping boxes form components.
+    boxes: box_id, image_id, class, x, y, w, h, score. Overlapping boxes form components; they meet in bands of
+    areas, so a crowded picture is not paired with itself as a whole.
     """
-    a = boxes.select("image_id", "class", F.col("box_id").alias("a"), *[F.col(c).alias(f"{c}a") for c in "xywh"])
-    b = boxes.select("image_id", "class", F.col("box_id").alias("b"), *[F.col(c).alias(f"{c}b") for c in "xywh"])
-    iou = G.iou_xywh(tuple(F.col(f"{c}a") for c in "xywh"), tuple(F.col(f"{c}b") for c in "xywh"))
-    edges = a.join(b, ["image_id", "class"]).filter("a < b").filter(iou >= least_iou).select("a", "b")
+    edges = overlaps(boxes.withColumn("seq", F.col("box_id")), least_iou, inclusive=True).select(F.col("seq_a").alias("a"), F.col("seq_b").alias("b"))
     comp = components(edges)
     d = boxes.join(comp, F.col("box_id") == F.col("vertex"), "left").withColumn("group", F.coalesce("component", "box_id"))
     mean = lambda c: F.try_divide(F.sum(F.col(c) * F.col("score")), F.sum("score")).alias(c)

@@ -55,7 +55,16 @@ def chosen(field: str, cleaned: bool) -> str:
              CASE WHEN engine = 'agree' THEN false ELSE (CASE WHEN from_p THEN p < 0.5 OR pt = '' OR pb ELSE v < 0.5 OR vt = '' OR vb END) OR (vt <> pt AND abs(v - p) < 0.08::DOUBLE) END AS review FROM fp)"""
 
 
-PICK = f"WITH {chosen('class', False)} SELECT row_id, engine, round(score, 6) AS score, review FROM ch"
+PICK = f"""
+    WITH {chosen('class', False)}
+    SELECT row_id, engine, CASE WHEN engine = 'agree' THEN 'same_text'
+        WHEN f IN ('id_number', 'date_of_birth') THEN CASE WHEN vok <> pok THEN 'pattern_match' ELSE 'higher_confidence' END
+        WHEN f IN ('place_of_origin', 'place_of_residence') THEN CASE WHEN (pt <> '') <> (vt <> '') THEN 'long_text_nonempty' WHEN vb AND NOT pb THEN 'viet_suspicious_long_text' WHEN pb AND NOT vb THEN 'paddle_suspicious_long_text'
+          WHEN engine = 'vietocr' THEN 'viet_long_text_confidence' ELSE 'paddle_long_text_default' END
+        WHEN f = 'full_name' THEN CASE WHEN (pt <> '') <> (vt <> '') THEN 'name_nonempty' WHEN pb AND NOT vb THEN 'paddle_suspicious_name' WHEN vb AND NOT pb THEN 'viet_suspicious_name'
+          WHEN v >= p - 0.08::DOUBLE THEN 'viet_name_bias' WHEN length(vt) >= length(pt) AND v >= p - 0.12::DOUBLE THEN 'viet_name_length_bias' WHEN engine = 'paddleocr' THEN 'paddle_name_confidence' ELSE 'viet_name_bias' END
+        ELSE 'higher_confidence' END AS reason, round(abs(v - p) + 1e-8, 5) AS margin, round(score, 6) AS score, review, pt AS other FROM ch
+"""
 PSEUDO = f"""
     WITH {chosen('field_name', True)}
     SELECT r.row_id, r.crop_path, r.field_name, r.split, r.ann_id, r.ground_truth_text, vx AS text_vietocr, round(v + 1e-8, 5) AS conf_vietocr, px AS text_paddle, round(p + 1e-8, 5) AS conf_paddle,

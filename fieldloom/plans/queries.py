@@ -11,11 +11,11 @@ from pyspark.sql.window import Window
 from fieldloom.functions import geometry as G
 from fieldloom.functions import pixels as X
 from fieldloom.functions import text as T
-from fieldloom.operators import dedup, ensemble, evaluate, linepick, nested, quality, review, video
+from fieldloom.operators import cards, dedup, ensemble, evaluate, linepick, nested, quality, review, routing, video
 from fieldloom.plans import adapters as A
 from fieldloom.plans import choice_sql as C
-from fieldloom.plans.label_sql import CONFIDENCE_CTES, LABEL_CTES
-from fieldloom.runtime import materialize, table
+from fieldloom.plans.label_sql import CONFIDENCE_CTES, LABEL_CTES, picked_date, picked_id
+from fieldloom.runtime import materialize, shared_dir, table
 from fieldloom.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,7 +140,7 @@ def gt_pred_join(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.match(table(spark, d, "reviewed_sample"), pred, "annotation_id").select("k_path", "k_field", "annotation_id", "ground_truth_text")
 
 
-@query(f"""
+_CURVE = f"""
     WITH {A.SQL},
     t AS (SELECT image_id, class, seq, x, y, w, h FROM annotations WHERE seq % 3 <> 0),
     dt AS (SELECT image_id, class, seq AS det, x + 2 AS x, y + 1 AS y, w, h, round(w * 20000)::BIGINT AS score FROM annotations),
@@ -151,17 +151,30 @@ def gt_pred_join(spark: SparkSession, d: str) -> DataFrame:
     best AS (SELECT *, row_number() OVER (PARTITION BY image_id, class, det ORDER BY i / (s - i) DESC, seq) AS r FROM hit WHERE i > 0 AND i / (s - i) >= 0.5),
     rightly AS (SELECT image_id, class, det, row_number() OVER (PARTITION BY image_id, class, seq ORDER BY score DESC, det) AS r FROM best WHERE r = 1),
     tot AS (SELECT class, count(*) AS total FROM t GROUP BY class),
-    c AS (SELECT d.*, CASE WHEN r.r = 1 THEN 1 ELSE 0 END AS tp FROM dt d LEFT JOIN rightly r ON r.image_id = d.image_id AND r.class = d.class AND r.det = d.det)
-    SELECT class, image_id, det, score,
-           round(sum(tp) OVER w / count(*) OVER w, 6) AS precision, round(sum(tp) OVER w / total, 6) AS recall
-    FROM c JOIN tot USING (class) WINDOW w AS (PARTITION BY class ORDER BY score DESC, image_id, det ROWS UNBOUNDED PRECEDING)
-""")
+    c AS (SELECT d.*, CASE WHEN r.r = 1 THEN 1 ELSE 0 END AS tp FROM dt d LEFT JOIN rightly r ON r.image_id = d.image_id AND r.class = d.class AND r.det = d.det),
+    cu AS (SELECT class, image_id, det, score, sum(tp) OVER w / count(*) OVER w AS precision, sum(tp) OVER w / total AS recall FROM c JOIN tot USING (class) WINDOW w AS (PARTITION BY class ORDER BY score DESC, image_id, det ROWS UNBOUNDED PRECEDING))
+"""
+
+
+@query(f"{_CURVE} SELECT class, image_id, det, score, round(precision, 6) AS precision, round(recall, 6) AS recall FROM cu")
 def pr_curve(spark: SparkSession, d: str) -> DataFrame:
     a = A.annotations(spark, d)
     det = a.select("image_id", "class", F.col("seq").alias("det"), (F.col("x") + 2).alias("x"), (F.col("y") + 1).alias("y"), "w", "h", F.round(F.col("w") * 20000).cast("long").alias("score"))
     return A.rounded(evaluate.pr_curve(det, a.filter("seq % 3 <> 0")))
 
 
+@query(f"""
+    {_CURVE}, st AS (
+      SELECT *, recall - coalesce(lag(recall) OVER w, 0) AS step, max(precision) OVER (PARTITION BY class ORDER BY score DESC, image_id, det ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS best
+      FROM cu WINDOW w AS (PARTITION BY class ORDER BY score DESC, image_id, det))
+    SELECT class, count(*) AS n, round(sum(step * best) + 1e-8, 5) AS average_precision FROM st GROUP BY class
+""")
+def average_precision(spark: SparkSession, d: str) -> DataFrame:
+    a = A.annotations(spark, d)
+    det = a.select("image_id", "class", F.col("seq").alias("det"), (F.col("x") + 2).alias("x"), (F.col("y") + 1).alias("y"), "w", "h", F.round(F.col("w") * 20000).cast("long").alias("score"))
+    return _fives(evaluate.average_precision(evaluate.pr_curve(det, a.filter("seq % 3 <> 0"))), "average_precision")
+
+
 # ---- review
 
 
@@ -274,9 +287,9 @@ def latest_delivery(spark: SparkSession, d: str) -> DataFrame:
     return review.latest_delivery(_sample(spark, d)).select("ann_id", "row_id")
 
 
-@query("SELECT field_name, split, count(*) AS n FROM crop_manifest GROUP BY field_name, split")
+@query("SELECT coalesce(field_name, 'missing') AS field_name, coalesce(split, 'missing') AS split, count(*) AS n FROM crop_manifest GROUP BY 1, 2")
 def crop_counts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "crop_manifest").groupBy("field_name", "split").agg(F.count("*").alias("n"))
+    return quality.counts(table(spark, d, "crop_manifest"), "field_name", "split")
 
 
 @query("""
@@ -356,7 +369,7 @@ def annotation_issues(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_ISSUES} SELECT kind, count(*) AS n, count(DISTINCT image_id) AS images FROM issues GROUP BY kind")
 def issue_histogram(spark: SparkSession, d: str) -> DataFrame:
-    return _issues(spark, d).groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("image_id").alias("images"))
+    return quality.issue_counts(_issues(spark, d))
 
 
 @query(f"WITH {_ISSUES} SELECT split, image_id, min(severity) AS severity, count(*) AS n FROM issues GROUP BY split, image_id")
@@ -375,7 +388,7 @@ def quality_gate(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {A.SQL} SELECT class, count(*) AS n FROM annotations GROUP BY class")
 def class_distribution(spark: SparkSession, d: str) -> DataFrame:
-    return _ann(spark, d).groupBy("class").agg(F.count("*").alias("n"))
+    return quality.counts(_ann(spark, d), "class")
 
 
 @query(f"WITH {A.SQL} SELECT image_id, seq, round(w, 6) AS w, round(h, 6) AS h FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY w * h DESC, seq) AS r FROM annotations WHERE class = 'card') WHERE r = 1")
@@ -406,8 +419,7 @@ def image_size_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {A.SQL} SELECT round(avg(n), 6) AS mean, round(stddev_pop(n), 6) AS std, min(n) AS least, max(n) AS most, count(*) FILTER (n = 0) AS empty FROM per")
 def annotations_per_image(spark: SparkSession, d: str) -> DataFrame:
-    n = F.col("n")
-    return A.rounded(quality.per_image(_img(spark, d), _ann(spark, d)).agg(F.avg(n).alias("mean"), F.stddev_pop(n).alias("std"), F.min(n).alias("least"), F.max(n).alias("most"), F.count_if(n == 0).alias("empty")))
+    return A.rounded(quality.boxes_a_picture(quality.per_image(_img(spark, d), _ann(spark, d))))
 
 
 @query("""
@@ -427,13 +439,12 @@ def histogram(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {A.SQL} SELECT split, count(*) AS images, sum(n)::BIGINT AS boxes, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM per GROUP BY split")
 def split_report(spark: SparkSession, d: str) -> DataFrame:
-    g = quality.per_image(_img(spark, d), _ann(spark, d)).groupBy("split").agg(F.count("*").alias("images"), F.sum("n").alias("boxes"))
-    return A.rounded(g.withColumn("share", F.col("images") / F.sum("images").over(Window.partitionBy())))
+    return A.rounded(quality.split_shares(quality.per_image(_img(spark, d), _ann(spark, d))))
 
 
 @query("SELECT coalesce(split, 'missing') AS split, count(*) AS n FROM images GROUP BY 1")
 def split_counts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "images").groupBy(F.coalesce("split", F.lit("missing")).alias("split")).agg(F.count("*").alias("n"))
+    return quality.counts(table(spark, d, "images"), "split")
 
 
 _DIFF = f"""
@@ -485,15 +496,14 @@ def coco_reindex(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-    WITH {A.SQL}, l AS (SELECT image_id, greatest(0, least(1, (x + w / 2) / 640)) AS cx, list_position(['id', 'name', 'birth', 'origin', 'address'], class) - 1 AS k FROM annotations WHERE class IN ('id', 'name', 'birth', 'origin', 'address')),
-    t AS (SELECT image_id, count(*) AS n, sum(k) AS k  FROM l GROUP BY image_id)
-    SELECT i.image_id, coalesce(t.n, 0) AS n, coalesce(t.k, 0)::BIGINT AS classes FROM images0 i LEFT JOIN t ON t.image_id = i.image_id
+    WITH {A.SQL},
+    l AS (SELECT a.*, list_position(['id', 'name', 'birth', 'origin', 'address'], class) - 1 AS k FROM annotations a WHERE class IN ('id', 'name', 'birth', 'origin', 'address')),
+    q AS (SELECT image_id, seq, k, greatest(0, least(1, (x + w / 2) / 640)) + 1e-10::DOUBLE AS cx, greatest(0, least(1, (y + h / 2) / 640)) + 1e-10::DOUBLE AS cy, greatest(0, least(1, w / 640)) + 1e-10::DOUBLE AS bw, greatest(0, least(1, h / 640)) + 1e-10::DOUBLE AS bh FROM l),
+    t AS (SELECT image_id, string_agg(printf('%d %.6f %.6f %.6f %.6f', k, cx, cy, bw, bh), chr(10) ORDER BY seq) AS label FROM q GROUP BY image_id)
+    SELECT i.image_id, coalesce(t.label, '') AS label FROM images0 i LEFT JOIN t ON t.image_id = i.image_id
 """)
 def yolo_labels(spark: SparkSession, d: str) -> DataFrame:
-    l = files.yolo_labels(_img(spark, d), _ann(spark, d), ["id", "name", "birth", "origin", "address"])
-    lines = F.filter(F.split("label", "\n"), lambda x: x != "")
-    number = lambda i: F.aggregate(F.transform(lines, lambda x: F.get(F.split(x, " "), F.lit(i)).cast("double")), F.lit(0.0), lambda a, v: a + v)
-    return A.rounded(l.select("image_id", F.size(lines).alias("n"), number(0).cast("long").alias("classes")), 3)
+    return files.yolo_labels(_img(spark, d), _ann(spark, d), ["id", "name", "birth", "origin", "address"])
 
 
 @query(f"WITH {A.SQL} SELECT image_id, seq, round(greatest(0, least(1, (x + w / 2) / 640)) + 1e-8, 6) AS cx, round(greatest(0, least(1, (y + h / 2) / 640)) + 1e-8, 6) AS cy, round(greatest(0, least(1, w / 640)) + 1e-8, 6) AS w, round(greatest(0, least(1, h / 640)) + 1e-8, 6) AS h FROM annotations")
@@ -507,14 +517,119 @@ def yolo_verify(spark: SparkSession, d: str) -> DataFrame:
     return files.yolo_verify(_img(spark, d), quality.per_image(_img(spark, d), _ann(spark, d)).filter("n > 0"))
 
 
-@query("""
-    SELECT c.annotation_id, c.image_id, i.file_name, c.field_name, c.split, round(c.bbox[3]::DOUBLE - c.bbox[1]::DOUBLE, 3) AS w, round(c.bbox[4]::DOUBLE - c.bbox[2]::DOUBLE, 3) AS h
-    FROM crop_manifest c JOIN (SELECT image_id, min(file_name) AS file_name FROM images GROUP BY image_id) i ON i.image_id = c.image_id
+def _clamped(x1: str, y1: str, x2: str, y2: str, w: str, h: str, least: int) -> dict[str, str]:
+    """SQL of a box within a picture, by side."""
+    lo = lambda a, n: f"greatest(0, least({a}, {n} - 1))"
+    hi = lambda a, z, n: f"CASE WHEN greatest({least}, least({z}, {n})) <= {lo(a, n)} THEN least({n}, {lo(a, n)} + 1) ELSE greatest({least}, least({z}, {n})) END"
+    return {"x1": lo(x1, w), "y1": lo(y1, h), "x2": hi(x1, x2, w), "y2": hi(y1, y2, h)}
+
+
+def _padded(p: str, ratio: float, least: int | None) -> dict[str, str]:
+    """SQL of the box {p}x1 and so on grown by a share of its sides in a picture of 640 x 640."""
+    grow = (lambda a, z: f"greatest({least}, ({z} - {a}) * {ratio}::DOUBLE)") if least else (lambda a, z: f"greatest(1, {z} - {a}) * {ratio}::DOUBLE")
+    dx, dy = grow(f"{p}x1", f"{p}x2"), grow(f"{p}y1", f"{p}y2")
+    return _clamped(f"{p}x1 - {dx}", f"{p}y1 - {dy}", f"{p}x2 + {dx}", f"{p}y2 + {dy}", "640", "640", 1)
+
+
+def _named(sides: dict[str, str], prefix: str) -> str:
+    return ", ".join(f"({v})::DOUBLE AS {prefix}{k}" for k, v in sides.items())
+
+
+_CARDS = f"""
+    {A.SQL},
+    lc AS (SELECT image_id, arg_max({{'x': x, 'y': y, 'w': w, 'h': h}}, {{'a': w * h, 's': -seq}}) AS b FROM annotations WHERE class = 'card' GROUP BY image_id),
+    cb AS (SELECT image_id, b.x::DOUBLE AS x1, b.y::DOUBLE AS y1, (b.x + b.w)::DOUBLE AS x2, (b.y + b.h)::DOUBLE AS y2 FROM lc),
+    cp AS (SELECT i.image_id, i.split, i.file_name, cb.image_id IS NOT NULL AS has, {_named(_padded('cb.', 0.05, 1), 'c')} FROM images0 i LEFT JOIN cb ON cb.image_id = i.image_id),
+    rm AS (SELECT *, 855 / (cx2 - cx1) AS sx, 539 / (cy2 - cy1) AS sy FROM cp)
+"""
+
+
+@query(f"""
+    WITH {_CARDS},
+    s0 AS (SELECT image_id, seq, class, x AS x1, y AS y1, x + w AS x2, y + h AS y2 FROM annotations WHERE class IN ('id', 'name', 'birth', 'origin', 'address')),
+    s AS (SELECT image_id, seq, class, {_named(_padded('', 0.04, None), 's')} FROM s0),
+    j AS (SELECT s.*, rm.split, rm.file_name, rm.has, (sx1 - cx1) * sx AS px1, (sy1 - cy1) * sy AS py1, (sx2 - cx1) * sx AS px2, (sy2 - cy1) * sy AS py2 FROM s JOIN rm ON rm.image_id = s.image_id WHERE s.image_id % 7 <> 0),
+    m AS (SELECT *, {_named(_clamped('px1', 'py1', 'px2', 'py2', '856', '540', 0), 'm')} FROM j),
+    k AS (SELECT * EXCLUDE (mx1, my1, mx2, my2), CASE WHEN has THEN mx1 ELSE sx1 END AS mx1, CASE WHEN has THEN my1 ELSE sy1 END AS my1, CASE WHEN has THEN mx2 ELSE sx2 END AS mx2, CASE WHEN has THEN my2 ELSE sy2 END AS my2 FROM m)
+    SELECT 'crops/' || class || '/' || regexp_replace(file_name, '\\.[^./]*$', '') || '_' || (image_id * 100 + seq) || '.jpg' AS crop_path, 'pictures/' || file_name AS image_path, class AS field_name, image_id, image_id AS source_image_id,
+           round(mx1::FLOAT::DOUBLE + 1e-7, 2) AS x1, round(my1::FLOAT::DOUBLE + 1e-7, 2) AS y1, round(mx2::FLOAT::DOUBLE + 1e-7, 2) AS x2, round(my2::FLOAT::DOUBLE + 1e-7, 2) AS y2, round(sx1::FLOAT::DOUBLE + 1e-7, 2) AS source_x1, round(sy2::FLOAT::DOUBLE + 1e-7, 2) AS source_y2,
+           split, image_id * 100 + seq AS annotation_id, CASE WHEN has THEN 'bbox_crop' ELSE 'none' END AS rectification_method
+    FROM k WHERE round_even(mx2 - mx1, 0) >= 12 AND round_even(my2 - my1, 0) >= 12
 """)
 def crop_manifest(spark: SparkSession, d: str) -> DataFrame:
-    i = table(spark, d, "images").groupBy("image_id").agg(F.min("file_name").alias("file_name"))
-    b = G.from_array(F.col("bbox"))
-    return A.rounded(table(spark, d, "crop_manifest").join(i, "image_id").select("annotation_id", "image_id", "file_name", "field_name", "split", (b.x2 - b.x1).alias("w"), (b.y2 - b.y1).alias("h")), 3)
+    i = _img(spark, d)
+    index = i.filter("image_id % 7 <> 0").select("file_name", F.concat(F.lit("./pictures//"), "file_name").alias("path"))  # some pictures are missing
+    a = _ann(spark, d).withColumn("id", F.col("image_id") * 100 + F.col("seq"))
+    m = cards.manifest(i, a, index, ["id", "name", "birth", "origin", "address"])
+    at = lambda c, k, name: (F.get(c, F.lit(k)).cast("double") + 1e-7).alias(name)
+    sides = [at("bbox", k, n) for k, n in enumerate(("x1", "y1", "x2", "y2"))]
+    return A.rounded(m.select("crop_path", "image_path", "field_name", "image_id", "source_image_id", *sides, at("source_bbox", 0, "source_x1"), at("source_bbox", 3, "source_y2"), "split", "annotation_id", "rectification_method"), 2)
+
+
+@query(f"""
+    WITH {_CARDS}
+    SELECT image_id, CASE WHEN has THEN 'bbox_crop' ELSE 'none' END AS method, CASE WHEN has THEN 'degraded' END AS grade, (CASE WHEN has THEN 0.4 ELSE 0 END)::DOUBLE AS confidence, has AS fallback,
+           round(CASE WHEN has THEN cx1 END + 7e-7, 4) AS x1, round(CASE WHEN has THEN cy2 END + 7e-7, 4) AS y2, round(CASE WHEN has THEN sx END + 7e-9, 6) AS m0, round(CASE WHEN has THEN -cx1 * sx END + 7e-7, 4) AS m2, round(CASE WHEN has THEN sy END + 7e-9, 6) AS m4, round(CASE WHEN has THEN -cy1 * sy END + 7e-7, 4) AS m5
+    FROM rm
+""")
+def rectify_meta(spark: SparkSession, d: str) -> DataFrame:
+    card = quality.largest(_ann(spark, d)).select("image_id", G.from_xywh(*[F.col(c) for c in "xywh"]).alias("card"))
+    r, m = F.col("rectification"), lambda k: F.get("rectification.matrix", F.lit(k))
+    p = cards.prepared(_img(spark, d).join(card, "image_id", "left"), ratio=0.05)
+    return A.rounded(p.select(
+        "image_id", r.method.alias("method"), r.grade.alias("grade"), r.confidence.alias("confidence"), r.fallback.alias("fallback"), F.round(r.box.x1 + 7e-7, 4).alias("x1"), F.round(r.box.y2 + 7e-7, 4).alias("y2"),
+        (m(0) + 7e-9).alias("m0"), F.round(m(2) + 7e-7, 4).alias("m2"), (m(4) + 7e-9).alias("m4"), F.round(m(5) + 7e-7, 4).alias("m5"),
+    ))
+
+
+@query(f"WITH {A.SQL} SELECT 'image' AS kind, i.image_id, file_name AS name, width::DOUBLE AS x FROM images0 i WHERE split = 'val' UNION ALL SELECT 'annotation', a.image_id, class, round(a.x, 4) FROM annotations a JOIN images0 i ON i.image_id = a.image_id WHERE split = 'val'")
+def coco_explode(spark: SparkSession, d: str) -> DataFrame:
+    """Written as an annotation document, found, read and made flat again."""
+    import uuid
+
+    names = [*A.CLASS_OF.values(), "?"]
+    root = f"{shared_dir(spark)}/fieldloom/coco-{uuid.uuid4().hex}"
+    images = _img(spark, d).filter("split = 'val'").select(F.col("image_id").alias("id"), "file_name", "width", "height")
+    a = _ann(spark, d).join(images.select(F.col("id").alias("image_id")), "image_id").select(
+        (F.col("image_id") * 100 + F.col("seq")).alias("id"), "image_id", (F.array_position(F.array(*[F.lit(n) for n in names]), F.col("class")) - 1).cast("int").alias("category_id"), F.array("x", "y", "w", "h").alias("bbox")
+    )
+    files.write_coco(images, a, spark.createDataFrame(list(enumerate(names)), "id int, name string"), f"{root}/val.json", description="round trip", version="1")
+    t = files.read_coco(spark, files.find_documents(spark, root))
+    i = t["images"].select("id", F.regexp_extract("file_name", r"(\d+)", 1).cast("long").alias("image_id"), "file_name", "width")
+    cats = F.broadcast(t["categories"].select(F.col("id").alias("category_id"), "name"))
+    boxes = t["annotations"].join(i.select(F.col("id").alias("link"), F.col("image_id").alias("own")), F.col("image_id") == F.col("link")).join(cats, "category_id")
+    return A.rounded(i.select(F.lit("image").alias("kind"), "image_id", F.col("file_name").alias("name"), F.col("width").cast("double").alias("x")).unionByName(
+        boxes.select(F.lit("annotation").alias("kind"), F.col("own").alias("image_id"), "name", F.get("bbox", F.lit(0)).alias("x"))), 4)
+
+
+_RATES = f"""
+    WITH {A.READINGS_SQL} SELECT engine, CASE WHEN grouping(field_name) = 1 THEN 'overall' ELSE 'per_field' END AS scope, CASE WHEN grouping(field_name) = 1 THEN '*' ELSE field_name END AS field_name,
+           count(*) AS count, round(avg(cer), 6) AS cer, round(avg(exact), 6) AS exact_match_rate FROM scored GROUP BY GROUPING SETS ((engine), (engine, field_name))
+"""
+
+
+@query(_RATES)
+def summary_json(spark: SparkSession, d: str) -> DataFrame:
+    """Rates written as a nested document and read again."""
+    import uuid
+
+    path = f"{shared_dir(spark)}/fieldloom/summary-{uuid.uuid4().hex}"
+    files.write_json(spark, files.summary_document(evaluate.summary(_scored(spark, d))), path)
+    rates = "struct<count: bigint, cer: double, exact_match_rate: double>"
+    kept = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"map<string, struct<overall: {rates}, per_field: map<string, {rates}>>>")).alias("engine", "v"))
+    every = F.map_concat(F.create_map(F.lit("*"), F.col("v.overall")), F.col("v.per_field"))
+    out = kept.select("engine", F.explode(every).alias("field_name", "r"))
+    return A.rounded(out.select("engine", F.when(F.col("field_name") == "*", "overall").otherwise("per_field").alias("scope"), "field_name", "r.*"))
+
+
+@query(_RATES)
+def summary_csv(spark: SparkSession, d: str) -> DataFrame:
+    import uuid
+
+    path = f"{shared_dir(spark)}/fieldloom/csv-{uuid.uuid4().hex}"
+    files.write_summary_csv(evaluate.summary(_scored(spark, d)), path)
+    kept = spark.read.option("header", "true").schema("engine string, scope string, field_name string, count long, cer double, wer double, exact_match_rate double").csv(path)
+    return A.rounded(kept.drop("wer"))
 
 
 # ---- duplicates
@@ -574,8 +689,7 @@ def phash_pairs(spark: SparkSession, d: str) -> DataFrame:
     SELECT v AS vertex, min(c) AS component FROM r GROUP BY v
 """)
 def phash_components(spark: SparkSession, d: str) -> DataFrame:
-    h = _hashes(spark, d)
-    return dedup.components(dedup.key_pairs(h, dedup.similar_hashes(h, 20)).select("a", "b"))
+    return dedup.clusters(_hashes(spark, d), 20)
 
 
 # ---- geometry over crop boxes
@@ -745,14 +859,10 @@ def normalize_field(spark: SparkSession, d: str) -> DataFrame:
     return _texts(spark, d).select("row_id", T.field_form(F.col("t"), F.col("f")).alias("form"))
 
 
-@query(r"""
-    SELECT row_id, list_extract(list_filter(l, lambda x: length(x) = 12), 1) AS exact, len(l) AS runs FROM (
-      SELECT row_id, list_transform(regexp_extract_all(coalesce(best_text, ''), '(?:[0-9][\s\-./]?){9,14}[0-9]'), lambda m: regexp_replace(m, '[^0-9]', '', 'g')) AS l FROM reviewed_sample)
-""")
+@query(f"SELECT row_id, {picked_id("coalesce(best_text, '') || ' ' || coalesce(text_paddle, '')")} AS id, {picked_date("coalesce(best_text, '') || ' ' || coalesce(text_paddle, '')")} AS date FROM reviewed_sample")
 def pick_id(spark: SparkSession, d: str) -> DataFrame:
-    t = F.col("t")
-    got = T.pick_id(t)
-    return _texts(spark, d).select("row_id", F.when(F.length(got) == 12, got).alias("exact"), F.size(F.regexp_extract_all(F.coalesce(t, F.lit("")), F.lit(T.ID_RUN), 0)).alias("runs"))
+    both = F.concat_ws(" ", T.text(F.col("best_text")), T.text(F.col("text_paddle")))
+    return _sample(spark, d).select("row_id", T.pick_id(both).alias("id"), T.pick_date(both).alias("date"))
 
 
 @query(f"""
@@ -824,7 +934,8 @@ def ensemble_title(spark: SparkSession, d: str) -> DataFrame:
 @query(C.PICK)
 def ensemble_pick(spark: SparkSession, d: str) -> DataFrame:
     e = ensemble.choose(_sample(spark, d).withColumn("field_name", F.col("class")))
-    return A.rounded(e.select("row_id", F.col("e_engine").alias("engine"), F.col("e_score").alias("score"), F.col("e_review").alias("review")))
+    margin = F.round(F.col("e_margin") + 1e-8, 5).alias("margin")
+    return A.rounded(e.select("row_id", F.col("e_engine").alias("engine"), F.col("e_reason").alias("reason"), margin, F.col("e_score").alias("score"), F.col("e_review").alias("review"), F.col("e_candidates")["paddleocr"].form.alias("other")))
 
 
 @query(C.SAFER)
@@ -878,16 +989,20 @@ def best_hypothesis(spark: SparkSession, d: str) -> DataFrame:
 # ---- pixels, clips, names
 
 
-_Q = "sharp AS (SELECT vec_id AS id, e, list_avg(e) AS b, list_stddev_pop(e) AS s FROM (SELECT vec_id, list_transform(embedding, lambda v: least(255, greatest(0, v::DOUBLE * 300 + 128))) AS e FROM embeddings))"
+_Q = "sharp AS (SELECT vec_id AS id, e, list_avg(e) AS b, list_stddev_pop(e) AS s FROM (SELECT vec_id, list_transform(embedding, lambda v: floor(least(255, greatest(0, v::DOUBLE * 300 + 128)))) AS e FROM embeddings))"
 
 
-@query(f"WITH {_Q} SELECT id, round(b, 4) AS brightness, round(s, 4) AS contrast, round(0.30::DOUBLE * least(1, greatest(0, 1 - abs(b - 145) / 145)) + 0.25::DOUBLE * least(1, greatest(0, s / 64)), 4) AS score FROM sharp")
+@query(f"""
+    WITH {_Q}, m AS (SELECT *, list_transform(range(64), lambda i: [i // 8, i % 8]) AS ij FROM sharp),
+    l AS (SELECT id, b, s, list_transform(ij, lambda p: e[abs(p[1] - 1) * 8 + p[2] + 1] + e[(7 - abs(6 - p[1])) * 8 + p[2] + 1] + e[p[1] * 8 + abs(p[2] - 1) + 1] + e[p[1] * 8 + (7 - abs(6 - p[2])) + 1] - 4 * e[p[1] * 8 + p[2] + 1]) AS lap FROM m),
+    v AS (SELECT *, list_var_pop(lap) AS sharpness FROM l)
+    SELECT id, round(sharpness + 1e-5, 2) AS sharpness, round(b, 4) AS brightness, round(s, 4) AS contrast, round(0.45::DOUBLE * least(1, sharpness / 1200) + 0.30::DOUBLE * least(1, greatest(0, 1 - abs(b - 145) / 145)) + 0.25::DOUBLE * least(1, greatest(0, s / 64)), 4) AS score FROM v
+""")
 def quality_score(spark: SparkSession, d: str) -> DataFrame:
-    g = A.grids(spark, d).withColumn("e", F.transform("grid", lambda v: F.least(F.lit(255.0), F.greatest(F.lit(0.0), v * 300 + 128))))
-    mean = F.aggregate("e", F.lit(0.0), lambda a, v: a + v) / 64
-    g = g.withColumn("b", mean)
-    g = g.withColumn("s", F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, v: a + (v - F.col("b")) * (v - F.col("b"))) / 64))
-    return A.rounded(g.select("id", F.col("b").alias("brightness"), F.col("s").alias("contrast"), X.quality_score(F.lit(0.0), F.col("b"), F.col("s")).alias("score")), 4)
+    g = A.grids(spark, d).withColumn("e", F.transform("grid", lambda v: F.floor(F.least(F.lit(255.0), F.greatest(F.lit(0.0), v * 300 + 128)))))
+    pixels = F.unhex(F.array_join(F.transform("e", lambda v: F.lpad(F.hex(v.cast("int")), 2, "0")), ""))
+    q = g.select("id", X.quality_udf(8)(pixels).alias("q")).select("id", "q.*")
+    return A.rounded(q.select("id", F.round(F.col("sharpness") + 1e-5, 2).alias("sharpness"), "brightness", "contrast", "score"), 4)
 
 
 @query()
@@ -931,10 +1046,18 @@ def majority_vote(spark: SparkSession, d: str) -> DataFrame:
     return video.vote(A.clips(spark, d).withColumn("field", F.lit("x"))).select("clip", "text", "votes")
 
 
-@query()
+@query(f"""
+    WITH RECURSIVE {A.SQL}, b AS (SELECT *, image_id * 1000 + seq AS box_id, (seq % 10 + 1)::DOUBLE / 10 AS score FROM annotations),
+    q AS (SELECT a.box_id AS a, b.box_id AS b, greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) AS i, a.w * a.h + b.w * b.h AS s
+      FROM b a JOIN b ON a.image_id = b.image_id AND a.class = b.class AND a.seq < b.seq),
+    p AS (SELECT a, b FROM q WHERE i > 0 AND i / (s - i) >= 0.55::DOUBLE), e AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+    r AS (SELECT a AS v, a AS c FROM e UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.v), m AS (SELECT v, min(c) AS c FROM r GROUP BY v)
+    SELECT image_id, class, count(*) AS n, round(max(score) + 1e-8, 5) AS score, {', '.join(f'round(sum({c} * score) / sum(score) + 1e-8, 5) AS {c}' for c in 'xywh')}
+    FROM b LEFT JOIN m ON m.v = b.box_id GROUP BY image_id, class, coalesce(m.c, box_id)
+""")
 def box_fusion(spark: SparkSession, d: str) -> DataFrame:
     b = _ann(spark, d).withColumn("box_id", F.col("image_id") * 1000 + F.col("seq")).withColumn("score", (F.col("seq") % 10 + 1) / 10)
-    return A.rounded(video.fuse(b))
+    return _fives(video.fuse(b), "score", *"xywh")
 
 
 @query("""
@@ -948,10 +1071,27 @@ def fuzzy_match(spark: SparkSession, d: str) -> DataFrame:
     return video.nearest_name(v, n.select(F.col("n_name").alias("name")), 3).select("value", "name", F.col("distance").cast("long").alias("distance"))
 
 
-@query("SELECT row_id, CASE WHEN coalesce(best_conf, 0) >= 0.8 THEN 'take' WHEN coalesce(best_conf, 0) >= 0.5 THEN 'check' ELSE 'again' END AS route FROM reviewed_sample")
+@query("""
+    WITH r AS (SELECT row_id, coalesce(best_conf, 0) AS c, coalesce(needs_review, false) AS retried, coalesce(text_vietocr <> text_paddle, false) AS differ FROM reviewed_sample)
+    SELECT row_id, CASE WHEN c >= 0.8 THEN CASE WHEN differ THEN 'check' ELSE 'take' END WHEN c >= 0.5 THEN 'check' WHEN retried THEN 'drop' ELSE 'again' END AS route,
+           array_to_string(list_filter([CASE WHEN c < 0.8 AND c >= 0.5 THEN 'low_confidence' END, CASE WHEN c < 0.5 THEN 'very_low_confidence' END, CASE WHEN differ THEN 'engines_differ' END], lambda x: x IS NOT NULL), ',') AS reasons FROM r
+""")
 def confidence_route(spark: SparkSession, d: str) -> DataFrame:
-    c = F.coalesce("best_conf", F.lit(0.0))
-    return _sample(spark, d).select("row_id", F.when(c >= 0.8, "take").when(c >= 0.5, "check").otherwise("again").alias("route"))
+    r = routing.reading_route(F.col("best_conf"), F.col("needs_review"), F.col("text_vietocr") != F.col("text_paddle"))
+    return _sample(spark, d).select("row_id", r.alias("r")).select("row_id", "r.route", F.array_join("r.reasons", ",").alias("reasons"))
+
+
+@query("""
+    WITH r AS (SELECT row_id, coalesce(conf_vietocr, 0) AS card, row_id % 5 AS corners, coalesce(abs(conf_vietocr - conf_paddle), 0) AS turn, row_id % 7 AS fields FROM reviewed_sample),
+    g AS (SELECT *, CASE WHEN corners >= 4 THEN 'good' WHEN corners = 3 THEN 'estimated' ELSE 'degraded' END AS grade FROM r)
+    SELECT row_id, CASE WHEN card < 0.3 THEN 'no_card_detected' WHEN fields = 0 AND grade = 'degraded' THEN 'partial_result' END AS stop, grade, turn >= 0.12 AS turned,
+           CASE WHEN fields >= 4 THEN 'none' WHEN fields >= 1 THEN 'template_for_missing' WHEN grade = 'degraded' THEN 'none' ELSE 'template_for_all' END AS template,
+           array_to_string(list_filter([CASE WHEN card >= 0.3 AND card < 0.5 THEN 'weak_card' END, CASE WHEN grade = 'estimated' THEN 'estimated_corner' END, CASE WHEN grade = 'degraded' THEN 'degraded_rectification' END,
+             CASE WHEN turn < 0.12 THEN 'unclear_turn' END, CASE WHEN fields < 4 THEN 'few_fields' END], lambda x: x IS NOT NULL), ',') AS reasons FROM g
+""")
+def recovery_route(spark: SparkSession, d: str) -> DataFrame:
+    r = routing.picture_route(F.col("conf_vietocr"), F.col("row_id") % 5, F.abs(F.col("conf_vietocr") - F.col("conf_paddle")), F.col("row_id") % 7)
+    return _sample(spark, d).select("row_id", r.alias("r")).select("row_id", "r.stop", "r.grade", "r.turned", "r.template", F.array_join("r.reasons", ",").alias("reasons"))
 
 
 @query(f"WITH {A.SQL} SELECT image_id, count(DISTINCT class) FILTER (class <> 'card') >= 2 AS front FROM annotations GROUP BY image_id")
@@ -1052,10 +1192,10 @@ def polygon_aabb(spark: SparkSession, d: str) -> DataFrame:
     return A.rounded(_boxes(spark, d).select("annotation_id", G.bounds(F.reverse(ring)).alias("r")).select("annotation_id", "r.*"))
 
 
-@query(f"WITH {_BOXES} SELECT annotation_id, round(855 / (x2 - x1), 6) AS sx, round(539 / (y2 - y1), 6) AS sy, round(-x1 * 855 / (x2 - x1), 4) AS tx FROM bx WHERE x2 > x1 AND y2 > y1")
+@query(f"WITH {_BOXES} SELECT annotation_id, i, round(CASE i WHEN 0 THEN 855 / (x2 - x1) WHEN 2 THEN -x1 * 855 / (x2 - x1) WHEN 4 THEN 539 / (y2 - y1) WHEN 5 THEN -y1 * 539 / (y2 - y1) WHEN 8 THEN 1 ELSE 0 END + 1e-7, 4) AS v FROM bx, (SELECT unnest(range(9)) AS i) WHERE x2 > x1 AND y2 > y1")
 def homography_rect(spark: SparkSession, d: str) -> DataFrame:
-    m = _boxes(spark, d).filter("b.x2 > b.x1 and b.y2 > b.y1").withColumn("m", G.rect_matrix(F.col("b")))
-    return A.rounded(m.select("annotation_id", F.get("m", F.lit(0)).alias("sx"), F.get("m", F.lit(4)).alias("sy"), F.round(F.get("m", F.lit(2)), 4).alias("tx")))
+    m = _boxes(spark, d).filter("b.x2 > b.x1 and b.y2 > b.y1").select("annotation_id", F.posexplode(G.rect_matrix(F.col("b"))).alias("i", "v"))
+    return A.rounded(m.select("annotation_id", F.col("i").cast("long").alias("i"), (F.col("v") + 1e-7).alias("v")), 4)
 
 
 @query(f"""
@@ -1071,8 +1211,6 @@ def unmap_points(spark: SparkSession, d: str) -> DataFrame:
 def sink_jsonl_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     import uuid
 
-    from fieldloom.runtime import shared_dir
-
     cols = ["row_id", "crop_path", "class", "ann_id", "best_text", "best_conf", "needs_review"]
     r = _sample(spark, d).select(*cols)
     path = f"{shared_dir(spark)}/fieldloom/jsonl-{uuid.uuid4().hex}"
@@ -1111,10 +1249,17 @@ def image_deliveries(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "images").groupBy("image_id").agg(F.count("*").alias("deliveries"), late.alias("late"))
 
 
-@query(f"WITH {A.SQL} SELECT 'images' AS metric, '' AS class, count(*)::DOUBLE AS value FROM images0 UNION ALL SELECT 'boxes', class, count(*)::DOUBLE FROM annotations GROUP BY class UNION ALL SELECT 'mean_boxes', '', round(avg(n), 6) FROM per")
+@query(f"""
+    WITH {A.SQL}, br AS (SELECT ((o_orderkey * 7) % 256)::DOUBLE AS mean FROM orders WHERE o_orderkey % 5 <> 0), ar AS (SELECT class, w * h AS a, w, h, x + w / 2 AS cx, y + h / 2 AS cy FROM annotations),
+    st AS (
+      SELECT 'total_images' AS metric, '' AS key, count(*)::DOUBLE AS value FROM per UNION ALL SELECT 'total_annotations', '', sum(n) FROM per UNION ALL
+      SELECT 'boxes_mean', '', avg(n) FROM per UNION ALL SELECT 'boxes_std', '', stddev_pop(n) FROM per UNION ALL SELECT 'boxes_least', '', min(n) FROM per UNION ALL SELECT 'boxes_most', '', max(n) FROM per UNION ALL
+      SELECT 'boxes_empty', '', count(*) FILTER (n = 0) FROM per UNION ALL
+      SELECT 'brightness_mean', '', avg(mean) FROM br UNION ALL SELECT 'brightness_std', '', stddev_pop(mean) FROM br UNION ALL SELECT 'brightness_sample', '', count(*) FROM br UNION ALL
+      SELECT 'split_images', split, count(*) FROM per GROUP BY split UNION ALL
+      {' UNION ALL '.join(f"SELECT 'class_{n}', class, {e} FROM ar GROUP BY class" for n, e in (('n', 'count(*)'), ('mean_area', 'avg(a)'), ('std_area', 'stddev_pop(a)'), ('mean_w', 'avg(w)'), ('mean_h', 'avg(h)'), ('mean_cx', 'avg(cx)'), ('mean_cy', 'avg(cy)')))} UNION ALL
+      {' UNION ALL '.join(f"SELECT 'size_{n}_{k}', '', {v} FROM images0" for n, c in (('width', 'width'), ('height', 'height'), ('aspect', 'width / height')) for k, v in (('mean', f'avg({c})'), ('std', f'stddev_pop({c})'), ('min', f'min({c})'), ('max', f'max({c})')))})
+    SELECT metric, key, round(value, 3) AS value FROM st
+""")
 def dataset_stats(spark: SparkSession, d: str) -> DataFrame:
-    a, i = _ann(spark, d), _img(spark, d)
-    v = lambda c: c.cast("double").alias("value")
-    out = i.agg(v(F.count("*"))).select(F.lit("images").alias("metric"), F.lit("").alias("class"), "value")
-    out = out.unionByName(a.groupBy("class").agg(v(F.count("*"))).select(F.lit("boxes").alias("metric"), "class", "value"))
-    return A.rounded(out.unionByName(quality.per_image(i, a).agg(v(F.avg("n"))).select(F.lit("mean_boxes").alias("metric"), F.lit("").alias("class"), "value")))
+    return A.rounded(quality.dataset_statistics(_img(spark, d), _ann(spark, d), A.brightness(spark, d)), 3)
\ No newline at end of file

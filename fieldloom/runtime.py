@@ -7,6 +7,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def build_session(app: str = "fieldloom", master: str | None = None, partitions: int | None = None) -> SparkSession:
@@ -20,11 +22,16 @@ def build_session(app: str = "fieldloom", master: str | None = None, partitions:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a temporary folder serves a session whose executors run on this machine (tests); on a cluster
+    such a folder would be read back incomplete, so that raises.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local"):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         found = "file://" + tempfile.mkdtemp(prefix="fieldloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -40,6 +47,24 @@ def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     return out
 
 
+def in_order(df: DataFrame, *keys) -> DataFrame:
+    """``df`` in a global order, written: _part and _at give a row's range of the order and its place within it.
+
+    Ranges are of like size whatever the ties, because ``keys`` end in what tells rows apart; no task orders all rows.
+    """
+    place = F.monotonically_increasing_id()  # the partition above bit 33, the row's place in it below
+    d = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    return materialize(d.withColumns({"_part": F.shiftright(place, 33).cast("int"), "_at": place.bitwiseAND(F.lit((1 << 33) - 1))}), "ordered")
+
+
+def numbered(df: DataFrame, name: str, *keys) -> DataFrame:
+    """``df`` with consecutive numbers from 0 in the order of ``keys``."""
+    o = in_order(df, *keys)
+    per = o.groupBy("_part").agg(F.count("*").alias("_n"))  # a row a partition
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return o.join(F.broadcast(per.select("_part", before.alias("_before"))), "_part").withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+
+
 def discard(df: DataFrame) -> None:
     """Delete the table behind a materialized frame that nothing reads any more."""
     path = getattr(df, "_fieldloom_path", None)

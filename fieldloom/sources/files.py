@@ -78,6 +78,84 @@ def reindex(images: DataFrame, annotations: DataFrame, keep: DataFrame) -> tuple
     return imgs, number(anns, "id", "new_id").drop("id").withColumnRenamed("new_id", "id")
 
 
+def coco_lines(images: DataFrame, annotations: DataFrame, categories: DataFrame, description: str = "", version: str = "") -> DataFrame:
+    """An annotation document as its lines in order (part, no, line): images and annotations renumbered from 0 (``reindex``)."""
+    head = {"info": {"description": description, "version": version}, "licenses": [], "categories": [r.asDict() for r in categories.orderBy("id").collect()]}  # a few classes
+    text = json.dumps(head, ensure_ascii=False)[:-1]
+    fixed = images.sparkSession.createDataFrame([(0, -1, text + ', "images": ['), (2, -1, '], "annotations": ['), (4, -1, "]}")], "part int, no long, line string")
+    comma = F.when(F.col("id") > 0, ",").otherwise("")
+    body = lambda df, part: df.select(F.lit(part).alias("part"), F.col("id").cast("long").alias("no"), F.concat(comma, F.to_json(F.struct("*"))).alias("line"))
+    return fixed.unionByName(body(images, 1)).unionByName(body(annotations, 3))
+
+
+def write_coco(images: DataFrame, annotations: DataFrame, categories: DataFrame, path: str, keep: DataFrame | None = None, **about: str) -> None:
+    """An annotation document of the images in ``keep`` (image_id; all if none is given), in one text file below ``path``.
+
+    The lines are sorted in all tasks and written by one, a line at a time, so no document has to fit in memory.
+    """
+    keep = images.select(F.col("id").alias("image_id")) if keep is None else keep
+    imgs, anns = reindex(images, annotations, keep)
+    lines = coco_lines(imgs, anns, categories, **about).repartitionByRange("part", "no").sortWithinPartitions("part", "no")
+    lines.select("line").coalesce(1).write.mode("overwrite").text(path)
+
+
+def find_documents(spark: SparkSession, root: str, splits: tuple[str, ...] = ("train", "val", "valid", "test"), name: str = "_annotations.coco.json") -> dict[str, str]:
+    """Annotation documents below ``root`` by split: <split>/<name> or <split>.json; splits without one are left out."""
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path_of(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    found = {}
+    for split in splits:
+        for candidate in (f"{root.rstrip('/')}/{split}/{name}", f"{root.rstrip('/')}/{split}.json"):
+            if split not in found and fs.exists(path_of(candidate)):
+                found[split] = candidate
+    return found
+
+
+def first_existing(spark: SparkSession, given: str | None, candidates: list[str]) -> str:
+    """``given`` if there is one, else the first of the candidates that exists, else the first."""
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    there = lambda p: path_of(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(path_of(p))
+    return given or next((c for c in candidates if there(c)), candidates[0])
+
+
+def write_json(spark: SparkSession, payload: dict, path: str) -> None:
+    """A summary that the driver holds, as an indented JSON document in one file below ``path``."""
+    spark.createDataFrame([(json.dumps(payload, ensure_ascii=False, indent=2),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def summary_document(summary: DataFrame) -> dict:
+    """Rates of ``evaluate.summary`` nested by engine: overall, and per field. As many rows as engines and fields."""
+    out: dict = {}
+    for r in summary.orderBy("engine", "scope", "field_name").collect():
+        rates = {k: r[k] for k in ("count", "cer", "wer", "exact_match_rate")}
+        own = out.setdefault(r.engine, {"overall": None, "per_field": {}})
+        if r.scope == "overall":
+            own["overall"] = rates
+        else:
+            own["per_field"][r.field_name] = rates
+    return out
+
+
+def write_label_files(labels: DataFrame, root: str) -> None:
+    """A text file for each picture: <root>/<split>/<stem>.txt, written by the tasks that hold the labels.
+
+    labels: split, file_name, label; root: a folder that all executors mount. Meant for training tools that need
+    files; tables are the better store. Files are put in place whole, so a task that runs again leaves the same.
+    """
+    def save(rows) -> None:
+        import os
+
+        for r in rows:
+            folder = os.path.join(root, r.split)
+            os.makedirs(folder, exist_ok=True)
+            target = os.path.join(folder, os.path.splitext(os.path.basename(r.file_name))[0] + ".txt")
+            with open(target + f".{os.getpid()}", "w", encoding="utf-8") as f:
+                f.write(r.label)
+            os.replace(target + f".{os.getpid()}", target)
+
+    labels.select("split", "file_name", "label").foreachPartition(save)
+
+
 def number(df: DataFrame, order: str, name: str, width: int = 1 << 20) -> DataFrame:
     """``df`` with consecutive numbers from 0 by a whole-number column, in two steps."""
     cell = F.floor(F.col(order) / width)
@@ -102,7 +180,8 @@ def yolo_labels(images: DataFrame, annotations: DataFrame, classes: list[str]) -
     index = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("class")).cast("int") - 1
     y = G.yolo(F.col("x"), F.col("y"), F.col("w"), F.col("h"), F.col("width"), F.col("height"))
     boxes = annotations.filter(F.col("class").isin(classes)).join(images.select("image_id", "width", "height"), "image_id").withColumn("q", y)
-    line = F.format_string("%d %.6f %.6f %.6f %.6f", index, "q.cx", "q.cy", "q.w", "q.h")
+    up = 1e-10  # a tie of the seventh place goes up, whatever the last bit of the quotient
+    line = F.format_string("%d %.6f %.6f %.6f %.6f", index, *[F.col(f"q.{c}") + up for c in ("cx", "cy", "w", "h")])
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", line.alias("line")))), lambda s: s.line), "\n")
     per = boxes.groupBy("image_id").agg(text.alias("label"))
     return images.select("image_id").join(per, "image_id", "left").select("image_id", F.coalesce("label", F.lit("")).alias("label"))
