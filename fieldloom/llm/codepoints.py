@@ -88,6 +88,16 @@ def running(flags: np.ndarray) -> np.ndarray:
     return out
 
 
+def between(flags: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Set flags from each place of ``a`` up to that of ``b``, b left out; the stretches ascend and do not overlap."""
+    if not len(a):
+        return np.zeros(0, np.int64)
+    pairs = np.empty(2 * len(a), np.int64)
+    pairs[::2], pairs[1::2] = a, b
+    sums = np.add.reduceat(np.append(flags.view(np.uint8), np.uint8(0)), pairs, dtype=np.int64)[::2]
+    return np.where(a < b, sums, 0)
+
+
 def edges(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where runs of set flags begin, and where they end (the place after)."""
     padded = np.zeros(len(flags) + 2, np.int8)

@@ -20,11 +20,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions.folding import strip_accents
-from fieldloom.llm.codepoints import BREAK, LETTER, MARK, NUMBER, SPACE, Codes, edges, one_of, running, slices, word_hash
+from fieldloom.llm.codepoints import BREAK, LETTER, MARK, NUMBER, SPACE, Codes, between, one_of, slices, word_hash
 
 TYPES = ("prose", "list", "table", "junk")
 TOP_WORDS = 400  # words with a row of their own in the table of neighbours
@@ -93,8 +93,7 @@ def _tabular(c: Codes) -> np.ndarray:
 
     def of(flags: np.ndarray) -> np.ndarray:
         """Set flags between the first and the last ink of each line, both included."""
-        count = running(flags)
-        return count[last + 1] - count[first]
+        return between(flags, first, last + 1)
 
     cut = lambda x: of((c.u == ord(x)) & _after(tight))
     named = (of((c.u == ord(":")) & _after(space)) == 1) & (of(space) <= 3) & (last - first < 64)
@@ -111,12 +110,11 @@ def _segments(c: Codes) -> tuple[np.ndarray, np.ndarray]:
     ends = c.folded_has(BREAK) | one_of(u, ";|•,=\t") | gap | (one_of(u, ":.!?") & behind) | (one_of(u, "/–—-") & behind & before)
     body = c.folded_has(LETTER | NUMBER)
     starts = body & ~np.concatenate([[False], body[:-1]])
-    words, ink = running(starts), running(~space)
     to = np.flatnonzero(ends)
     at = np.concatenate([[0], to[:-1] + 1])
-    size = (ink[to] - ink[at]).astype(np.float64)
+    size = between(~space, at, to).astype(np.float64)
     owner = c.owner(to, folded=True)
-    return _sums(owner, size * (words[to] - words[at] <= 4), c.n), _sums(owner, size, c.n)
+    return _sums(owner, size * (between(starts, at, to) <= 4), c.n), _sums(owner, size, c.n)
 
 
 def _repetition(c: Codes) -> np.ndarray:
@@ -129,8 +127,7 @@ def _repetition(c: Codes) -> np.ndarray:
         same = np.zeros(len(ink), bool)
         np.equal(c.folded[lag:], c.folded[:-lag], out=same[lag:])
         same &= ink
-        count = running(same)
-        best = np.maximum(best, _share(count[end] - count[np.minimum(start + lag, end)], whole))
+        best = np.maximum(best, _share(between(same, np.minimum(start + lag, end), end), whole))
     h, owner = c.word_hashes, c.word_owner
     words = np.bincount(owner, minlength=c.n)
     for lag in range(1, WORD_LAGS + 1):
