@@ -18,10 +18,10 @@ from fieldloom.runtime import numbered
 FIELD_CLASSES = ("id", "name", "birth", "origin", "address", "title")
 
 
-def enrich(annotations: DataFrame, images: DataFrame, categories: DataFrame) -> DataFrame:
-    """Annotations with class and picture; an unknown category is '?'. The category table is small by its nature."""
+def enrich(annotations: DataFrame, images: DataFrame, categories: DataFrame, on: str | list[str] = "image_id") -> DataFrame:
+    """Annotations with class and picture, which meet by ``on``; an unknown category is '?'. The category table is small by its nature."""
     a = annotations.join(categories.select(F.col("id").alias("category_id"), F.col("name").alias("class")), "category_id", "left")
-    return a.withColumn("class", F.coalesce("class", F.lit("?"))).join(images, "image_id")
+    return a.withColumn("class", F.coalesce("class", F.lit("?"))).join(images, on)
 
 
 def per_image(images: DataFrame, annotations: DataFrame) -> DataFrame:

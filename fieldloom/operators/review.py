@@ -91,6 +91,18 @@ def upsert(rows: DataFrame, edits: DataFrame, order: str = "row_id", latest: str
     return rows.join(firsts, order, "left").withColumn("ground_truth_text", F.coalesce("truth", "ground_truth_text")).drop("truth")
 
 
+def accepted(rows: DataFrame, picks: DataFrame, order: str = "row_id") -> DataFrame:
+    """Edits for ``upsert`` from picks (ann_id, crop_path, engine, edit_no): the text that the picked engine read.
+
+    engine is vietocr, paddleocr or best; the first row of a key gives the text. Picks of other engines, of rows that
+    are not there or of blank readings make no edit.
+    """
+    key, texts = ["ann_id", "crop_path"], ["text_vietocr", "text_paddle", "best_text"]
+    first = rows.groupBy(*key).agg(F.min_by(F.struct(*texts), order).alias("t"))
+    read = F.when(F.col("engine") == "vietocr", F.col("t.text_vietocr")).when(F.col("engine") == "paddleocr", F.col("t.text_paddle")).when(F.col("engine") == "best", F.col("t.best_text"))
+    return picks.join(first, key).select(*key, read.alias("truth"), "edit_no").filter(F.trim("truth") != "")
+
+
 def complete(rows: DataFrame) -> DataFrame:
     """Records of older producers with what they lack: candidates from flat columns, best_source, field_name."""
     f = lambda t, c, b: F.struct(F.col(t).alias("text"), F.col(c).alias("confidence"), F.lit(b).alias("backend"))

@@ -53,7 +53,7 @@ def nearest_name(values: DataFrame, names: DataFrame, most: int = 2) -> DataFram
     """value, name, distance: the nearest name within ``most`` edits, the first in order on ties.
 
     values: value; names: name. Names and values meet by length and by one of ``most`` + 1 pieces of the name, so the
-    join is an equi-join on pieces; names too short to cut meet by length alone.
+    join is an equi-join on pieces; names too short to cut meet by length alone, in an equi-join on lengths.
     """
     n = most + 1
     v = values.filter("value is not null").select(F.lower("value").alias("v"), "value").distinct()
@@ -65,7 +65,7 @@ def nearest_name(values: DataFrame, names: DataFrame, most: int = 2) -> DataFram
     grams = v.crossJoin(F.broadcast(sizes.groupBy().agg(F.collect_list("len").alias("lens"))))  # as many as names have thirds
     at = lambda l: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("v") - l + 1)), lambda i: F.substring(F.col("v"), i, l))
     grams = grams.select("v", "value", F.explode(F.array_distinct(F.flatten(F.transform("lens", at)))).alias("k"))
-    short = m.filter(F.length("m") < n)
-    pairs = grams.join(cut, "k").select("v", "value", "m", "name").unionByName(v.join(short, F.length("v") <= F.length("m") + most).select("v", "value", "m", "name")).distinct()
+    short = m.filter(F.length("m") < n).withColumn("len", F.explode(F.sequence(F.lit(0), F.length("m") + most)))
+    pairs = grams.join(cut, "k").select("v", "value", "m", "name").unionByName(v.join(short, F.length("v") == F.col("len")).select("v", "value", "m", "name")).distinct()
     d = pairs.withColumn("distance", F.levenshtein("v", "m", most)).filter("distance >= 0")
     return d.groupBy("value").agg(F.min(F.struct("distance", "name")).alias("b")).select("value", "b.name", "b.distance")

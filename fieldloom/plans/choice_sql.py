@@ -208,3 +208,7 @@ LABEL_TEXT = f"""
     SELECT row_id, q_words AS label_words, q_like AS label_like, st_x AS stripped, cl_v AS value, cl_t AS clean FROM cl
 """
 CONFIDENCE = f"WITH {judged(_RAW, 'jd')} SELECT row_id, suspicious, round(estimated + 1e-8, 5) AS estimated, round(calibrated + 1e-8, 5) AS calibrated FROM jd"
+FINISHED = f"""
+    WITH {judged(f"SELECT row_id, {long_name('class')} AS f, {collapsed('text_vietocr')} AS t0, conf_vietocr AS c FROM reviewed_sample WHERE conf_vietocr IS NOT NULL", 'jd')}, fo AS (SELECT row_id, t, calibrated, {form('t')} AS form FROM jd)
+    SELECT row_id, t AS clean, round(calibrated + 1e-8, 5) AS conf, form, calibrated < 0.5 OR form = '' AS needs_review FROM fo
+"""

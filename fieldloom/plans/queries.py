@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from fieldloom.functions import geometry as G
 from fieldloom.functions import pixels as X
 from fieldloom.functions import text as T
-from fieldloom.operators import cards, dedup, ensemble, evaluate, linepick, nested, quality, review, routing, video
+from fieldloom.operators import cards, dedup, ensemble, evaluate, inference, linepick, nested, quality, review, routing, video
 from fieldloom.plans import adapters as A
 from fieldloom.plans import choice_sql as C
 from fieldloom.plans.label_sql import CONFIDENCE_CTES, LABEL_CTES, picked_date, picked_id
@@ -47,6 +47,33 @@ def p2_segments(spark: SparkSession, d: str) -> DataFrame:
     return nested.tables(nested.parse(table(spark, d, "reviewed_raw"), "raw_id", "payload"))["segments"]
 
 
+@query()
+def p2_attributes(spark: SparkSession, d: str) -> DataFrame:
+    return nested.tables(nested.parse(table(spark, d, "reviewed_raw"), "raw_id", "payload"))["attributes"]
+
+
+_VARIANT = """
+    e AS (SELECT row_id, unnest(map_entries(candidates)) AS e FROM reviewed_sample),
+    v AS (SELECT row_id AS record_id, e.key AS engine, e.value AS r, CASE WHEN e.value.text IS NULL THEN CASE WHEN e.value.confidence IS NULL THEN 'void' ELSE 'silent' END WHEN e.value.confidence IS NULL THEN 'text'
+      WHEN e.value.raw_text IS NOT NULL OR e.value.normalized_text IS NOT NULL THEN 'formed' ELSE 'scored' END AS variant FROM e WHERE e.value IS NOT NULL)
+"""
+
+
+@query(f"WITH {_VARIANT} SELECT record_id, engine, variant FROM v")
+def p2_variants(spark: SparkSession, d: str) -> DataFrame:
+    return nested.map_readings(table(spark, d, "reviewed_sample")).select("record_id", "engine", "variant")
+
+
+@query(f"WITH {_VARIANT} SELECT record_id, engine, r.text AS text, r.confidence AS confidence, r.backend AS backend, r.needs_review AS needs_review, r.raw_text AS raw_text, r.normalized_text AS normalized_text FROM v WHERE variant = 'formed'")
+def p2_readings_formed(spark: SparkSession, d: str) -> DataFrame:
+    return nested.map_tables(table(spark, d, "reviewed_sample"))["readings_formed"].drop("reading_no")
+
+
+@query("SELECT row_id AS record_id, CASE WHEN candidates IS NULL THEN 'none' WHEN cardinality(candidates) = 0 THEN 'empty' ELSE 'map' END AS shape, coalesce(cardinality(candidates), -1)::INT AS entries FROM reviewed_sample")
+def p2_records(spark: SparkSession, d: str) -> DataFrame:
+    return nested.map_tables(table(spark, d, "reviewed_sample"))["records"]
+
+
 @query("""
     SELECT row_id AS record_id, e.key AS engine, e.value.text AS text, e.value.confidence AS confidence, e.value.backend AS backend,
            e.value.needs_review AS needs_review, e.value.raw_text AS raw_text, e.value.normalized_text AS normalized_text
@@ -879,10 +906,10 @@ def char_profile(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""
     WITH {_TEXTS}, w AS (SELECT row_id, list_filter(string_split(lower(t), ' '), lambda x: x <> '') AS w FROM tx),
     p AS (SELECT row_id, w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS b FROM w)
-    SELECT row_id, len(w) >= 3 AND (len(list_distinct(w))::DOUBLE / greatest(len(w), 1) <= 0.65 OR len(list_distinct(b)) < len(w) - 1) AS repetitive FROM p
+    SELECT row_id, len(w) >= 6 AND (len(list_distinct(w))::DOUBLE / greatest(len(w), 1) <= 0.65 OR len(list_distinct(b)) < len(w) - 1) AS repetitive FROM p
 """)
 def repetitive(spark: SparkSession, d: str) -> DataFrame:
-    return _texts(spark, d).select("row_id", T.repetitive(F.col("t"), 3).alias("repetitive"))
+    return _texts(spark, d).select("row_id", T.repetitive(F.col("t")).alias("repetitive"))
 
 
 @query("SELECT row_id, translate(coalesce(best_text, ''), 'OoBlIS', '008115') AS fixed FROM reviewed_sample")
@@ -1005,11 +1032,91 @@ def quality_score(spark: SparkSession, d: str) -> DataFrame:
     return A.rounded(q.select("id", F.round(F.col("sharpness") + 1e-5, 2).alias("sharpness"), "brightness", "contrast", "score"), 4)
 
 
-@query()
+def _numbers(rows) -> str:
+    return "[" + ", ".join("[" + ", ".join(f"{v!r}::DOUBLE" for v in map(float, r)) + "]" for r in rows) + "]"
+
+
+_PIXELS = "px AS (SELECT vec_id AS id, list_transform(embedding, lambda v: greatest(0, least(255, round_even(v::DOUBLE * 300 + 128, 0)))) AS e FROM embeddings)"
+_ROW = "list_transform({rows}, lambda a: list_transform({cols}, lambda b: list_inner_product(a, b)))"
+
+
+def _pixels(spark: SparkSession, d: str) -> DataFrame:
+    """Grids as raw gray pictures of 8 x 8: id, content."""
+    e = F.transform("grid", lambda v: F.least(F.lit(255), F.greatest(F.lit(0), F.bround(v * 300 + 128).cast("int"))))
+    return A.grids(spark, d).select("id", F.unhex(F.array_join(F.transform(e, lambda v: F.lpad(F.hex(v), 2, "0")), "")).alias("content"))
+
+
+@query(f"""
+    WITH {_PIXELS}, k AS (SELECT {_numbers(X.lanczos_matrix(8, 32))} AS k, {_numbers(X.dct_matrix(32)[:8])} AS d),
+    c AS (SELECT id, k, d, list_transform(range(8), lambda c: list_transform(range(8), lambda r: e[r * 8 + c + 1]::DOUBLE)) AS cols FROM px, k),
+    a AS (SELECT *, {_ROW.format(rows='k', cols='cols')} AS a FROM c),
+    m AS (SELECT id, d, list_transform(a, lambda row: list_transform(k, lambda q: greatest(0::DOUBLE, least(255::DOUBLE, round_even(list_inner_product(row, q), 0))))) AS small FROM a),
+    n AS (SELECT id, d, list_transform(range(32), lambda c: list_transform(small, lambda r: r[c + 1])) AS cols FROM m),
+    b AS (SELECT id, d, {_ROW.format(rows='d', cols='cols')} AS b FROM n),
+    l AS (SELECT id, flatten({_ROW.format(rows='b', cols='d')}) AS low FROM b),
+    t AS (SELECT *, (list_sort(low)[32] + list_sort(low)[33]) / 2 AS mid FROM l)
+    SELECT id, array_to_string(list_transform(low, lambda v: CASE WHEN v > mid THEN '1' ELSE '0' END), '') AS bits FROM t
+""")
 def dct_hash(spark: SparkSession, d: str) -> DataFrame:
-    pixels = F.concat(*[F.unhex(F.lpad(F.hex(F.least(F.lit(255), F.greatest(F.lit(0), F.bround(F.get("grid", F.lit(i)) * 300 + 128).cast("int")))), 2, "0")) for i in range(64)])
-    g = A.grids(spark, d).select("id", pixels.alias("content"))
-    return g.select("id", X.hash_udf(8)("content").alias("hash"))
+    return _pixels(spark, d).select("id", F.lpad(F.bin(X.hash_udf(8)("content")), 64, "0").alias("bits"))
+
+
+_BILINEAR = """list_transform(range(16), lambda n: round_even(
+      e[((n // 4) * 7 // 3) * 8 + (n % 4) * 7 // 3 + 1] * (1 - {fy}) * (1 - {fx}) + e[least(7, (n // 4) * 7 // 3 + 1) * 8 + (n % 4) * 7 // 3 + 1] * {fy} * (1 - {fx})
+      + e[((n // 4) * 7 // 3) * 8 + least(7, (n % 4) * 7 // 3 + 1) + 1] * (1 - {fy}) * {fx} + e[least(7, (n // 4) * 7 // 3 + 1) * 8 + least(7, (n % 4) * 7 // 3 + 1) + 1] * {fy} * {fx} + 1e-7, 0))""".format(
+    fy="(((n // 4) * 7 % 3) / 3)", fx="(((n % 4) * 7 % 3) / 3)"
+)
+
+
+@query(f"""
+    WITH {_PIXELS}, w AS (
+      SELECT id, CASE id % 3 WHEN 0 THEN 'polygon_warp' WHEN 1 THEN 'bbox_crop' ELSE 'none' END AS method,
+             CASE id % 3 WHEN 0 THEN {_BILINEAR} WHEN 1 THEN list_transform(range(16), lambda n: round_even((e[(n // 4) * 16 + (n % 4) * 2 + 1] + e[(n // 4) * 16 + (n % 4) * 2 + 2] + e[(n // 4) * 16 + (n % 4) * 2 + 9] + e[(n // 4) * 16 + (n % 4) * 2 + 10]) / 4, 0)) ELSE e END AS v
+      FROM px)
+    SELECT id, method, array_to_string(list_transform(v, lambda x: printf('%02X', x::INT)), '') AS content FROM w
+""")
+def rectified_pixels(spark: SparkSession, d: str) -> DataFrame:
+    p = _pixels(spark, d)
+    ring = F.array(*[F.array(F.lit(x), F.lit(y)) for x, y in ((7.0, 0.0), (0.0, 7.0), (7.0, 7.0), (0.0, 0.0))])
+    r = cards.rectify_udf(8, 4, 4)("content", F.when(F.col("id") % 3 == 0, ring), F.when(F.col("id") % 3 == 1, F.array(*[F.lit(v) for v in (0.0, 0.0, 8.0, 8.0)])))
+    return p.select("id", r.alias("r")).select("id", "r.method", F.hex("r.content").alias("content"))
+
+
+@query(f"WITH {_PIXELS} SELECT id, array_to_string(list_transform(range(64), lambda n: printf('%02X', e[(7 - n % 8) * 8 + n // 8 + 1]::INT)), '') AS content FROM px")
+def rotate90(spark: SparkSession, d: str) -> DataFrame:
+    return _pixels(spark, d).select("id", F.hex(X.rotate_udf(90, 8)("content")).alias("content"))
+
+
+@query()
+def orientation_of_pixels(spark: SparkSession, d: str) -> DataFrame:
+    o = X.pick_orientation(X.orientation_udf(8)("content"))
+    return A.rounded(_pixels(spark, d).select("id", o.alias("o")).select("id", "o.angle", "o.confidence"))
+
+
+@query(C.JOINED)
+def joined_text(spark: SparkSession, d: str) -> DataFrame:
+    return linepick.joined_text(_lines(spark, d).select("crop_id", "idx", "text", ((F.col("y1") + F.col("y2")) / 2).alias("y"), F.col("x1").alias("x")))
+
+
+@query(C.FINISHED)
+def finished_readings(spark: SparkSession, d: str) -> DataFrame:
+    r = _sample(spark, d).filter("conf_vietocr is not null").select("row_id", F.col("class").alias("name"), F.coalesce("text_vietocr", F.lit("")).alias("text"), F.col("conf_vietocr").alias("score"))
+    out = inference.finish(r, F.col("name")).select("row_id", "clean", "conf", "form", "needs_review")
+    return _fives(out, "conf")
+
+
+@query("""
+    WITH p AS (SELECT ann_id, crop_path, row_id AS edit_no, CASE row_id % 4 WHEN 0 THEN 'vietocr' WHEN 1 THEN 'paddleocr' WHEN 2 THEN 'best' ELSE 'other' END AS engine FROM reviewed_sample WHERE row_id % 5 = 0),
+    f AS (SELECT ann_id, crop_path, min(row_id) AS row_id, arg_min({'v': text_vietocr, 'p': text_paddle, 'b': best_text}, row_id) AS t FROM reviewed_sample GROUP BY ann_id, crop_path),
+    e AS (SELECT p.ann_id, p.crop_path, edit_no, trim(CASE engine WHEN 'vietocr' THEN t.v WHEN 'paddleocr' THEN t.p WHEN 'best' THEN t.b END) AS truth FROM p JOIN f ON f.ann_id = p.ann_id AND f.crop_path = p.crop_path),
+    l AS (SELECT ann_id, crop_path, arg_max(truth, edit_no) AS truth FROM e WHERE truth <> '' GROUP BY ann_id, crop_path)
+    SELECT r.row_id, coalesce(l.truth, r.ground_truth_text) AS ground_truth_text FROM reviewed_sample r LEFT JOIN f ON f.row_id = r.row_id LEFT JOIN l ON l.ann_id = f.ann_id AND l.crop_path = f.crop_path
+""")
+def review_accept(spark: SparkSession, d: str) -> DataFrame:
+    r = _sample(spark, d)
+    engine = F.element_at(F.array(*[F.lit(e) for e in ("vietocr", "paddleocr", "best", "other")]), (F.col("row_id") % 4 + 1).cast("int"))
+    picks = r.filter("row_id % 5 = 0").select("ann_id", "crop_path", F.col("row_id").alias("edit_no"), engine.alias("engine"))
+    return review.upsert(r, review.accepted(r, picks)).select("row_id", "ground_truth_text")
 
 
 @query("""

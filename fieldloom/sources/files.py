@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from fieldloom.functions import geometry as G
+from fieldloom.runtime import shared_dir
 from fieldloom.sources import schemas
 
 
@@ -30,13 +32,23 @@ def read_coco(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFrame
     """Annotation documents by split as flat tables images, annotations and categories, each with its split."""
     docs = None
     for split, path in paths.items():
-        d = spark.read.schema(schemas.COCO).option("multiLine", "true").json(path).withColumn("split", F.lit(split))
+        d = spark.read.schema(schemas.COCO).option("multiLine", "true").json(_visible(spark, path)).withColumn("split", F.lit(split))
         docs = d if docs is None else docs.unionByName(d)
     if docs is None:
         raise ValueError("no annotation document given")
     return explode_coco(docs)
 
 
+def _visible(spark: SparkSession, path: str) -> str:
+    """``path``, or a copy in the shared folder of a file that scans pass over because its name begins with _ or a point."""
+    if not path.rstrip("/").rsplit("/", 1)[-1].startswith(("_", ".")):
+        return path
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    source, target = hadoop.Path(path), hadoop.Path(f"{shared_dir(spark)}/fieldloom/document-{uuid.uuid4().hex}.json")
+    hadoop.FileUtil.copy(source.getFileSystem(conf), source, target.getFileSystem(conf), target, False, conf)
+    return target.toString()
+
+
 def explode_coco(docs: DataFrame) -> dict[str, DataFrame]:
     flat = lambda c: docs.select("split", F.explode(c).alias("r")).select("split", "r.*")
     return {"images": flat("images"), "annotations": flat("annotations"), "categories": docs.select(F.explode("categories").alias("r")).select("r.*").distinct()}
@@ -57,7 +69,7 @@ def read_pictures(spark: SparkSession, root: str) -> DataFrame:
 
 
 def write_pictures(df: DataFrame, path: str) -> None:
-    """Pictures (columns file_name and content) as table of binaries: one file a task, not one a picture."""
+    """Pictures (columns file_name and content) as table of binaries: one file a task; ``write_files`` makes a file a picture."""
     df.select("file_name", "content").write.mode("overwrite").parquet(path)
 
 
@@ -136,24 +148,32 @@ def summary_document(summary: DataFrame) -> dict:
     return out
 
 
-def write_label_files(labels: DataFrame, root: str) -> None:
-    """A text file for each picture: <root>/<split>/<stem>.txt, written by the tasks that hold the labels.
+def write_files(df: DataFrame, root: str) -> None:
+    """A file for each row (columns path, relative to ``root``, and content, text or bytes), written by the tasks that hold it.
 
-    labels: split, file_name, label; root: a folder that all executors mount. Meant for training tools that need
-    files; tables are the better store. Files are put in place whole, so a task that runs again leaves the same.
+    ``root``: a folder that all executors mount. Meant for tools that need files; tables are the better store. Files
+    are put in place whole, so a task that runs again leaves the same; rows without content are left out.
     """
+
     def save(rows) -> None:
         import os
 
         for r in rows:
-            folder = os.path.join(root, r.split)
-            os.makedirs(folder, exist_ok=True)
-            target = os.path.join(folder, os.path.splitext(os.path.basename(r.file_name))[0] + ".txt")
-            with open(target + f".{os.getpid()}", "w", encoding="utf-8") as f:
-                f.write(r.label)
-            os.replace(target + f".{os.getpid()}", target)
-
-    labels.select("split", "file_name", "label").foreachPartition(save)
+            if r.content is None:
+                continue
+            target = os.path.join(root, r.path)
+            os.makedirs(os.path.dirname(target), exist_ok=True)
+            with open(f"{target}.{os.getpid()}", "wb") as f:
+                f.write(r.content.encode() if isinstance(r.content, str) else bytes(r.content))
+            os.replace(f"{target}.{os.getpid()}", target)
+
+    df.select("path", "content").foreachPartition(save)
+
+
+def write_label_files(labels: DataFrame, root: str) -> None:
+    """Label texts (split, file_name, label) as <root>/<split>/<stem>.txt."""
+    stem = F.regexp_replace(F.regexp_extract("file_name", r"([^/\\]+)$", 1), r"\.[^.]*$", "")
+    write_files(labels.select(F.concat_ws("/", "split", F.concat(stem, F.lit(".txt"))).alias("path"), F.col("label").alias("content")), root)
 
 
 def number(df: DataFrame, order: str, name: str, width: int = 1 << 20) -> DataFrame:

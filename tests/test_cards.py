@@ -133,6 +133,32 @@ def test_statistics_document(spark):
     json.dumps(doc)
 
 
+def test_command_line(spark, tmp_path):
+    from fieldloom.__main__ import main
+
+    read = lambda name: [json.loads(x) for p in (tmp_path / name).iterdir() if p.name.startswith("part") and not p.name.endswith(".crc") for x in p.read_text(encoding="utf-8").splitlines() if x]
+    rows = [{"crop_path": f"c/{i}.jpg", "field_name": "name", "split": "val", "ann_id": i, "text_vietocr": "A B", "conf_vietocr": 0.9, "text_paddle": "A C", "conf_paddle": 0.2, "best_text": "A B", "best_conf": i / 4, "ground_truth_text": "A B"} for i in range(4)]
+    (tmp_path / "in.jsonl").write_text("\n".join(map(json.dumps, rows)), encoding="utf-8")
+    at = lambda n: str(tmp_path / n)
+    main(["evaluate", "--input", at("in.jsonl"), "--output", at("e")], spark)
+    doc = json.loads("\n".join(p.read_text() for p in (tmp_path / "e" / "summary.json").iterdir() if p.name.startswith("part")))
+    assert doc["best"]["overall"]["exact_match_rate"] == 1.0 and doc["paddleocr"]["per_field"]["name"]["cer"] == 1 / 3
+    main(["queue", "--candidates", at("no"), at("in.jsonl"), "--output", at("q"), "--preset", "val_medium", "--limit", "2"], spark)
+    assert [r["ann_id"] for r in read("q")] == [0, 1]
+    main(["labels", "--input", at("in.jsonl"), "--output", at("l")], spark)
+    assert {r["best_source"] for r in read("l")} == {"vietocr"} and len(read("l")) == 4
+    (tmp_path / "data" / "val").mkdir(parents=True)
+    (tmp_path / "data" / "val" / "a.jpg").write_bytes(b"x")
+    coco = {"images": [{"id": 5, "file_name": "a.jpg", "width": 640, "height": 640}], "annotations": [{"id": 1, "image_id": 5, "category_id": 2, "bbox": [10, 10, 90, 30]}], "categories": [{"id": 2, "name": "name"}]}
+    (tmp_path / "data" / "val" / "_annotations.coco.json").write_text(json.dumps(coco))
+    main(["manifest", "--root", at("data"), "--output", at("m")], spark)
+    assert [(r["crop_path"], r["rectification_method"]) for r in read("m")] == [("crops/name/a_1.jpg", "none")]
+    main(["statistics", "--root", at("data"), "--output", at("s")], spark)
+    assert json.loads("\n".join(p.read_text() for p in (tmp_path / "s").iterdir() if p.name.startswith("part")))["total"]["images"] == 1
+    with pytest.raises(SystemExit):
+        main(["queue", "--preset", "nothing", "--output", "x"], spark)
+
+
 def test_no_machine_local_folder_on_a_cluster(monkeypatch):
     from fieldloom import runtime
 

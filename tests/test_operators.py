@@ -89,6 +89,20 @@ def test_kernels():
     assert X.decode(None) is None and X.decode(b"junk") is None and X.decode(b"\x01\x02\x03", 2).shape == (1, 2)
 
 
+def test_orientation_kernels():
+    g = np.array([[10] * 6 + [200] * 6] * 8, np.uint8)
+    assert 10 <= X.otsu(g) < 200 and X.otsu(np.full((3, 3), 7, np.uint8)) == 0
+    assert (X.blur(np.full((5, 4), 9, np.uint8)) == 9).all() and X.blur(np.full((1, 1), 9, np.uint8)).shape == (1, 1)
+    e = X.contours(g)
+    assert e[:, 5:7].any() and not e[:, :4].any() and not e[:, 8:].any() and (e.sum(1) <= 1).all()  # one thin line
+    row = np.zeros((1, 40), bool)
+    row[0, [3, 10, 35]] = True
+    assert X.closed(row, 15, 1)[0].nonzero()[0].tolist() == [*range(3, 11), 35]
+    brute = np.random.default_rng(3).random((9, 30)) < 0.1
+    spread = np.array([[brute[r, max(0, c - 2) : c + 3].any() for c in range(30)] for r in range(9)])
+    assert (X.closed(brute, 5, 1) == np.array([[spread[r, max(0, c - 2) : c + 3].all() for c in range(30)] for r in range(9)])).all()
+
+
 def test_orientation_choice(spark):
     m = lambda **k: F.create_map(*[x for a, v in k.items() for x in (F.lit(int(a[1:])), F.lit(v))])
     r = one(spark, X.pick_orientation(m(_0=0.5, _90=0.6)), X.pick_orientation(m(_0=0.6, _90=0.61)), X.pick_orientation(m(_0=0.1, _180=0.9)), X.pick_orientation(m(_0=0.1, _180=0.9), allow_180=True))
