@@ -95,9 +95,9 @@ def test_orientation_kernels():
     assert (X.blur(np.full((5, 4), 9, np.uint8)) == 9).all() and X.blur(np.full((1, 1), 9, np.uint8)).shape == (1, 1)
     e = X.contours(g)
     assert e[:, 5:7].any() and not e[:, :4].any() and not e[:, 8:].any() and (e.sum(1) <= 1).all()  # one thin line
-    row = np.zeros((1, 40), bool)
-    row[0, [3, 10, 35]] = True
-    assert X.closed(row, 15, 1)[0].nonzero()[0].tolist() == [*range(3, 11), 35]
+    row = np.zeros((1, 60), bool)
+    row[0, [13, 20, 40]] = True
+    assert X.closed(row, 15, 1)[0].nonzero()[0].tolist() == [*range(13, 21), 40]
     brute = np.random.default_rng(3).random((9, 30)) < 0.1
     spread = np.array([[brute[r, max(0, c - 2) : c + 3].any() for c in range(30)] for r in range(9)])
     assert (X.closed(brute, 5, 1) == np.array([[spread[r, max(0, c - 2) : c + 3].all() for c in range(30)] for r in range(9)])).all()
