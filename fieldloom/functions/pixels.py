@@ -58,6 +58,32 @@ def lanczos_matrix(n: int, m: int, lobes: int = 3) -> np.ndarray:
     return k / k.sum(1, keepdims=True)
 
 
+def cubic_matrix(n: int, m: int, a: float = -0.75) -> np.ndarray:
+    """Weights (m x n) that resample n pixels to m by cubic convolution; places beyond the edge count as the edge."""
+    at = (np.arange(m) + 0.5) * n / m - 0.5
+    base = np.floor(at).astype(int)
+    out = np.zeros((m, n))
+    for k in (-1, 0, 1, 2):
+        d = np.abs(at - (base + k))
+        w = np.where(d <= 1, ((a + 2) * d - (a + 3)) * d * d + 1, ((a * d - 5 * a) * d + 8 * a) * d - 4 * a)
+        np.add.at(out, (np.arange(m), np.clip(base + k, 0, n - 1)), w)
+    return out
+
+
+def reading_picture(a: np.ndarray, pad_share: tuple[float, float], least_pad: int, least_height: int) -> np.ndarray:
+    """A crop as a recogniser gets it: its edge repeated around it, and enlarged to a least height (sizes as ``geometry.reading_size``)."""
+    h, w = a.shape[:2]
+    px, py = (max(least_pad, int(np.rint(n * share))) for n, share in zip((w, h), pad_share, strict=True))
+    p = np.pad(a, [(py, py), (px, px)] + [(0, 0)] * (a.ndim - 2), mode="edge")
+    scale = least_height / max(1, p.shape[0])
+    if scale <= 1:
+        return p
+    hh, ww = int(np.rint(p.shape[0] * scale)), int(np.rint(p.shape[1] * scale))
+    big = np.tensordot(cubic_matrix(p.shape[0], hh), p.astype(np.float64), (1, 0))
+    big = np.moveaxis(np.tensordot(cubic_matrix(p.shape[1], ww), big, (1, 1)), 0, 1)
+    return np.clip(np.rint(big), 0, 255).astype(np.uint8)
+
+
 def dct_matrix(n: int) -> np.ndarray:
     """Unnormalised DCT-II."""
     k, i = np.arange(n)[:, None], np.arange(n)[None, :]

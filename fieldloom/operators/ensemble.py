@@ -142,10 +142,11 @@ def pseudo_labels(candidates: DataFrame, m: Margins | None = None) -> DataFrame:
     )
 
 
-def flag_fields(df: DataFrame, first_year: int = 1900, last_year: int | None = None) -> DataFrame:
+def flag_fields(df: DataFrame, first_year: int = 1900, last_year: int | None = None, prefixes: list[str] | None = None) -> DataFrame:
     """Rows with reasons: hard (the value cannot be one) and soft (it is unlikely), from the reviewed or best value.
 
-    Years of birth before ``first_year`` or after ``last_year`` (the current one if none is given) are unlikely.
+    Years of birth before ``first_year`` or after ``last_year`` (the current one if none is given) are unlikely, and so
+    are numbers of the right length that begin with none of ``prefixes`` (three digits each), where these are given.
     """
     latest = F.year(F.current_date()) if last_year is None else F.lit(last_year)
     f, x = T.canonical_field(F.col("field_name")), T.collapse(F.col("value"))
@@ -153,7 +154,8 @@ def flag_fields(df: DataFrame, first_year: int = 1900, last_year: int | None = N
     year = F.substring(iso, 1, 4).cast("int")
     reason = lambda cond, name: F.when(cond, F.lit(name))
     rules = F.array(
-        reason(x == "", "empty"), reason((f == "id_number") & ~T.valid_id(x), "id_not_12_digits"), reason((f == "date_of_birth") & iso.isNull(), "no_date"),
+        reason(x == "", "empty"), reason((f == "id_number") & ~T.valid_id(x), "id_not_12_digits"),
+        reason((f == "id_number") & T.valid_id(x) & ~F.substring(T.digits(x), 1, 3).isin(prefixes or []) & F.lit(prefixes is not None), "unknown_prefix"), reason((f == "date_of_birth") & iso.isNull(), "no_date"),
         reason((f == "date_of_birth") & ((year < first_year) | (year > latest)), "year_out_of_range"), reason((f == "full_name") & x.rlike(r"\p{Nd}"), "digits_in_name"),
         reason((f == "full_name") & (F.size(T.words(x)) < 2), "single_name"),
     )

@@ -6,6 +6,7 @@ one recogniser's lines and has the other read the part of the picture where it s
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable, Iterator
 from typing import Any, Protocol
 
@@ -32,6 +33,67 @@ class Recogniser(Protocol):
 
 _LOADED: dict[str, Any] = {}
 
+# What each kind of recogniser gets around a crop (shares of its sides, least pixels) and the least height
+# of its picture, for fields of digits and for others.
+PICTURES = {ensemble.PADDLE: ((0.08, 0.12), 6, (96, 128)), ensemble.VIET: ((0.06, 0.10), 4, (64, 80))}
+DIGIT_FIELDS = ("id_number", "date_of_birth")
+
+
+def pick_device(wanted: str, gpu_there: bool) -> str:
+    """cpu or gpu for auto, cpu, gpu or a name with cuda; raises where a wanted gpu is not there."""
+    kind = wanted.strip().lower()
+    if kind == "cpu" or (kind == "auto" and not gpu_there):
+        return "cpu"
+    if kind != "auto" and kind != "gpu" and not kind.startswith("cuda"):
+        raise ValueError(f"unknown device {wanted}")
+    if not gpu_there:
+        raise RuntimeError(f"{wanted} is wanted but no gpu is there")
+    return "gpu"
+
+
+def fitting(call: Callable, options: dict[str, Any]) -> dict[str, Any]:
+    """Those of the options that ``call`` takes by name; all where its signature is open or cannot be read."""
+    try:
+        params = inspect.signature(call).parameters
+    except (TypeError, ValueError):
+        return dict(options)
+    if any(p.kind is inspect.Parameter.VAR_KEYWORD for p in params.values()):
+        return dict(options)
+    return {k: v for k, v in options.items() if k in params}
+
+
+class Adapter:
+    """A recogniser library behind ``predict(image, field)``.
+
+    make: what builds the client, called on first use and once more if ``repair`` says that a failure can be mended
+    (a broken cache, say). method: name of the client's call; asked: options of it that not every version takes.
+    """
+
+    def __init__(self, engine: str, make: Callable[..., Any], method: str = "predict", options: dict | None = None, asked: dict | None = None, repair: Callable[[Exception], bool] | None = None, convert: Callable[[Any], Any] | None = None):
+        self.engine, self.make, self.method, self.options, self.asked, self.repair, self.convert = engine, make, method, options or {}, asked or {}, repair, convert
+        self._client: Any = None
+
+    def client(self) -> Any:
+        if self._client is None:
+            build = lambda: self.make(**fitting(self.make, self.options))
+            try:
+                self._client = build()
+            except Exception as e:
+                if self.repair is None or not self.repair(e):
+                    raise
+                self._client = build()
+        return self._client
+
+    def picture(self, image: Any, field: str | None) -> Any:
+        share, least, heights = PICTURES[self.engine]
+        long = T.FIELDS.get(field or "", field)
+        return pixels.reading_picture(image, share, least, heights[0] if long in DIGIT_FIELDS else heights[1])
+
+    def predict(self, image: Any, field: str | None) -> Any:
+        call = getattr(self.client(), self.method)
+        shown = self.picture(image, field)
+        return call(shown if self.convert is None else self.convert(shown), **fitting(call, self.asked))
+
 
 def parse_prediction(p: Any) -> tuple[str, float | None]:
     """Text and score of a prediction: a mapping, a pair or a text. No score, or one that is no number, is null."""

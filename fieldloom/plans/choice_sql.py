@@ -97,7 +97,8 @@ PART = f"""
 VALID = f"""
     WITH x AS (SELECT row_id, {long_name('class')} AS f, {collapsed("coalesce(nullif(ground_truth_text, ''), best_text)")} AS t FROM reviewed_sample), y AS (SELECT *, {ISO.format(t='t')} AS iso FROM x)
     SELECT row_id, array_to_string(list_filter([
-        CASE WHEN t = '' THEN 'empty' END, CASE WHEN f = 'id_number' AND length(regexp_replace(t, '[^\\p{{Nd}}]', '', 'g')) <> 12 THEN 'id_not_12_digits' END, CASE WHEN f = 'date_of_birth' AND iso IS NULL THEN 'no_date' END,
+        CASE WHEN t = '' THEN 'empty' END, CASE WHEN f = 'id_number' AND length(regexp_replace(t, '[^\\p{{Nd}}]', '', 'g')) <> 12 THEN 'id_not_12_digits' END,
+        CASE WHEN f = 'id_number' AND length(regexp_replace(t, '[^\\p{{Nd}}]', '', 'g')) = 12 AND NOT list_contains(list_transform(range(1, 97), lambda i: printf('%03d', i)), substr(regexp_replace(t, '[^\\p{{Nd}}]', '', 'g'), 1, 3)) THEN 'unknown_prefix' END, CASE WHEN f = 'date_of_birth' AND iso IS NULL THEN 'no_date' END,
         CASE WHEN f = 'date_of_birth' AND (year(iso) < 1900 OR year(iso) > 2025) THEN 'year_out_of_range' END, CASE WHEN f = 'full_name' AND regexp_matches(t, '\\p{{Nd}}') THEN 'digits_in_name' END,
         CASE WHEN f = 'full_name' AND len(list_filter(string_split(t, ' '), lambda w: w <> '')) < 2 THEN 'single_name' END], lambda r: r IS NOT NULL), ',') AS reasons FROM y
 """

@@ -973,7 +973,7 @@ def safer_pick(spark: SparkSession, d: str) -> DataFrame:
 
 @query(C.VALID)
 def validate_fields(spark: SparkSession, d: str) -> DataFrame:
-    v = ensemble.flag_fields(_sample(spark, d).select("row_id", F.col("class").alias("field_name"), F.coalesce(F.nullif("ground_truth_text", F.lit("")), "best_text").alias("value")), last_year=2025)
+    v = ensemble.flag_fields(_sample(spark, d).select("row_id", F.col("class").alias("field_name"), F.coalesce(F.nullif("ground_truth_text", F.lit("")), "best_text").alias("value")), last_year=2025, prefixes=[f"{i:03d}" for i in range(1, 97)])
     return v.select("row_id", F.array_join("reasons", ",").alias("reasons"))
 
 

@@ -125,6 +125,34 @@ def test_hybrid_reads_the_part_where_the_value_stands(spark, crops):
     assert got[2].part == "whole" and got[3].part == "whole"
 
 
+def test_adapters():
+    import numpy as np
+
+    class Client:
+        made = 0
+
+        def __init__(self, lang="vi"):
+            Client.made += 1
+            if Client.made == 1:
+                raise RuntimeError("broken cache")
+            self.lang = lang
+
+        def predict(self, image, return_prob=False):
+            return (f"{self.lang} {image.shape}", 0.5) if return_prob else "x"
+
+    a = inference.Adapter("vietocr", Client, options={"lang": "en", "show_log": False}, asked={"return_prob": True, "other": 1}, repair=lambda e: "cache" in str(e))
+    assert a.predict(np.zeros((20, 100), np.uint8), "id") == ("en (64, 256)", 0.5) and a.predict(np.zeros((90, 100), np.uint8), None)[0] == "en (108, 112)" and Client.made == 2
+    Client.made = 0
+    with pytest.raises(RuntimeError):
+        inference.Adapter("vietocr", Client).predict(np.zeros((9, 9), np.uint8), None)
+    assert inference.pick_device("auto", False) == "cpu" and inference.pick_device("cuda:0", True) == "gpu" and inference.pick_device("CPU", True) == "cpu"
+    for wanted, there in (("gpu", False), ("tpu", True)):
+        with pytest.raises((RuntimeError, ValueError)):
+            inference.pick_device(wanted, there)
+    ramp = np.tile(np.arange(0, 200, 10, dtype=np.uint8), (5, 1))
+    assert (X.reading_picture(ramp, (0.1, 0.1), 1, 1)[1:-1, 2:-2] == ramp).all() and abs(X.cubic_matrix(7, 19).sum(1) - 1).max() < 1e-12
+
+
 def test_statistics_document(spark):
     images = spark.createDataFrame([(1, "train", 10, 20), (2, "val", 10, 20)], "image_id long, split string, width int, height int")
     a = spark.createDataFrame([(1, 1, "id", 0.0, 0.0, 2.0, 3.0)], "image_id long, seq int, class string, x double, y double, w double, h double")
