@@ -122,6 +122,13 @@ def rect_matrix(source: Column, w: int = CARD_WIDTH, h: int = CARD_HEIGHT) -> Co
     return F.array(sx, z, -source.x1 * sx, z, sy, -source.y1 * sy, z, z, one)
 
 
+def project(points: Column, matrix: Column) -> Column:
+    """Points (arrays of two numbers) under a 3 x 3 map given row by row."""
+    m = [F.get(matrix, F.lit(i)) for i in range(9)]
+    row = lambda p, k: m[k] * F.get(p, F.lit(0)) + m[k + 1] * F.get(p, F.lit(1)) + m[k + 2]
+    return F.transform(points, lambda p: F.array(row(p, 0) / row(p, 6), row(p, 3) / row(p, 6)))
+
+
 def vertical_gap(upper: Column, lower: Column) -> Column:
     return lower.y1 - upper.y2
 

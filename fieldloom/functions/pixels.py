@@ -183,6 +183,25 @@ def homography(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
     return np.append(np.linalg.solve(np.array(rows, float), np.array(rhs, float)), 1.0).reshape(3, 3)
 
 
+def homography_udf(w: int = 856, h: int = 540):
+    """Four corners (arrays of two numbers, top left first and on clockwise) -> the 3 x 3 map to a picture of w x h, row by row; null if there is none."""
+    goal = np.array([[0, 0], [w - 1, 0], [w - 1, h - 1], [0, h - 1]], float)
+
+    @F.pandas_udf("array<double>")
+    def solve(corners: pd.Series) -> pd.Series:
+        def one(c) -> list[float] | None:
+            if c is None or len(c) != 4:
+                return None
+            try:
+                return homography(np.array([list(p) for p in c], float), goal).ravel().tolist()
+            except (ValueError, np.linalg.LinAlgError):
+                return None
+
+        return corners.map(one)
+
+    return solve
+
+
 def warp(a: np.ndarray, points: np.ndarray, w: int = 856, h: int = 540) -> np.ndarray:
     """The part of a picture within four corners, flattened to w x h (bilinear, black outside)."""
     m = np.linalg.inv(homography(points, np.array([[0, 0], [w - 1, 0], [w - 1, h - 1], [0, h - 1]], float)))

@@ -65,12 +65,21 @@ def similar_hashes(df: DataFrame, most: int, key: str = "id", value: str = "hash
     return a.join(b, ["band", "v"]).filter(F.col("ha") < F.col("hb")).filter(dist <= most).filter(F.col("band") == first).select("ha", "hb", dist.alias("distance"))
 
 
+def _leads(df: DataFrame, key: str, value: str) -> DataFrame:
+    """h, lead (the smallest key with this hash), n: one row a distinct hash."""
+    return df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("h")).agg(F.min(key).alias("lead"), F.count("*").alias("n"))
+
+
 def key_pairs(df: DataFrame, close: DataFrame, key: str = "id", value: str = "hash") -> DataFrame:
-    """Pairs of keys of close hashes and of equal ones."""
-    d = df.filter(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(value).alias("h"))
-    l, r = d.select(F.col("k").alias("k1"), F.col("h").alias("ha")), d.select(F.col("k").alias("k2"), F.col("h").alias("hb"))
+    """a, b, distance: pairs of the representatives of close hashes, and each copy with its representative (distance 0).
+
+    The representative of equal hashes is the smallest key; n copies make n - 1 rows, not all their pairs.
+    """
+    lead = materialize(_leads(df, key, value), "leads")
+    l, r = lead.select(F.col("h").alias("ha"), F.col("lead").alias("k1")), lead.select(F.col("h").alias("hb"), F.col("lead").alias("k2"))
     near = close.join(l, "ha").join(r, "hb").select(F.least("k1", "k2").alias("a"), F.greatest("k1", "k2").alias("b"), "distance")
-    same = l.join(r, F.col("ha") == F.col("hb")).filter("k1 < k2").select(F.col("k1").alias("a"), F.col("k2").alias("b"), F.lit(0).alias("distance"))
+    d = df.select(F.col(key).alias("b"), F.col(value).alias("h"))
+    same = d.join(lead.filter("n > 1"), "h").filter("b <> lead").select(F.col("lead").alias("a"), "b", F.lit(0).alias("distance"))
     return near.unionByName(same)
 
 
@@ -80,7 +89,7 @@ def clusters(df: DataFrame, most: int, key: str = "id", value: str = "hash") ->
     Equal hashes are one vertex of the graph, so n copies cost n rows of membership and not their pairs.
     """
     d = df.filter(F.col(value).isNotNull()).select(F.col(key).alias("vertex"), F.col(value).alias("h"))
-    lead = materialize(d.groupBy("h").agg(F.min("vertex").alias("lead"), F.count("*").alias("n")), "leads")
+    lead = materialize(_leads(df, key, value), "leads")
     close = similar_hashes(df, most, key, value)
     l, r = lead.select(F.col("h").alias("ha"), F.col("lead").alias("a")), lead.select(F.col("h").alias("hb"), F.col("lead").alias("b"))
     comp = components(close.join(l, "ha").join(r, "hb").select("a", "b")).withColumnRenamed("vertex", "lead")

@@ -701,7 +701,9 @@ def _hashes(spark: SparkSession, d: str) -> DataFrame:
     return materialize(A.grids(spark, d).select("id", X.grid_hash(F.col("grid")).alias("hash")), "hashes")
 
 
-_PAIRS = f"{_HASH}, p AS (SELECT a.id AS a, b.id AS b, hamming(a.bits, b.bits) AS distance FROM b a JOIN b b ON a.id < b.id WHERE hamming(a.bits, b.bits) <= 20)"
+_PAIRS = f"""{_HASH}, g0 AS (SELECT bits, min(id) AS id FROM b GROUP BY bits),
+    p AS (SELECT least(a.id, b.id) AS a, greatest(a.id, b.id) AS b, hamming(a.bits, b.bits) AS distance FROM g0 a JOIN g0 b ON a.bits < b.bits WHERE hamming(a.bits, b.bits) <= 20
+      UNION ALL SELECT g0.id, b.id, 0 FROM b JOIN g0 ON g0.bits = b.bits AND g0.id <> b.id)"""
 
 
 @query(f"WITH {_PAIRS} SELECT a, b, distance FROM p")
@@ -1305,6 +1307,25 @@ def homography_rect(spark: SparkSession, d: str) -> DataFrame:
     return A.rounded(m.select("annotation_id", F.col("i").cast("long").alias("i"), (F.col("v") + 1e-7).alias("v")), 4)
 
 
+@query(f"""
+    WITH {_BOXES}, q AS (SELECT DISTINCT annotation_id, x1, y1, x2, y2 FROM bx WHERE x2 > x1 + 4 AND y2 > y1 + 4), c AS (SELECT unnest(range(5)) AS i)
+    SELECT annotation_id, x1, y1, i, CASE i WHEN 1 THEN 855.0::DOUBLE WHEN 2 THEN 855 ELSE 0 END AS u, CASE i WHEN 2 THEN 539.0::DOUBLE WHEN 3 THEN 539 ELSE 0 END AS v FROM q, c WHERE i < 4
+    UNION ALL SELECT annotation_id, x1, y1, 4, 427.5, 269.5 FROM q
+""")
+def homography_points(spark: SparkSession, d: str) -> DataFrame:
+    """A skewed card's corners, in any order, under its own map: the corners of the picture; diagonals meet where diagonals meet."""
+    b = F.col("b")
+    pt = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    skewed = F.array(pt(b.x2 + 1, b.y2 + 2), pt(b.x1, b.y1), pt(b.x1 - 1, b.y2), pt(b.x2, b.y1 + 1))
+    q = _boxes(spark, d).filter("b.x2 > b.x1 + 4 and b.y2 > b.y1 + 4").withColumn("p", F.transform(G.order_points(skewed), lambda p: F.array(p.x, p.y)))
+    x, y = (lambda i: F.get(F.get("p", F.lit(i)), F.lit(0))), (lambda i: F.get(F.get("p", F.lit(i)), F.lit(1)))
+    t = ((x(1) - x(0)) * (y(3) - y(1)) - (y(1) - y(0)) * (x(3) - x(1))) / ((x(2) - x(0)) * (y(3) - y(1)) - (y(2) - y(0)) * (x(3) - x(1)))
+    middle = F.array(x(0) + t * (x(2) - x(0)), y(0) + t * (y(2) - y(0)))
+    q = q.withColumn("m", X.homography_udf()("p")).withColumn("to", G.project(F.concat("p", F.array(middle)), F.col("m")))
+    out = q.select("annotation_id", "b.x1", "b.y1", F.posexplode("to").alias("i", "t"))
+    return A.rounded(out.select("annotation_id", "x1", "y1", F.col("i").cast("long").alias("i"), F.round(F.col("t")[0], 3).alias("u"), F.round(F.col("t")[1], 3).alias("v")), 3)
+
+
 @query(f"""
     WITH {_BOXES}, u AS (SELECT *, greatest(0, least(639, x1 / 1.5 - 6)) AS ux, greatest(0, least(639, y1 / 1.5 - 8)) AS uy FROM bx)
     SELECT annotation_id, round(ux + 1e-7, 4) AS x, round(uy + 1e-7, 4) AS y FROM u
