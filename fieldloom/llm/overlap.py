@@ -5,8 +5,8 @@ letter case, accents, punctuation and spacing set aside, have at least ``min_cha
 one per ten of the longer one.
 
 Both sides work on distinct passages. A text of n characters with at most K edits keeps at least one of K + 1 disjoint
-pieces unchanged, so a window is taken from each of K + 1 equal parts of every evaluation text: the one whose letters
-are rarest in the training texts, by a count sketch of fixed size. Windows are chosen once and are the patterns of
+pieces unchanged, so K + 1 disjoint windows are taken from every evaluation text, where its letters are rarest in the
+training texts, by a count sketch of fixed size. Windows are chosen once and are the patterns of
 Aho-Corasick automata; file names are patterns whole. Patterns are sharded by the length of their text and then by
 hash, so that an automaton has a bounded number of texts, and every training text passes through the shards of lengths
 that can match it, in slices large enough for the work of an automaton to be worth its building. A hit near its own
@@ -102,11 +102,14 @@ def sketch(texts: DataFrame) -> np.ndarray:
 
 
 def windows(text: str, cells: np.ndarray) -> list[int]:
-    """Starts of K + 1 disjoint windows: the one with the rarest letters of each of K + 1 equal parts."""
+    """Starts of K + 1 disjoint windows, the rarest letters first choice: each lies behind the one before it and ends within its own of K + 1 equal parts."""
     n, parts = len(text), edits(len(text)) + 1
-    cost = cells[_codes(text)]
-    cuts = [n * i // parts for i in range(parts + 1)]  # no part of a text of MIN_CHARS or more is shorter than a window
-    return [a + int(np.argmin(cost[a : b - WINDOW + 1])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    cost, out, free = cells[_codes(text)], [], 0
+    for i in range(1, parts + 1):  # no part of a text of MIN_CHARS or more is shorter than a window
+        last = n * i // parts - WINDOW
+        out.append(free + int(np.argmin(cost[free : last + 1])))
+        free = out[-1] + WINDOW
+    return out
 
 
 def _bucket(n: Column) -> Column:
