@@ -122,15 +122,17 @@ CANDIDATE = T.StructType([T.StructField("text_e", T.StringType()), T.StructField
 def _passed(patterns: DataFrame, texts: DataFrame, per_shard: int, scan: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: T.StructType | str) -> DataFrame:
     """``scan(patterns of a shard, slice of texts)`` for every shard and every slice of the same ``bucket``.
 
-    Both frames have columns bucket and p or t. A shard goes to as many slices as there are tasks, or one for
-    SLICE_TEXTS texts if that is more; each text goes to each shard of its bucket once.
+    Both frames have columns bucket and p or t. Each shard goes to each slice of its bucket, so there are as few of both
+    as bounds and busy tasks allow, and in a proportion that copies as few patterns and texts as can be.
     """
     spark = patterns.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n = F.count("*")
-    shards = patterns.groupBy("bucket").agg(F.ceil(n / per_shard).cast("int").alias("shards"))
-    slices = texts.groupBy("bucket").agg(F.greatest(F.ceil(n / SLICE_TEXTS), F.least(F.ceil(n / FEW_TEXTS), F.lit(tasks))).cast("int").alias("slices"))
-    plan = F.broadcast(shards.join(slices, "bucket"))  # as many rows as lengths have powers of the ratio
+    size = lambda df, name: df.groupBy("bucket").agg(F.count("*").alias(name))
+    busy = F.least(F.ceil(F.col("nt") / FEW_TEXTS), F.lit(tasks))
+    slices = F.greatest(F.ceil(F.col("nt") / SLICE_TEXTS), F.least(busy, F.ceil(F.sqrt(busy * F.col("nt") / F.col("np")))))
+    shards = F.greatest(F.ceil(F.col("np") / per_shard), F.ceil(busy / F.col("slices")))
+    plan = size(patterns, "np").join(size(texts, "nt"), "bucket").withColumn("slices", slices.cast("int")).withColumn("shards", shards.cast("int"))
+    plan = F.broadcast(plan.select("bucket", "shards", "slices"))  # as many rows as lengths have powers of the ratio
     key = ["bucket", "shard", "slice"]
     each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     a = patterns.join(plan, "bucket").withColumn("shard", F.pmod(F.xxhash64("p"), "shards").cast("int")).withColumn("slice", each("slices")).drop("shards", "slices")
