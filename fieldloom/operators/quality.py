@@ -169,8 +169,12 @@ def statistics_document(stats: DataFrame) -> dict:
 
 
 def size_statistics(images: DataFrame) -> DataFrame:
-    """One row: mean, deviation, least and most of width, height and aspect."""
-    aspect = F.col("width") / F.col("height")
+    """One row: mean, deviation, least and most of width, height and aspect.
+
+    An aspect over a height of 0 is that of numbers with a decimal point: infinite with the sign of the width, or no number at 0 by 0.
+    """
+    w, h = F.col("width"), F.col("height")
+    aspect = F.when(h == 0, F.when(w == 0, float("nan")).when(w.isNotNull(), F.signum(w) * float("inf"))).otherwise(w / h)
     out = []
     for name, c in (("width", F.col("width")), ("height", F.col("height")), ("aspect", aspect)):
         out += [F.avg(c).alias(f"{name}_mean"), F.stddev_pop(c).alias(f"{name}_std"), F.min(c).alias(f"{name}_min"), F.max(c).alias(f"{name}_max")]

@@ -1,5 +1,6 @@
 """Core operators: hand-derived cases and brute force."""
 
+import math
 import random
 
 import numpy as np
@@ -197,6 +198,15 @@ def test_issues(spark):
     assert flagged[1][0] == "error" and "bbox_too_small:id:25px2" in flagged[1][1] and flagged[2][0] == "warning"
 
 
+def test_sizes_with_a_height_of_zero(spark):
+    size = lambda *v: quality.size_statistics(spark.createDataFrame(v, "width int, height int")).first()
+    r = size((640, 0), (640, 480), (640, 640), (None, 0), (640, None))
+    assert (r.height_min, r.height_max, r.aspect_min, r.aspect_max, r.aspect_mean) == (0, 640, 1.0, float("inf"), float("inf")) and math.isnan(r.aspect_std)
+    r = size((0, 0), (10, 10))
+    assert r.aspect_min == 1.0 and all(math.isnan(x) for x in (r.aspect_mean, r.aspect_max, r.aspect_std))
+    assert size((-5, 0), (10, 10)).aspect_min == float("-inf")
+
+
 def test_overlap_bands_lose_nothing(spark):
     rng = random.Random(3)
     boxes = [(1, i, "c", rng.uniform(0, 5), rng.uniform(0, 5), rng.uniform(20, 24), rng.uniform(20, 24)) for i in range(60)]
