@@ -116,13 +116,14 @@ def pr_curve(detections: DataFrame, truths: DataFrame, least_iou: float = 0.5) -
 def average_precision(curve: DataFrame) -> DataFrame:
     """Per class: detections and the area under the stepwise precision-recall curve, each step at the best precision from there on.
 
-    The best precision from a place on is a maximum over later ranges of the order, then within a range.
+    The best precision from a place on is a maximum over later ranges of the order, then within a range. Both run backwards:
+    Spark goes through all of a frame that ends at the last row anew for each row, but carries on one that begins at the first.
     """
     o = in_order(curve, F.col("class"), F.desc("score"), F.col("image_id"), F.col("det"))
     per = o.groupBy("_part", "class").agg(F.max("precision").alias("top"), F.max("recall").alias("reached"))
-    by = Window.partitionBy("class").orderBy("_part")
-    per = per.select("_part", "class", F.max("top").over(by.rowsBetween(1, Window.unboundedFollowing)).alias("later"), F.coalesce(F.max("reached").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("earlier"))
-    w = Window.partitionBy("_part", "class").orderBy("_at")
-    d = o.withColumns({"best": F.max("precision").over(w.rowsBetween(0, Window.unboundedFollowing)), "from": F.lag("recall").over(w)}).join(F.broadcast(per), ["_part", "class"])
+    past = lambda *order: Window.partitionBy("class").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select("_part", "class", F.max("top").over(past(F.desc("_part"))).alias("later"), F.coalesce(F.max("reached").over(past("_part")), F.lit(0.0)).alias("earlier"))
+    back = Window.partitionBy("_part", "class").orderBy(F.desc("_at"))
+    d = o.withColumns({"best": F.max("precision").over(back.rowsBetween(Window.unboundedPreceding, 0)), "from": F.lead("recall").over(back)}).join(F.broadcast(per), ["_part", "class"])
     step = F.col("recall") - F.coalesce("from", "earlier")
     return d.groupBy("class").agg(F.count("*").alias("n"), F.sum(step * F.greatest("best", "later")).alias("average_precision"))

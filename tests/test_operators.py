@@ -181,6 +181,20 @@ def test_rates_of_nothing(spark):
     assert evaluate.summary(evaluate.scored(r)).count() == 0 and evaluate.top_errors(evaluate.scored(r)).count() == 0
 
 
+def test_average_precision_by_running_frames_only(spark):
+    """Equal to brute force, and no frame that ends at the last row: its cost is a square of the rows."""
+    rng = random.Random(3)
+    rows = [(c, i // 7, i, rng.randrange(9), rng.random(), (i + 1) / n) for c, n in (("id", 400), ("name", 90), ("card", 1)) for i in range(n)]
+    curve = spark.createDataFrame(rows, "class string, image_id long, det long, score long, precision double, recall double")
+    got = evaluate.average_precision(curve)
+    want = {}
+    for c in ("id", "name", "card"):
+        r = sorted((x for x in rows if x[0] == c), key=lambda x: (-x[3], x[1], x[2]))
+        want[c] = (len(r), sum((x[5] - (r[i - 1][5] if i else 0)) * max(y[4] for y in r[i:]) for i, x in enumerate(r)))
+    assert {x["class"]: (x.n, pytest.approx(x.average_precision)) for x in got.collect()} == want
+    assert "unboundedfollowing" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
 def test_review(spark):
     rows = [(1, "train", 0.85, "a"), (2, "train", None, "b"), (3, "train", 0.2, None), (4, "val", 0.1, "c")]
     df = spark.createDataFrame(rows, "row_id long, split string, best_conf double, source_image string")
