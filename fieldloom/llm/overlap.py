@@ -5,12 +5,13 @@ letter case, accents, punctuation and spacing set aside, have at least ``min_cha
 one per ten of the longer one.
 
 Both sides work on distinct passages. A text of n characters with at most K edits keeps at least one of K + 1 disjoint
-pieces unchanged, so K + 1 disjoint windows are taken from every evaluation text, where its letters are rarest in the
-training texts, by a count sketch of fixed size. Windows are chosen once and are the patterns of
-Aho-Corasick automata; file names are patterns whole. Patterns are sharded by the length of their text and then by
+pieces unchanged, so every evaluation text is cut into K + 1 pieces, each around a window where its letters are rarest
+in the training texts, by a count sketch of fixed size. Windows are chosen once; the pieces are the patterns of
+Aho-Corasick automata, sharded by the length of their text and then by
 hash, so that an automaton has a bounded number of texts, and every training text passes through the shards of lengths
 that can match it, in slices large enough for the work of an automaton to be worth its building. A hit near its own
-place makes a candidate, which the edit distance decides at once, before any shuffle. No candidate is capped.
+place (``scan`` in ``similar_texts``) makes a candidate, which the edit distance decides at once, before any shuffle.
+No candidate is capped. File names are patterns whole; a name can only match in the shard of its own hash.
 """
 
 from __future__ import annotations
@@ -30,10 +31,13 @@ from fieldloom.runtime import materialize
 MIN_CHARS = 20
 WINDOW = 6  # K + 1 windows of this length fit into every text of MIN_CHARS or more
 SKETCH_BITS = 18
-SHARD_TEXTS = 20_000  # evaluation texts of an automaton, about
+SHARD_TEXTS = 40_000  # evaluation texts of an automaton, about
 SHARD_WINDOWS = 100_000  # windows of an automaton of coverage, about
 SLICE_TEXTS = 50_000  # training texts of a slice, at most about
+SHARD_NAMES = 20_000  # file names of an automaton and those that pass through it, together, about
 FEW_TEXTS = 2_000  # texts that are worth a slice of their own while there are fewer slices than tasks
+BLOCK_TEXTS = 1_000  # training texts whose hits are judged together
+BLOCK_ENTRIES = 200_000  # and places of hits judged at once, about
 _RATIO = 1.25  # lengths of one shard differ at most by this factor
 
 
@@ -112,6 +116,15 @@ def windows(text: str, cells: np.ndarray) -> list[int]:
     return out
 
 
+def _bags(texts: list[str]) -> np.ndarray:
+    """How often each text has the characters of each of 37 classes by code point; the difference of two texts takes edits of its own."""
+    out = np.zeros((len(texts), 37), np.int16)
+    for row, t in zip(out, texts, strict=True):
+        x = np.frombuffer(t.encode("utf-32-le"), np.uint32) % 37
+        row[:] = np.minimum(np.bincount(x, minlength=37), 8191)  # beyond, differences only shrink
+    return out
+
+
 def _bucket(n: Column) -> Column:
     return F.floor(F.log(n.cast("double") / MIN_CHARS) / float(np.log(_RATIO))).cast("int")
 
@@ -157,34 +170,55 @@ def similar_texts(train: DataFrame, held: DataFrame) -> DataFrame:
     b = train.select(F.col("text").alias("t"), F.explode(F.sequence(_bucket(F.greatest(lo, F.lit(MIN_CHARS))), _bucket(hi))).alias("bucket"))
 
     def scan(patterns: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
+        """A text of at most K edits keeps a piece, of which j go before, so that j edits at most lie before it and the rest behind.
+
+        Charge each edit to one piece: edits minus pieces, summed from the left, begins at 0, ends below 0 and never
+        falls by more than 1, so where it first is -1, the piece is unchanged and as many edits as pieces lie before it.
+        """
         import ahocorasick
 
         held_texts, auto, where = patterns["p"].tolist(), ahocorasick.Automaton(), []
         for i, (t, starts) in enumerate(zip(held_texts, patterns["starts"], strict=True)):
-            for s in starts:
-                w = t[s : s + WINDOW]
+            cuts = [0, *map(int, starts[1:]), len(t)]
+            for j in range(len(cuts) - 1):
+                w = t[cuts[j] : cuts[j + 1]]
                 at = auto.get(w, None)
                 if at is None:
-                    auto.add_word(w, len(where))
-                    where.append([(i, s)])
-                else:
-                    where[at].append((i, s))
+                    at = len(where)
+                    auto.add_word(w, at)
+                    where.append([])
+                where[at].append((i, cuts[j], j, len(w)))
         if not where or not len(texts):
             return pd.DataFrame({"text_e": [], "text_t": []}, dtype=object)
         auto.make_automaton()
-        size = [len(t) for t in held_texts]
-        slack = [edits(n) for n in size]
+        several = np.array([len(x) for x in where], np.int64)
+        begins = np.cumsum(several) - several
+        owner, place, before, long = np.array([y for x in where for y in x], np.int32).T.copy()
+        del where
+        size, bags = np.array([len(t) for t in held_texts], np.int32), _bags(held_texts)
+        scanned = texts["t"].tolist()
         left, right = [], []
-        for t in texts["t"]:
-            n, seen = len(t), set()
-            for end, at in auto.iter(t):
-                start = end - WINDOW + 1
-                for i, s in where[at]:
-                    k = slack[i]
-                    if -k <= start - s <= k and i not in seen and -k <= n - size[i] <= k:
-                        seen.add(i)
-            left += [held_texts[i] for i in seen]
-            right += [t] * len(seen)
+        for lo in range(0, len(scanned), BLOCK_TEXTS):
+            block = scanned[lo : lo + BLOCK_TEXTS]
+            hits = np.array([(k, end, at) for k, t in enumerate(block) for end, at in auto.iter(t)], np.int64).reshape(-1, 3)
+            length, own, got = np.array([len(t) for t in block], np.int32), _bags(block), []
+            entries = np.cumsum(several[hits[:, 2]])
+            for part in np.split(hits, np.flatnonzero(np.diff(entries // BLOCK_ENTRIES)) + 1):
+                k, end, at = part.T
+                n = several[at]
+                e = np.repeat(begins[at] - np.cumsum(n) + n, n) + np.arange(n.sum())  # the entries of all hits, one after the other
+                k, shift, i, j = np.repeat(k, n), np.repeat(end, n) + 1 - long[e] - place[e], owner[e], before[e]
+                more = length[k] - size[i]
+                most = np.maximum(length[k], size[i]) // 10
+                near = (np.abs(shift) <= j) & (np.abs(shift - more) <= most - j)
+                k, i, more, most = k[near], i[near], more[near], most[near]
+                # an edit changes two counts of letters by one, or one where it changes the length
+                alike = np.abs(own[k] - bags[i]).sum(axis=1, dtype=np.int32) <= 2 * most - np.abs(more)
+                got.append(k[alike] * len(held_texts) + i[alike])
+            for x in np.unique(np.concatenate(got)).tolist():
+                k, i = divmod(x, len(held_texts))
+                left.append(held_texts[i])
+                right.append(block[k])
         return pd.DataFrame({"text_e": left, "text_t": right}, dtype=object)
 
     pairs = _passed(a, b, SHARD_TEXTS, scan, CANDIDATE)
@@ -207,9 +241,16 @@ def _found_whole(patterns: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
 
 
 def shared_files(train: DataFrame, held: DataFrame) -> DataFrame:
-    """Distinct file names (column file) of ``held`` that stand among those of ``train``: patterns and texts are whole names."""
-    distinct = lambda df, c: materialize(df.filter("file is not null").select(F.lit(0).alias("bucket"), F.col("file").alias(c)).distinct(), "names")
-    return _passed(distinct(held, "p"), distinct(train, "t"), SHARD_WINDOWS, _found_whole, "file string")
+    """Distinct file names (column file) of ``held`` that stand among those of ``train``: patterns and texts are whole names.
+
+    Equal names have equal hashes, so that each name goes to one automaton, however many there are.
+    """
+    distinct = lambda df, c: materialize(df.filter("file is not null").select(F.col("file").alias(c)).distinct(), "names")
+    a, b = distinct(held, "p"), distinct(train, "t")
+    tasks = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = max(tasks, -(-(a.count() + b.count()) // SHARD_NAMES))
+    sharded = lambda df, c: df.withColumn("shard", F.pmod(F.xxhash64(c), F.lit(shards)).cast("int")).repartition(tasks, "shard").groupBy("shard")
+    return sharded(a, "p").cogroup(sharded(b, "t")).applyInPandas(_found_whole, "file string")
 
 
 def _distinct(rec: DataFrame) -> DataFrame:

@@ -75,6 +75,24 @@ def test_small_shards_and_slices_change_nothing(spark, monkeypatch):
     assert {tuple(r) for r in overlap.found(spark.createDataFrame(rows, SCHEMA)).collect()} == brute(rows)
 
 
+def test_work_grows_with_the_names_and_near_texts_only(spark, monkeypatch):
+    """Each name passes one automaton, and texts that share a piece in its place but not their letters are no candidates."""
+    seen = []
+    monkeypatch.setattr(overlap, "SHARD_NAMES", 10)
+    monkeypatch.setattr(overlap, "_passed", lambda *_: seen.append(1))
+    names = lambda a, b: spark.createDataFrame([(f"{i}.jpg",) for i in range(a, b)], "file string")
+    assert sorted(r.file for r in overlap.shared_files(names(0, 80), names(60, 120)).collect()) == sorted(f"{i}.jpg" for i in range(60, 80)) and not seen
+    monkeypatch.undo()
+    made, passed = [], overlap._passed
+    monkeypatch.setattr(overlap, "_passed", lambda *a: made.append(passed(*a)) or made[-1])
+    t = "duonghoasen" + "abcdefghij" + "tinhhaile"
+    texts = lambda *v: spark.createDataFrame([(x,) for x in v], "text string")
+    train = texts(t, t[:11] + "klmnopqrst" + t[21:], t[:5] + "x" + t[6:], t[1:], t + "zz", "0" + t)
+    got = overlap.similar_texts(train, texts(t))
+    assert {r.text_t for r in got.collect()} == {t, t[:5] + "x" + t[6:], t[1:], t + "zz", "0" + t}
+    assert made[0].count() == 5
+
+
 def test_windows_fit_and_are_disjoint():
     cells = np.random.default_rng(0).integers(0, 9, 1 << overlap.SKETCH_BITS)
     for n in [*range(20, 300), 1000, 5000]:
